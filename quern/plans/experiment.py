@@ -15,6 +15,7 @@ from quern.storage import written
 
 # Runs under comparison: plain BM25 with different k1 and b.
 METHODS = {"base": (1.2, 0.75), "flat": (1.2, 0.0), "sharp": (0.4, 1.0)}
+METHOD_KEY = ["method", "query_id"]
 RARE_SHARE = 20
 SHARED_TERMS = 3
 CLOSE_TERMS = 5
@@ -74,22 +75,24 @@ class Experiment:
             "qrels",
         )
 
-    @cached_property
-    def method_table(self) -> DataFrame:
-        """(id_Q, map, p_5, ndcg_10, method) of the runs under comparison, four digits."""
+    def method_runs(self) -> DataFrame:
+        """Runs under comparison, all from one scan of the postings: (method, query_id, doc_id, score, rank)."""
         settings = F.array(
             *[
                 F.struct(F.lit(m).alias("method"), F.lit(k1).alias("k1"), F.lit(b).alias("b"))
                 for m, (k1, b) in METHODS.items()
             ]
         )
-        key = ["method", "query_id"]
         clauses = self.clauses.withColumn("s", F.explode(settings)).select(
             "s.*", "query_id", "term", "boost"
         )
-        runs = search(self.index, clauses, 10, key, Bm25("k1", "b"))
+        return search(self.index, clauses, 10, METHOD_KEY, Bm25("k1", "b"))
+
+    @cached_property
+    def method_table(self) -> DataFrame:
+        """(id_Q, map, p_5, ndcg_10, method) of the runs under comparison, four digits."""
         return written(
-            query_metrics(runs, self.qrels, key).select(
+            query_metrics(self.method_runs(), self.qrels, METHOD_KEY).select(
                 F.col("query_id").cast("int").alias("id_Q"),
                 *[F.round(m, METRIC_DIGITS).alias(m) for m in METRICS],
                 "method",
