@@ -76,7 +76,7 @@ GRID = (
     (20, 3, 50, 25, 0.7),
 )
 
-DIFFS = """SELECT m.method, metric, id_q, b.value AS base_value, m.value, round(m.value - b.value, 4) AS difference
+DIFFS = """SELECT m.method, metric, id_q, b.value AS base_value, m.value, round(round(m.value - b.value, 9), 4) AS difference
     FROM long m JOIN (SELECT metric, id_q, value FROM long WHERE method = 'base') b USING (metric, id_q)
     WHERE m.method <> 'base'"""
 
@@ -110,13 +110,14 @@ STEPS = {
                 sum(grade / log2(rank + 1)) AS dcg
               FROM (SELECT *, sum(rel) OVER (PARTITION BY method, query_id ORDER BY rank) AS seen FROM hitgrades) GROUP BY ALL)
         JOIN judged USING (query_id)""",
-    "methods": """SELECT query_id::INT AS id_q, round(map, 4) AS map, round(p_5, 4) AS p_5, round(ndcg_10, 4) AS ndcg_10, method FROM evaluated""",
+    "methods": """SELECT query_id::INT AS id_q, round(round(map, 9), 4) AS map, round(round(p_5, 9), 4) AS p_5, round(round(ndcg_10, 9), 4) AS ndcg_10, method FROM evaluated""",
     "long": "SELECT method, metric, id_q, value FROM methods UNPIVOT (value FOR metric IN (map, p_5, ndcg_10))",
     "diffs": DIFFS,
     "totals": """SELECT CASE WHEN event_type = 'view' THEN 'base' ELSE event_type END AS method, 'total' AS metric,
           user_id::INT AS id_q, round(sum(value), 2) AS value FROM events GROUP BY ALL""",
     "samples": "SELECT method, metric, id_q, value FROM long UNION ALL SELECT method, metric, id_q, value FROM totals",
-    "spairs": DIFFS.replace("long", "samples").replace("round(m.value - b.value, 4) AS difference", "b.value - m.value AS d"),
+    "spairs": DIFFS.replace("long", "samples").replace("round(round(m.value - b.value, 9), 4) AS difference", "b.value - m.value AS d"),
+    "gains": "SELECT method, metric, id_q, base_value, value, round(round(-d, 9), 4) AS g FROM spairs",
     "tsum": "SELECT method, metric, count(*) AS n, avg(d) AS mean_d, stddev_samp(d) AS sd_d FROM spairs GROUP BY ALL",
     "tval": "SELECT *, CASE WHEN n >= 2 AND sd_d > 1e-12 THEN mean_d / (sd_d / sqrt(n)) END AS t FROM tsum",
     "tp": f"""SELECT method, metric, n, mean_d, sd_d, t, CASE WHEN t IS NOT NULL THEN
@@ -125,7 +126,7 @@ STEPS = {
         FROM (SELECT *, atan(abs(t) / sqrt(n - 1)) AS th FROM tval) CROSS JOIN range(2001) s(i)
         GROUP BY method, metric, n, mean_d, sd_d, t, th""",
     "ranked": """SELECT method, metric, d, rank() OVER w + (count(*) OVER (PARTITION BY method, metric, abs(d)) - 1) / 2 AS rk
-        FROM (SELECT method, metric, round(d, 4) AS d FROM spairs) WHERE d <> 0
+        FROM (SELECT method, metric, round(round(d, 9), 4) AS d FROM spairs) WHERE d <> 0
         WINDOW w AS (PARTITION BY method, metric ORDER BY abs(d))""",
     "ranksum": """SELECT method, metric, count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS rp, sum(CASE WHEN d < 0 THEN rk ELSE 0 END) AS rm
         FROM ranked GROUP BY ALL""",
@@ -156,8 +157,8 @@ STEPS = {
           WHEN row_number() OVER (ORDER BY item_id DESC) <= 16 THEN 'test' ELSE 'unused' END AS part FROM benchmark""",
     "ghits": """SELECT config_id, query_id, rank, coalesce(grade, 0) AS grade, CASE WHEN grade >= 1 THEN 1 ELSE 0 END AS rel
         FROM gruns JOIN parts USING (query_id) LEFT JOIN qrels USING (query_id, doc_id) WHERE part = 'train'""",
-    "gmeans": """SELECT config_id, round(avg(CASE WHEN r > 0 THEN ps / r ELSE 0 END), 4) AS map, round(avg(early / 5), 4) AS p_5,
-          round(avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END), 4) AS ndcg_10
+    "gmeans": """SELECT config_id, round(round(avg(CASE WHEN r > 0 THEN ps / r ELSE 0 END), 9), 4) AS map, round(round(avg(early / 5), 9), 4) AS p_5,
+          round(round(avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END), 9), 4) AS ndcg_10
         FROM (SELECT config_id, query_id, sum(rel * seen / rank) AS ps, sum(CASE WHEN rank <= 5 THEN rel ELSE 0 END) AS early,
                 sum(grade / log2(rank + 1)) AS dcg
               FROM (SELECT *, sum(rel) OVER (PARTITION BY config_id, query_id ORDER BY rank) AS seen FROM ghits) GROUP BY ALL)
@@ -185,7 +186,7 @@ FINAL = {
     "ndcg_at_10": "SELECT query_id, round(ndcg_10, 6) AS ndcg_10 FROM evaluated WHERE method = 'base'",
     "mean_ap": "SELECT method, round(avg(map), 6) AS map FROM evaluated GROUP BY method",
     "eval_with_all_row": """SELECT metric, id_q::VARCHAR AS id_q, value FROM long WHERE method = 'base'
-        UNION ALL SELECT metric, 'all', round(avg(value), 4) FROM long WHERE method = 'base' GROUP BY metric""",
+        UNION ALL SELECT metric, 'all', round(round(avg(value), 9), 4) FROM long WHERE method = 'base' GROUP BY metric""",
     "metric_file_load": 'SELECT id_q AS "id_Q", map FROM methods WHERE method = \'base\'',
     "method_table_scan": 'SELECT id_q AS "id_Q", map, p_5, ndcg_10, method FROM methods',
     "metrics_combine": 'SELECT id_q AS "id_Q", map, p_5, ndcg_10, method FROM methods',
@@ -193,16 +194,14 @@ FINAL = {
     "query_range_filter": 'SELECT id_q AS "id_Q", map FROM methods WHERE method = \'base\' AND id_q BETWEEN 10 AND 29',
     "method_stack": 'SELECT id_q AS "id_Q", map, p_5, ndcg_10, method FROM methods WHERE method IN (\'base\', \'flat\')',
     "method_diff": 'SELECT method, metric, id_q AS "id_Q", base_value, value, difference FROM diffs',
-    "method_means": "SELECT method, round(avg(map), 4) AS map, round(avg(p_5), 4) AS p_5, round(avg(ndcg_10), 4) AS ndcg_10 FROM methods GROUP BY method",
-    "mean_diff": """SELECT m.method, m.metric, round(m.a - b.a, 4) AS mean_difference
+    "method_means": "SELECT method, round(round(avg(map), 9), 4) AS map, round(round(avg(p_5), 9), 4) AS p_5, round(round(avg(ndcg_10), 9), 4) AS ndcg_10 FROM methods GROUP BY method",
+    "mean_diff": """SELECT m.method, m.metric, round(round(m.a - b.a, 9), 4) AS mean_difference
         FROM (SELECT method, metric, avg(value) AS a FROM samples GROUP BY ALL) m
         JOIN (SELECT metric, avg(value) AS a FROM samples WHERE method = 'base' GROUP BY ALL) b USING (metric) WHERE m.method <> 'base'""",
-    "diff_extremes": """SELECT a.method, a.metric, a.d AS max_difference, a.id_q AS max_id, a.base_value AS max_base_value, a.value AS max_value,
-          b.d AS min_difference, b.id_q AS min_id, b.base_value AS min_base_value, b.value AS min_value
-        FROM (SELECT *, round(-d, 4) AS d FROM (SELECT method, metric, id_q, base_value, value, d FROM spairs) q
-              QUALIFY row_number() OVER (PARTITION BY method, metric ORDER BY round(-q.d, 4) DESC, id_q) = 1) a
-        JOIN (SELECT *, round(-d, 4) AS d FROM (SELECT method, metric, id_q, base_value, value, d FROM spairs) q
-              QUALIFY row_number() OVER (PARTITION BY method, metric ORDER BY round(-q.d, 4), id_q) = 1) b USING (method, metric)""",
+    "diff_extremes": """SELECT a.method, a.metric, a.g AS max_difference, a.id_q AS max_id, a.base_value AS max_base_value, a.value AS max_value,
+          b.g AS min_difference, b.id_q AS min_id, b.base_value AS min_base_value, b.value AS min_value
+        FROM (SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY method, metric ORDER BY g DESC, id_q) = 1) a
+        JOIN (SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY method, metric ORDER BY g, id_q) = 1) b USING (method, metric)""",
     "paired_ttest": "SELECT method, metric, n, round(mean_d, 6) AS mean_d, round(sd_d, 6) AS sd_d, round(t, 6) AS t, round(p, 6) AS p FROM tp",
     "wilcoxon": "SELECT method, metric, n, rank_sum_plus, rank_sum_minus, round(z, 6) AS z, round(p, 6) AS p FROM wp",
     "significance_verdict": REPORT_VERDICTS.replace(
@@ -210,7 +209,7 @@ FINAL = {
     ),
     "method_report": f"""SELECT method, metric, n, base_mean, method_mean, mean_difference, max_difference, max_id, min_difference, min_id,
           p_t, p_wilcoxon, verdict_t, verdict_wilcoxon
-        FROM (SELECT method, metric, count(*) AS n, round(avg(base_value), 4) AS base_mean, round(avg(value), 4) AS method_mean FROM spairs GROUP BY ALL)
+        FROM (SELECT method, metric, count(*) AS n, round(round(avg(base_value), 9), 4) AS base_mean, round(round(avg(value), 9), 4) AS method_mean FROM spairs GROUP BY ALL)
         JOIN (__mean_diff__) USING (method, metric) JOIN (__diff_extremes__) USING (method, metric)
         JOIN ({REPORT_VERDICTS}) USING (method, metric)""",
     "tfidf_l2": "SELECT query_id, doc_id, term, round(weight, 9) AS weight FROM k_unit",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.params import Bm25
 
 SCORE_DIGITS = 6
+NOISE_DIGITS = 9
 
 
 def bm25_idf(n_docs: Column, df: Column) -> Column:
@@ -29,5 +30,10 @@ def collection_weight(tf: Column, n_docs: Column, df: Column) -> Column:
     return F.round(tf * F.log10(n_docs / df), SCORE_DIGITS)
 
 
+def to_digits(value: Column, digits: int) -> Column:
+    """Round half up, after dropping binary noise that would decide a tie by summation order."""
+    return F.round(F.round(value, NOISE_DIGITS), digits)
+
+
 def discounted(gain: Column, rank: Column) -> Column:
     return gain / F.log2(rank + 1)

@@ -21,10 +21,17 @@ from quern.sources.term_index import TermIndex
 def cluster_members(
     dominant: DataFrame, neighbours: DataFrame, key: Sequence[str] = QUERY
 ) -> DataFrame:
-    """(key, cluster_id, doc_id, k): the neighbours of each dominant document, in order."""
+    """The neighbours of each dominant document, in order.
+
+    (key, cluster_id, n_clusters, doc_id, k) with ``n_clusters`` the query's clusters.
+    """
+    per_query = Window.partitionBy(*key)
+    counted = dominant.select(
+        *key, "cluster_id", F.count(F.lit(1)).over(per_query).alias("n_clusters")
+    )
     lists = neighbours.select(*key, F.col("doc_id").alias("cluster_id"), "nbr_id", "k")
-    return lists.join(dominant.select(*key, "cluster_id"), [*key, "cluster_id"]).select(
-        *key, "cluster_id", F.col("nbr_id").alias("doc_id"), "k"
+    return lists.join(counted, [*key, "cluster_id"]).select(
+        *key, "cluster_id", "n_clusters", F.col("nbr_id").alias("doc_id"), "k"
     )
 
 
@@ -48,24 +55,21 @@ def cluster_terms(
 
     Counts of the concatenated text come from the postings of its documents. ``cluster_df``
     is the number of the query's clusters that hold the term; ``dl`` the cluster's tokens.
+    A query's clusters are bounded by its hits, so its rows are placed together once for
+    the sums over cluster, term and query.
     """
+    query = Window.partitionBy(*key)
     cluster = Window.partitionBy(*key, "cluster_id")
     same_term = Window.partitionBy(*key, "term")
-    counted = (
-        members.join(hit_terms.select(*key, "doc_id", "term", "tf"), [*key, "doc_id"])
-        .groupBy(*key, "cluster_id", "term")
+    return (
+        hit_terms.select(*key, "doc_id", "term", "tf")
+        .join(members, [*key, "doc_id"])
+        .repartition(*key)
+        .groupBy(*key, "n_clusters", "cluster_id", "term")
         .agg(F.sum("tf").alias("tf"))
+        .withColumn("avg_length", F.sum("tf").over(query) / F.col("n_clusters"))
         .withColumn("dl", F.sum("tf").over(cluster))
-    )
-    collection = (
-        counted.groupBy(*key, "cluster_id")
-        .agg(F.first("dl").alias("dl"))
-        .groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n_clusters"), F.avg("dl").alias("avg_length"))
-    )
-    return (
-        counted.withColumn("cluster_df", F.count(F.lit(1)).over(same_term))
-        .join(collection, [*key])
+        .withColumn("cluster_df", F.count(F.lit(1)).over(same_term))
         .select(*key, "cluster_id", "term", "tf", "cluster_df", "dl", "n_clusters", "avg_length")
     )
 

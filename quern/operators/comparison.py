@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.scoring import to_digits
 from quern.operators.evaluation import METRIC_DIGITS, METRICS
 
 
@@ -70,7 +71,7 @@ def paired(long: DataFrame, baseline: str = "base") -> DataFrame:
 
 def method_difference(pairs: DataFrame) -> DataFrame:
     """Differences at the precision of the published values."""
-    return pairs.withColumn("difference", F.round("difference", METRIC_DIGITS))
+    return pairs.withColumn("difference", to_digits(F.col("difference"), METRIC_DIGITS))
 
 
 def column_difference(
@@ -81,7 +82,7 @@ def column_difference(
     return (
         base.select("id_Q", column)
         .join(other, "id_Q")
-        .withColumn("difference", F.round(F.col(column + suffix) - F.col(column), METRIC_DIGITS))
+        .withColumn("difference", to_digits(F.col(column + suffix) - F.col(column), METRIC_DIGITS))
     )
 
 
@@ -114,7 +115,7 @@ def difference_extremes(differences: DataFrame) -> DataFrame:
 def method_means(table: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Mean of each metric per method."""
     return table.groupBy("method").agg(
-        *[F.round(F.avg(m), METRIC_DIGITS).alias(m) for m in metrics]
+        *[to_digits(F.avg(m), METRIC_DIGITS).alias(m) for m in metrics]
     )
 
 
@@ -130,6 +131,6 @@ def mean_difference(long: DataFrame, baseline: str = "base") -> DataFrame:
         .select(
             "method",
             "metric",
-            F.round(F.col("mean") - F.col("base_mean"), METRIC_DIGITS).alias("mean_difference"),
+            to_digits(F.col("mean") - F.col("base_mean"), METRIC_DIGITS).alias("mean_difference"),
         )
     )

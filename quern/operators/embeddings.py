@@ -20,6 +20,7 @@ from quern.params import W2vParams
 
 SIMILARITY_DIGITS = 6
 BATCH = 512
+TASKS_PER_CORE = 4
 FIRST_RATE, LAST_RATE = 0.025, 0.0001
 
 
@@ -60,7 +61,7 @@ def local_vectors(
         )
 
     schema = f"{_fields(tokens, key)}, term string, n bigint, vector array<float>"
-    return tokens.groupBy(*key).applyInPandas(train, schema)
+    return _spread(tokens, key).groupBy(*key).applyInPandas(train, schema)
 
 
 def local_similar_terms(
@@ -85,9 +86,11 @@ def local_similar_terms(
         return pd.concat([head.reset_index(drop=True), found], axis=1)
 
     schema = f"{_fields(tokens, key)}, q_term string, term string, score double, rank int"
+    terms = _spread(query_terms.select(*key, "term"), key)
     return (
-        tokens.groupBy(*key)
-        .cogroup(query_terms.select(*key, "term").groupBy(*key))
+        _spread(tokens, key)
+        .groupBy(*key)
+        .cogroup(terms.groupBy(*key))
         .applyInPandas(nearest, schema)
     )
 
@@ -227,6 +230,13 @@ def _nearest_terms(
     return pd.DataFrame(rows, columns=["q_term", "term", "score", "rank"])
 
 
+def _spread(df: DataFrame, key: list[str]) -> DataFrame:
+    """Rows by key over all cores: training is long for its few bytes, and Spark would merge
+    such small partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(TASKS_PER_CORE * cores, *key)
+
+
 def _sentences(group: pd.DataFrame) -> list[np.ndarray]:
     return [np.asarray(t, dtype=object) for t in group.sort_values("rank")["tokens"]]
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.scoring import discounted
+from quern.functions.scoring import discounted, to_digits
 from quern.operators.retrieval import QUERY
 
 METRIC_DIGITS = 4
@@ -87,7 +87,7 @@ def long_metrics(
 
 def with_all_row(metrics: DataFrame, key: Sequence[str] = ("metric",)) -> DataFrame:
     """Long metrics as text ids with one more row ``all`` per metric: the mean over queries."""
-    value = F.round(F.avg("value"), METRIC_DIGITS)
+    value = to_digits(F.avg("value"), METRIC_DIGITS)
     return (
         metrics.select(*key, "query_id", "value")
         .groupingSets([[*key, "query_id"], [*key]], *key, "query_id")

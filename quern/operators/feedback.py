@@ -1,7 +1,8 @@
 """Document-term weights, neighbours and dominant documents within each query's hits.
 
 A query has at most ``first_ret`` hits, so every group below is bounded by that parameter
-and by the length of its documents.
+and by the length of its documents. Rows are therefore placed by query once, and the
+windows and groupings on finer keys that follow need no further exchange.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ def tfidf_l2(terms: DataFrame, key: Sequence[str] = QUERY) -> DataFrame:
     same_doc = Window.partitionBy(*key, "doc_id")
     raw = F.col("tf") * smoothed_idf(F.col("n_hits"), F.count(F.lit(1)).over(same_term))
     return (
-        terms.withColumn("raw", raw)
+        terms.repartition(*key)
+        .withColumn("raw", raw)
         .withColumn("length", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(same_doc)))
         .select(*key, "doc_id", "term", (F.col("raw") / F.col("length")).alias("weight"))
     )
@@ -39,21 +41,24 @@ def tfidf_l2(terms: DataFrame, key: Sequence[str] = QUERY) -> DataFrame:
 def similar_hits(weights: DataFrame, key: Sequence[str] = QUERY) -> DataFrame:
     """Cosine of hits of one query that share a term: (key, doc_id, nbr_id, similarity), both ways.
 
-    Documents meet only on a common term, each pair once; the products are summed before the
-    exchange.
+    Documents meet only on a common term: each row sees the hits before it in its term's list.
     """
-    left = weights.select(*key, "term", F.col("doc_id").alias("a"), F.col("weight").alias("wa"))
-    right = weights.select(*key, "term", F.col("doc_id").alias("b"), F.col("weight").alias("wb"))
+    before = (
+        Window.partitionBy(*key, "term")
+        .orderBy("doc_id")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    product = F.col("weight") * F.col("earlier.weight")
     cosine = (
-        left.join(right, [*key, "term"])
-        .where(F.col("a") < F.col("b"))
-        .groupBy(*key, "a", "b")
-        .agg(F.round(F.sum(F.col("wa") * F.col("wb")), SIMILARITY_DIGITS).alias("similarity"))
+        weights.withColumn("list", F.collect_list(F.struct("doc_id", "weight")).over(before))
+        .select(*key, "doc_id", "weight", F.explode("list").alias("earlier"))
+        .groupBy(*key, "doc_id", F.col("earlier.doc_id").alias("nbr_id"))
+        .agg(F.round(F.sum(product), SIMILARITY_DIGITS).alias("similarity"))
         .where(F.col("similarity") > 0)
     )
     both = F.array(
-        F.struct(F.col("a").alias("doc_id"), F.col("b").alias("nbr_id")),
-        F.struct(F.col("b").alias("doc_id"), F.col("a").alias("nbr_id")),
+        F.struct("doc_id", "nbr_id"),
+        F.struct(F.col("nbr_id").alias("doc_id"), F.col("doc_id").alias("nbr_id")),
     )
     return cosine.select(*key, F.explode(both).alias("pair"), "similarity").select(
         *key, "pair.doc_id", "pair.nbr_id", "similarity"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.probability import two_sided_normal, two_sided_t
+from quern.functions.scoring import to_digits
 from quern.operators.evaluation import METRIC_DIGITS
 
 GROUP = ["method", "metric"]
@@ -39,7 +40,7 @@ def wilcoxon(pairs: DataFrame, digits: int | None = METRIC_DIGITS) -> DataFrame:
     """
     d = F.col("base_value") - F.col("value")
     if digits is not None:
-        d = F.round(d, digits)
+        d = to_digits(d, digits)
     ties = (
         pairs.select(*GROUP, d.alias("d"))
         .where(F.col("d") != 0)

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.scoring import to_digits
 from quern.operators.evaluation import METRIC_DIGITS, METRICS, long_metrics, query_metrics
 from quern.operators.retrieval import query_terms, search
 from quern.params import Bm25
@@ -94,7 +95,7 @@ class Experiment:
         return written(
             query_metrics(self.method_runs(), self.qrels, METHOD_KEY).select(
                 F.col("query_id").cast("int").alias("id_Q"),
-                *[F.round(m, METRIC_DIGITS).alias(m) for m in METRICS],
+                *[to_digits(F.col(m), METRIC_DIGITS).alias(m) for m in METRICS],
                 "method",
             ),
             "methods",

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.scoring import to_digits
 from quern.operators.comparison import (
     difference_extremes,
     mean_difference,
     method_difference,
     paired,
 )
+from quern.operators.evaluation import METRIC_DIGITS
 from quern.operators.significance import verdicts
 
 GROUP = ["method", "metric"]
@@ -24,8 +26,8 @@ def method_report(long: DataFrame, baseline: str = "base") -> DataFrame:
     pairs = paired(long, baseline)
     means = pairs.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("base_value"), 4).alias("base_mean"),
-        F.round(F.avg("value"), 4).alias("method_mean"),
+        to_digits(F.avg("base_value"), METRIC_DIGITS).alias("base_mean"),
+        to_digits(F.avg("value"), METRIC_DIGITS).alias("method_mean"),
     )
     extremes = difference_extremes(method_difference(pairs)).select(
         *GROUP, "max_difference", "max_id", "min_difference", "min_id"

@@ -8,6 +8,7 @@ from dataclasses import asdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.scoring import to_digits
 from quern.functions.text import Tokenizer, tokenize
 from quern.operators.clusters import (
     best_clusters,
@@ -93,7 +94,7 @@ def grid_means(runs: DataFrame, qrels: DataFrame) -> DataFrame:
     """Mean of each metric per setting: (config_id, metric, mean)."""
     values = long_metrics(query_metrics(runs, qrels, CONFIG), CONFIG)
     return values.groupBy("config_id", "metric").agg(
-        F.round(F.avg("value"), METRIC_DIGITS).alias("mean")
+        to_digits(F.avg("value"), METRIC_DIGITS).alias("mean")
     )
 
 
