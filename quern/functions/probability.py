@@ -73,7 +73,7 @@ def _t_series(t: Column, df: Column) -> Column:
         .when(odd, (theta + sine * total) * (2 / math.pi))
         .otherwise(sine * total)
     )
-    return F.greatest(1 - inside, F.lit(0.0))
+    return F.when(inside >= 1, 0.0).otherwise(1 - inside)
 
 
 def _t_as_normal(t: Column, df: Column) -> Column:

@@ -28,7 +28,9 @@ def combine_metrics(long: DataFrame, metrics: Sequence[str] = METRICS) -> DataFr
 
 def long_table(table: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
     """Method table to (method, metric, id_Q, value)."""
-    return table.unpivot(["method", "id_Q"], [*metrics], "metric", "value")
+    return table.unpivot(["method", "id_Q"], [*metrics], "metric", "value").select(
+        "method", "metric", "id_Q", "value"
+    )
 
 
 def preview(table: DataFrame, n: int = 5) -> DataFrame:

@@ -20,6 +20,8 @@ from quern.params import W2vParams
 
 SIMILARITY_DIGITS = 6
 BATCH = 512
+BATCH_STEPS = 32
+NOISE_SHARE = 16
 TASKS_PER_CORE = 4
 FIRST_RATE, LAST_RATE = 0.025, 0.0001
 
@@ -165,38 +167,56 @@ def train_skip_gram(
     if params.sample > 0:
         budget = params.sample * counts.sum()
         stay = np.minimum(1.0, (np.sqrt(counts / budget) + 1) * budget / counts)
+    batch_size = _batch_size(counts * stay, params.negative)
     for epoch in range(params.epochs):
         chosen = rng.random(len(codes)) < stay[codes]
         centre, context = _pairs(codes[chosen], sentence[chosen], params.window, rng)
         order = rng.permutation(len(centre))
-        for start in range(0, len(order), BATCH):
+        for start in range(0, len(order), batch_size):
             done = (epoch + start / len(order)) / params.epochs
             rate = np.float32(FIRST_RATE - (FIRST_RATE - LAST_RATE) * done)
-            batch = order[start : start + BATCH]
-            draws = rng.random((len(batch), params.negative)) * noise[-1]
-            targets = np.column_stack([context[batch], np.searchsorted(noise, draws, side="right")])
-            _update(inner, outer, centre[batch], targets, rate)
+            batch = order[start : start + batch_size]
+            draws = rng.random(max(1, len(batch) // NOISE_SHARE) * params.negative) * noise[-1]
+            shared = np.searchsorted(noise, draws, side="right")
+            _update(inner, outer, centre[batch], context[batch], shared, params.negative, rate)
     return terms, counts, inner
 
 
+def _batch_size(counts: np.ndarray, negative: int) -> int:
+    """Pairs per batch, so few that the most frequent word takes at most ``BATCH_STEPS`` steps.
+
+    The steps of a batch start from the same vectors; too many on one word would overshoot.
+    """
+    share = counts.max() / counts.sum()
+    return int(np.clip(BATCH_STEPS / (share * max(1, negative)), 1, BATCH))
+
+
 def _update(
-    inner: np.ndarray, outer: np.ndarray, centre: np.ndarray, targets: np.ndarray, rate: np.float32
+    inner: np.ndarray,
+    outer: np.ndarray,
+    centre: np.ndarray,
+    context: np.ndarray,
+    shared: np.ndarray,
+    negative: int,
+    rate: np.float32,
 ) -> None:
-    """One gradient step: the first target of a row is its true context, the rest are noise."""
-    hidden, out = inner[centre], outer[targets]
-    gradient = -1 / (1 + np.exp(-np.einsum("bd,bkd->bk", hidden, out)))
-    gradient[:, 0] += 1
-    gradient[:, 1:][targets[:, 1:] == targets[:, :1]] = 0
-    gradient *= rate
-    step = np.einsum("bk,bkd->bd", gradient, out)
-    _add_rows(outer, targets.ravel(), (gradient[:, :, None] * hidden[:, None, :]).reshape(-1, hidden.shape[1]))
-    _add_rows(inner, centre, step)
+    """One gradient step. The batch shares its noise words, each weighted so that a pair still
+    meets ``negative`` of them; its own context is not noise to it."""
+    hidden, true, false = inner[centre], outer[context], outer[shared]
+    pull = rate * (1 - _sigmoid(np.einsum("bd,bd->b", hidden, true)))[:, None]
+    push = -(rate * np.float32(negative / len(shared))) * _sigmoid(hidden @ false.T)
+    push[context[:, None] == shared] = 0
+    _add_rows(outer, context, pull * hidden)
+    _add_rows(outer, shared, push.T @ hidden)
+    _add_rows(inner, centre, pull * true + push @ false)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
 
 
 def _add_rows(matrix: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
-    found, first = np.unique(rows[order], return_index=True)
-    matrix[found] += np.add.reduceat(values[order], first, axis=0)
+    np.add.at(matrix, rows, values)
 
 
 def _pairs(

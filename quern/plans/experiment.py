@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.scoring import to_digits
-from quern.operators.evaluation import METRIC_DIGITS, METRICS, long_metrics, query_metrics
+from quern.operators.comparison import long_table
+from quern.operators.evaluation import METRIC_DIGITS, METRICS, query_metrics
 from quern.operators.retrieval import query_terms, search
 from quern.params import Bm25
 from quern.sources.term_index import TermIndex, build_index
@@ -104,9 +105,7 @@ class Experiment:
     @property
     def long_methods(self) -> DataFrame:
         """(method, metric, id_Q, value) of the method table."""
-        return long_metrics(
-            self.method_table.select("method", "id_Q", *METRICS), ["method", "id_Q"]
-        )
+        return long_table(self.method_table)
 
     def user_totals(self) -> DataFrame:
         """Total event value per user and type as one more paired sample; ``view`` is the base."""

@@ -38,7 +38,9 @@ def metric_rows(spark: SparkSession, path: str, name_filter: str | None = None)
 
 def without_summary(rows: DataFrame) -> DataFrame:
     """Query rows only, with the id as an integer ``id_Q``."""
-    return rows.where(F.col("id_q") != ALL_ROW).withColumn("id_q", F.col("id_q").cast("int")).withColumnRenamed("id_q", "id_Q")
+    ids = F.col("id_q").cast("int").alias("id_Q")
+    others = [c for c in rows.columns if c.lower() != "id_q"]
+    return rows.where(F.col("id_q") != ALL_ROW).select(ids, *others)
 
 
 def load_metric_file(spark: SparkSession, path: str, metric_name: str) -> DataFrame:
@@ -49,9 +51,7 @@ def load_metric_file(spark: SparkSession, path: str, metric_name: str) -> DataFr
 
 def find_file(spark: SparkSession, folder: str, pattern: str) -> str:
     """The one file of ``folder`` whose name contains ``pattern``."""
-    found = (
-        spark.read.option("pathGlobFilter", f"*{pattern}*").text(folder).inputFiles()
-    )
+    found = spark.read.option("pathGlobFilter", f"*{pattern}*").text(folder).inputFiles()
     if not found:
         raise FileNotFoundError(f"no file matching {pattern!r} in {folder}")
     if len(found) > 1:
@@ -67,17 +67,25 @@ def load_metrics(spark: SparkSession, root: str) -> DataFrame:
 
 
 def run_configuration(file: Column) -> Column:
-    """Parameters that a metric file's name holds; those it lacks are null."""
+    """Parameters that a metric file's name holds; those it lacks are null.
+
+    ``ret`` is the short form of ``first_ret``; an underscore stands for the decimal point.
+    """
 
-    def number(name: str, kind: str) -> Column:
-        text = F.nullif(F.regexp_extract(file, rf"(?:^|_){name}(\d+(?:_\d+)?)(?=[_.]|$)", 1), F.lit(""))
-        return F.replace(text, F.lit("_"), F.lit(".")).cast(kind).alias(name)
+    def number(name: str, form: str, digits: str, kind: str) -> Column:
+        text = F.regexp_extract(file, rf"(?:^|_){form}({digits})(?=[_.]|$)", 1)
+        plain = F.replace(F.nullif(text, F.lit("")), F.lit("_"), F.lit("."))
+        return plain.cast(kind).alias(name)
 
     counts = (
-        "first_ret", "n_neighbours", "min_doc_c", "vector_size", "window", "min_count",
-        "negative", "epochs", "min_df", "ret", "top_n",
+        "n_neighbours", "min_doc_c", "vector_size", "window", "min_count", "negative",
+        "epochs", "min_df", "top_n",
+    )
+    return F.struct(
+        number("first_ret", "(?:first_)?ret", r"\d+", "int"),
+        *[number(c, c, r"\d+", "int") for c in counts],
+        *[number(c, c, r"\d+(?:_\d+)?", "double") for c in ("sample", "lambda")],
     )
-    return F.struct(*[number(c, "int") for c in counts], number("sample", "double"), number("lambda", "double"))
 
 
 def read_method_tables(spark: SparkSession, root: str, name_filter: str = "*.csv") -> DataFrame:
@@ -111,4 +119,5 @@ def write_metric_files(metrics: DataFrame, folder: str) -> None:
 
 def write_run(rows: DataFrame, folder: str) -> None:
     """A run for evaluation tools: blank-separated, no header."""
-    rows.select("query_id", "iteration", "doc_id", "rank", "score", "tag").write.option("sep", " ").csv(folder)
+    columns = ["query_id", "iteration", "doc_id", "rank", "score", "tag"]
+    rows.select(*columns).write.option("sep", " ").csv(folder)
