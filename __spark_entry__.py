@@ -199,55 +199,56 @@ def knn_hits(e: Experiment) -> DataFrame:
     return expanded_search.feedback(e.index, e.clauses, KNN.first_ret)
 
 
-def hit_weights(e: Experiment, hits: DataFrame) -> DataFrame:
-    return feedback.tfidf_l2(written(feedback.hit_terms(hits, e.index.postings), "hit-terms"))
+def knn_terms(e: Experiment, hits: DataFrame) -> DataFrame:
+    return written(feedback.hit_terms(hits, e.index.postings), "hit-terms")
 
 
 def tfidf_l2(e: Experiment) -> DataFrame:
-    return rounded(hit_weights(e, knn_hits(e)), 9, "weight")
+    return rounded(feedback.tfidf_l2(knn_terms(e, knn_hits(e))), 9, "weight")
 
 
 def knn_neighbours(e: Experiment) -> DataFrame:
     hits = knn_hits(e)
-    return feedback.nearest_hits(hits, hit_weights(e, hits), KNN.n_neighbours)
+    weights = feedback.tfidf_l2(knn_terms(e, hits))
+    return feedback.nearest_hits(hits, weights, KNN.n_neighbours)
 
 
 def knn_dominant_docs(e: Experiment) -> DataFrame:
     return feedback.dominant_hits(knn_neighbours(e), KNN.min_doc_c)
 
 
-def cluster_documents(e: Experiment) -> DataFrame:
-    neighbours = written(knn_neighbours(e), "neighbours")
-    dominant = feedback.dominant_hits(neighbours, KNN.min_doc_c)
-    members = written(clusters.cluster_members(dominant, neighbours), "members")
-    return clusters.cluster_texts(members, e.documents)
+def knn_members(e: Experiment) -> tuple[DataFrame, DataFrame]:
+    """Members of the clusters, and the postings of the hits."""
+    hits = knn_hits(e)
+    terms = knn_terms(e, hits)
+    return expanded_search.knn_members(hits, terms, KNN), terms
 
 
-def cluster_terms(e: Experiment) -> DataFrame:
-    return expanded_search.knn_clusters(knn_hits(e), e.index, KNN)
+def cluster_documents(e: Experiment) -> DataFrame:
+    members, _ = knn_members(e)
+    return clusters.cluster_texts(members, e.documents)
 
 
 def best_cluster(e: Experiment) -> DataFrame:
-    return clusters.best_clusters(e.clauses, cluster_terms(e))
+    return clusters.best_clusters(e.clauses, *knn_members(e))
 
 
 def cluster_term_scores(e: Experiment) -> DataFrame:
     """Scores with document frequency over the clusters, and over the collection."""
-    terms = cluster_terms(e)
-    collection = clusters.term_scores(terms, e.index, "collection").withColumnsRenamed(
-        {"df": "collection_df", "score": "collection_score"}
-    )
-    return clusters.term_scores(terms, e.index).join(
-        collection.drop("tf"), ["query_id", "cluster_id", "term"]
-    )
+    scores = clusters.term_scores(clusters.cluster_terms(*knn_members(e)), e.index)
+    collection = e.index.terms.select("term", F.col("df").alias("collection_df"))
+    n_docs = F.lit(e.index.n_docs)
+    score = collection_weight(F.col("tf"), n_docs, F.col("collection_df"))
+    return scores.join(collection, "term").withColumn("collection_score", score)
 
 
 def cluster_top_terms(e: Experiment) -> DataFrame:
-    return expanded_search.knn_expansion(e.clauses, cluster_terms(e), e.index, KNN)
+    return expanded_search.knn_expansion(e.clauses, *knn_members(e), e.index, KNN.top_n)
 
 
 def qe_term_filter(e: Experiment) -> DataFrame:
-    return clusters.new_terms(clusters.term_scores(cluster_terms(e), e.index), e.clauses)
+    scores = clusters.term_scores(clusters.cluster_terms(*knn_members(e)), e.index)
+    return clusters.new_terms(scores, e.clauses)
 
 
 def knn_qe_search(e: Experiment) -> DataFrame:

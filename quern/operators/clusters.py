@@ -21,17 +21,10 @@ from quern.sources.term_index import TermIndex
 def cluster_members(
     dominant: DataFrame, neighbours: DataFrame, key: Sequence[str] = QUERY
 ) -> DataFrame:
-    """The neighbours of each dominant document, in order.
-
-    (key, cluster_id, n_clusters, doc_id, k) with ``n_clusters`` the query's clusters.
-    """
-    per_query = Window.partitionBy(*key)
-    counted = dominant.select(
-        *key, "cluster_id", F.count(F.lit(1)).over(per_query).alias("n_clusters")
-    )
+    """(key, cluster_id, doc_id, k): the neighbours of each dominant document, in order."""
     lists = neighbours.select(*key, F.col("doc_id").alias("cluster_id"), "nbr_id", "k")
-    return lists.join(counted, [*key, "cluster_id"]).select(
-        *key, "cluster_id", "n_clusters", F.col("nbr_id").alias("doc_id"), "k"
+    return lists.join(dominant.select(*key, "cluster_id"), [*key, "cluster_id"]).select(
+        *key, "cluster_id", F.col("nbr_id").alias("doc_id"), "k"
     )
 
 
@@ -51,41 +44,61 @@ def cluster_texts(
 def cluster_terms(
     members: DataFrame, hit_terms: DataFrame, key: Sequence[str] = QUERY
 ) -> DataFrame:
-    """Terms of each cluster: (key, cluster_id, term, tf, cluster_df, dl, n_clusters, avg_length).
+    """Terms of all clusters: (key, cluster_id, term, tf, cluster_df).
 
-    Counts of the concatenated text come from the postings of its documents. ``cluster_df``
-    is the number of the query's clusters that hold the term; ``dl`` the cluster's tokens.
-    A query's clusters are bounded by its hits, so its rows are placed together once for
-    the sums over cluster, term and query.
+    Counts of the concatenated text come from the postings of its documents; ``cluster_df`` is
+    the number of the query's clusters that hold the term. A query's clusters are bounded by
+    its hits, so its rows are placed together once for both.
     """
-    query = Window.partitionBy(*key)
-    cluster = Window.partitionBy(*key, "cluster_id")
     same_term = Window.partitionBy(*key, "term")
     return (
         hit_terms.select(*key, "doc_id", "term", "tf")
-        .join(members, [*key, "doc_id"])
+        .join(members.select(*key, "cluster_id", "doc_id"), [*key, "doc_id"])
         .repartition(*key)
-        .groupBy(*key, "n_clusters", "cluster_id", "term")
+        .groupBy(*key, "cluster_id", "term")
         .agg(F.sum("tf").alias("tf"))
-        .withColumn("avg_length", F.sum("tf").over(query) / F.col("n_clusters"))
-        .withColumn("dl", F.sum("tf").over(cluster))
         .withColumn("cluster_df", F.count(F.lit(1)).over(same_term))
-        .select(*key, "cluster_id", "term", "tf", "cluster_df", "dl", "n_clusters", "avg_length")
+    )
+
+
+def cluster_lengths(
+    members: DataFrame, hit_terms: DataFrame, key: Sequence[str] = QUERY
+) -> DataFrame:
+    """(key, cluster_id, dl, n_clusters, avg_length): tokens of each cluster, and the query's mean."""
+    per_query = Window.partitionBy(*key)
+    doc_lengths = hit_terms.groupBy(*key, "doc_id").agg(F.max("dl").alias("doc_dl"))
+    return (
+        members.join(doc_lengths, [*key, "doc_id"])
+        .groupBy(*key, "cluster_id")
+        .agg(F.sum("doc_dl").alias("dl"))
+        .withColumn("n_clusters", F.count(F.lit(1)).over(per_query))
+        .withColumn("avg_length", F.avg("dl").over(per_query))
     )
 
 
 def best_clusters(
-    clauses: DataFrame, terms: DataFrame, key: Sequence[str] = QUERY, bm25: Bm25 = Bm25()
+    clauses: DataFrame,
+    members: DataFrame,
+    hit_terms: DataFrame,
+    key: Sequence[str] = QUERY,
+    bm25: Bm25 = Bm25(),
 ) -> DataFrame:
-    """The query's best cluster by BM25 over its own clusters: (key, cluster_id, score)."""
+    """The query's best cluster by BM25 over its own clusters: (key, cluster_id, score).
+
+    Only postings of the query's own terms are put into clusters.
+    """
+    matched = hit_terms.join(clauses.select(*key, "term", "boost"), [*key, "term"])
     part = (
         F.col("boost")
         * bm25_idf(F.col("n_clusters"), F.col("cluster_df"))
         * bm25_saturation(F.col("tf"), F.col("dl"), F.col("avg_length"), bm25)
     )
     first = Window.partitionBy(*key).orderBy(F.desc("score"), "cluster_id")
+    boosts = clauses.select(*key, "term", "boost")
     return (
-        terms.join(clauses, [*key, "term"])
+        cluster_terms(members, matched, key)
+        .join(boosts, [*key, "term"])
+        .join(cluster_lengths(members, hit_terms, key), [*key, "cluster_id"])
         .groupBy(*key, "cluster_id")
         .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
         .withColumn("rank", F.row_number().over(first))
@@ -94,6 +107,43 @@ def best_clusters(
     )
 
 
+def clusters_of_hits(
+    members: DataFrame, best: DataFrame, key: Sequence[str] = QUERY
+) -> DataFrame:
+    """(key, doc_id, cluster_ids, best_id): the clusters a hit is in; best_id where one is the best."""
+    best_id = best.select(*key, F.col("cluster_id").alias("best_id"))
+    is_best = F.when(F.col("cluster_id") == F.col("best_id"), F.col("best_id"))
+    return (
+        members.join(best_id, [*key])
+        .groupBy(*key, "doc_id")
+        .agg(F.collect_list("cluster_id").alias("cluster_ids"), F.max(is_best).alias("best_id"))
+    )
+
+
+def best_cluster_terms(
+    placed: DataFrame, hit_terms: DataFrame, key: Sequence[str] = QUERY
+) -> DataFrame:
+    """Terms of the best cluster only, as ``cluster_terms`` has them.
+
+    ``placed`` comes from ``clusters_of_hits``. Each posting of a hit is read once, however many
+    clusters its document is in; one grouping counts both the best cluster and all clusters.
+    """
+    in_best = F.col("best_id").isNotNull()
+    holders = F.array_distinct(F.flatten(F.collect_list("cluster_ids")))
+    return (
+        hit_terms.select(*key, "doc_id", "term", "tf")
+        .join(placed, [*key, "doc_id"])
+        .groupBy(*key, "term")
+        .agg(
+            F.max("best_id").alias("cluster_id"),
+            F.sum(F.when(in_best, F.col("tf"))).alias("tf"),
+            F.size(holders).cast("long").alias("cluster_df"),
+        )
+        .where(F.col("tf").isNotNull())
+        .select(*key, "cluster_id", "term", "tf", "cluster_df")
+    )
+
+
 def term_scores(
     terms: DataFrame, index: TermIndex, df_scope: str = "cluster", key: Sequence[str] = QUERY
 ) -> DataFrame:

@@ -216,7 +216,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _add_rows(matrix: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    np.add.at(matrix, rows, values)
+    """Add each value row to its matrix row, repeated rows included."""
+    width = matrix.shape[1]
+    cells = (rows[:, None] * width + np.arange(width)).ravel()
+    np.add.at(matrix.reshape(-1), cells, np.ravel(values))
 
 
 def _pairs(

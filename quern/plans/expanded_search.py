@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import Tokenizer, tokenize
 from quern.operators.clusters import (
+    best_cluster_terms,
     best_clusters,
     cluster_members,
-    cluster_terms,
+    clusters_of_hits,
     term_scores,
     top_terms,
 )
@@ -28,29 +29,33 @@ def feedback(index: TermIndex, clauses: DataFrame, first_ret: int) -> DataFrame:
     return written(search(index, clauses, first_ret), "hits")
 
 
-def knn_clusters(
-    hits: DataFrame, index: TermIndex, params: KnnParams, key: Sequence[str] = QUERY
+def knn_members(
+    hits: DataFrame, terms: DataFrame, params: KnnParams, key: Sequence[str] = QUERY
 ) -> DataFrame:
-    """Terms of the clusters around dominant hits, written (see ``cluster_terms``)."""
-    terms = written(hit_terms(hits, index.postings, key), "hit-terms")
-    neighbours = written(
-        nearest_hits(hits, tfidf_l2(terms, key), params.n_neighbours, key), "neighbours"
-    )
-    members = cluster_members(dominant_hits(neighbours, params.min_doc_c, key), neighbours, key)
-    return written(cluster_terms(members, terms, key), "cluster-terms")
+    """Documents of the clusters around dominant hits, written."""
+    weights = tfidf_l2(terms, key)
+    neighbours = written(nearest_hits(hits, weights, params.n_neighbours, key), "neighbours")
+    dominant = dominant_hits(neighbours, params.min_doc_c, key)
+    return written(cluster_members(dominant, neighbours, key), "members")
 
 
 def knn_expansion(
     clauses: DataFrame,
-    clusters: DataFrame,
+    members: DataFrame,
+    terms: DataFrame,
     index: TermIndex,
-    params: KnnParams,
+    top_n: int | Column = 25,
+    df_scope: str = "cluster",
     key: Sequence[str] = QUERY,
 ) -> DataFrame:
-    """Top terms of each query's best cluster: (key, term, score, rank)."""
-    best = best_clusters(clauses, clusters, key)
-    scored = term_scores(clusters, index, params.df_scope, key)
-    return top_terms(scored.join(best.select(*key, "cluster_id"), [*key, "cluster_id"]), params.top_n, key)
+    """Top terms of each query's best cluster: (key, term, score, rank).
+
+    ``terms`` are the postings of the hits (see ``hit_terms``).
+    """
+    best = best_clusters(clauses, members, terms, key)
+    placed = written(clusters_of_hits(members, best, key), "placed")
+    scored = term_scores(best_cluster_terms(placed, terms, key), index, df_scope, key)
+    return top_terms(scored, top_n, key)
 
 
 def clauses_or_fallback(
@@ -77,8 +82,10 @@ def knn_search(
     """Expansion by nearest-neighbour clusters; queries without a dominant hit run unexpanded."""
     clauses = written(query_terms(queries, tokenizer=tokenizer), "clauses")
     hits = feedback(index, clauses, params.first_ret)
-    clusters = knn_clusters(hits, index, params)
-    new = written(knn_expansion(clauses, clusters, index, params), "expansion")
+    terms = written(hit_terms(hits, index.postings), "hit-terms")
+    members = knn_members(hits, terms, params)
+    new = knn_expansion(clauses, members, terms, index, params.top_n, params.df_scope)
+    new = written(new, "expansion")
     return search(index, clauses_or_fallback(clauses, new, params.lam), size)
 
 

@@ -10,13 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.scoring import to_digits
 from quern.functions.text import Tokenizer, tokenize
-from quern.operators.clusters import (
-    best_clusters,
-    cluster_members,
-    cluster_terms,
-    term_scores,
-    top_terms,
-)
+from quern.operators.clusters import cluster_members
 from quern.operators.evaluation import METRIC_DIGITS, long_metrics, query_metrics
 from quern.operators.feedback import (
     dominant_hits,
@@ -27,7 +21,7 @@ from quern.operators.feedback import (
 )
 from quern.operators.retrieval import query_terms, search
 from quern.params import KnnParams
-from quern.plans.expanded_search import feedback
+from quern.plans.expanded_search import feedback, knn_expansion
 from quern.sources.term_index import TermIndex
 from quern.storage import written
 
@@ -66,21 +60,16 @@ def knn_grid_runs(
         "neighbours",
     )
     dominant = dominant_hits(neighbours, _setting(grid, "min_doc_c"), CONFIG)
-    members = cluster_members(dominant, neighbours, CONFIG)
-    clusters = written(cluster_terms(members, _per_config(terms, grid), CONFIG), "cluster-terms")
+    members = written(cluster_members(dominant, neighbours, CONFIG), "members")
     config_clauses = clauses.withColumn(
         "config_id", F.explode(F.array(*[F.lit(i) for i in range(1, len(grid) + 1)]))
     )
-    best = best_clusters(config_clauses, clusters, CONFIG)
-    scored = term_scores(clusters, index, scopes.pop(), CONFIG)
-    new = written(
-        top_terms(
-            scored.join(best.select(*CONFIG, "cluster_id"), [*CONFIG, "cluster_id"]),
-            _setting(grid, "top_n"),
-            CONFIG,
-        ),
-        "expansion",
+    top_n = _setting(grid, "top_n")
+    config_terms = _per_config(terms, grid)
+    new = knn_expansion(
+        config_clauses, members, config_terms, index, top_n, scopes.pop(), CONFIG
     )
+    new = written(new, "expansion")
     lam = _setting(grid, "lam")
     expanded = new.select(*CONFIG).distinct().withColumn("expanded", F.lit(True))
     original = config_clauses.join(expanded, CONFIG, "left").select(
