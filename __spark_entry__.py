@@ -286,8 +286,8 @@ def term_similarity(e: Experiment) -> DataFrame:
     """Neighbours of each label's first vector among the vectors of that label."""
     table = e.table("embeddings")
     vectors = table.select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    first = F.min_by(F.struct("id", "vector"), "id").alias("first")
-    probes = vectors.groupBy("label").agg(first).select("label", "first.*")
+    ids = written(vectors.groupBy("label").agg(F.min("id").alias("id")), "probe-ids")
+    probes = written(vectors.join(ids, ["label", "id"]), "probes")
     return embeddings.similar_vectors(vectors, probes, 10, ["label"])
 
 

@@ -17,10 +17,10 @@ def combine_metrics(long: DataFrame, metrics: Sequence[str] = METRICS) -> DataFr
     One grouping gives what joining one frame per metric would: only ids that have every
     metric stay.
     """
+    of_metric = [F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics]
     return (
         long.groupBy("method", "id_Q")
-        .pivot("metric", [*metrics])
-        .agg(F.first("value"))
+        .agg(*of_metric)
         .dropna(subset=[*metrics])
         .select("id_Q", *metrics, "method")
     )

@@ -87,18 +87,11 @@ def long_metrics(
 
 def with_all_row(metrics: DataFrame, key: Sequence[str] = ("metric",)) -> DataFrame:
     """Long metrics as text ids with one more row ``all`` per metric: the mean over queries."""
-    value = to_digits(F.avg("value"), METRIC_DIGITS)
-    return (
-        metrics.select(*key, "query_id", "value")
-        .groupingSets([[*key, "query_id"], [*key]], *key, "query_id")
-        .agg(value.alias("value"), F.grouping("query_id").alias("summary"))
-        .select(
-            *key,
-            F.when(F.col("summary") == 1, "all")
-            .otherwise(F.col("query_id").cast("string"))
-            .alias("id_q"),
-            "value",
-        )
+    rows = metrics.select(*key, F.col("query_id").cast("string").alias("id_q"), "value")
+    means = metrics.groupBy(*key).agg(F.avg("value").alias("value"))
+    summary = means.select(*key, F.lit("all").alias("id_q"), "value")
+    return rows.unionByName(summary).withColumn(
+        "value", to_digits(F.col("value"), METRIC_DIGITS)
     )
 
 

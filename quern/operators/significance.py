@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.probability import two_sided_normal, two_sided_t
 from quern.functions.scoring import to_digits
 from quern.operators.evaluation import METRIC_DIGITS
+from quern.storage import written
 
 GROUP = ["method", "metric"]
 ALPHA = 0.05
@@ -34,26 +35,27 @@ def wilcoxon(pairs: DataFrame, digits: int | None = METRIC_DIGITS) -> DataFrame:
     d = baseline - method, zeros dropped, ties at average rank, normal approximation with tie
     correction. ``digits`` rounds d first, so that equal decimals tie; None keeps raw values.
 
-    Equal |d| are counted together, and the distinct values of a group are cut into ranges at
-    approximate quantiles. Ranks inside a range and the number of values before it add up to
-    the exact rank, so no task orders a whole group; any cut points give the same result.
+    Equal |d| are counted together and written; the distinct values of a group are cut into
+    ranges at approximate quantiles. Ranks inside a range and the number of values before it
+    add up to the exact rank, whatever the cut points. The rows are placed by range, so no task
+    orders a whole group.
     """
     d = F.col("base_value") - F.col("value")
     if digits is not None:
         d = to_digits(d, digits)
-    ties = (
+    counts = written(
         pairs.select(*GROUP, d.alias("d"))
-        .where(F.col("d") != 0)
         .groupBy(*GROUP, F.abs("d").alias("size"))
         .agg(
             F.count(F.lit(1)).alias("tied"),
             F.count(F.when(F.col("d") > 0, True)).alias("plus"),
-        )
+        ),
+        "ties",
     )
-    cut_points = ties.groupBy(*GROUP).agg(
-        F.percentile_approx("size", [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)], 1000).alias(
-            "cuts"
-        )
+    ties = counts.where(F.col("size") > 0)
+    shares = [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)]
+    cut_points = written(
+        ties.groupBy(*GROUP).agg(F.percentile_approx("size", shares, 1000).alias("cuts")), "cuts"
     )
     inside = Window.partitionBy(*GROUP, "bucket").orderBy("size")
     before = Window.partitionBy(*GROUP).orderBy("bucket").rowsBetween(
@@ -63,6 +65,8 @@ def wilcoxon(pairs: DataFrame, digits: int | None = METRIC_DIGITS) -> DataFrame:
     ranges = (
         ties.join(cut_points, GROUP)
         .withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("size"))))
+        .select(*GROUP, "bucket", "size", "tied", "plus")
+        .repartition(*GROUP, "bucket")
         .withColumn("upto", F.sum("tied").over(inside))
         .withColumn("rank", F.col("upto") - (tied - 1) / 2)
         .groupBy(*GROUP, "bucket")
@@ -94,7 +98,7 @@ def wilcoxon(pairs: DataFrame, digits: int | None = METRIC_DIGITS) -> DataFrame:
         ((F.least("rank_sum_plus", "rank_sum_minus") - middle) / spread).alias("z"),
     ).withColumn("p", two_sided_normal(F.col("z")))
     # A pair of methods without any difference has no ranks, but keeps its row.
-    return pairs.select(*GROUP).distinct().join(tested, GROUP, "left").withColumn(
+    return counts.select(*GROUP).distinct().join(tested, GROUP, "left").withColumn(
         "n", F.coalesce("n", F.lit(0).cast("long"))
     )
 
