@@ -22,7 +22,6 @@ KNN = KnnParams(min_doc_c=4)
 STRICT_KNN = KnnParams(n_neighbours=3, min_doc_c=6)
 W2V = W2vParams(min_count=2)
 GRID = [KnnParams(*setting) for setting in oracles.GRID]
-N_TRAIN, N_TEST = 24, 16
 METHOD_KEY = ["method", "query_id"]
 
 _experiments: dict[tuple[str, str], Experiment] = {}
@@ -261,7 +260,7 @@ def knn_qe_search(e: Experiment) -> DataFrame:
 
 
 def query_split(e: Experiment) -> DataFrame:
-    return evaluation.split_queries(e.queries, N_TRAIN, N_TEST)
+    return evaluation.split_queries(e.queries)
 
 
 def param_grid(e: Experiment) -> DataFrame:

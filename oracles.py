@@ -153,8 +153,8 @@ STEPS = {
     "gruns": " UNION ALL ".join(
         f"SELECT {i} AS config_id, query_id, doc_id, rank FROM g{i}_run" for i in range(1, len(GRID) + 1)
     ),
-    "parts": """SELECT item_id AS query_id, CASE WHEN row_number() OVER (ORDER BY item_id) <= 24 THEN 'train'
-          WHEN row_number() OVER (ORDER BY item_id DESC) <= 16 THEN 'test' ELSE 'unused' END AS part FROM benchmark""",
+    "parts": """SELECT item_id AS query_id, CASE WHEN row_number() OVER (ORDER BY item_id) <= 150 THEN 'train'
+          WHEN row_number() OVER (ORDER BY item_id DESC) <= 100 THEN 'test' ELSE 'unused' END AS part FROM benchmark""",
     "ghits": """SELECT config_id, query_id, rank, coalesce(grade, 0) AS grade, CASE WHEN grade >= 1 THEN 1 ELSE 0 END AS rel
         FROM gruns JOIN parts USING (query_id) LEFT JOIN qrels USING (query_id, doc_id) WHERE part = 'train'""",
     "gmeans": """SELECT config_id, round(round(avg(CASE WHEN r > 0 THEN ps / r ELSE 0 END), 9), 4) AS map, round(round(avg(early / 5), 9), 4) AS p_5,

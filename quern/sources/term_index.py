@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quern.functions.text import Tokenizer, tokenize
 from quern.storage import fresh_folder
 
-BYTES_PER_BUCKET = 64 << 20
+BYTES_PER_BUCKET = 256 << 20
+MOST_BUCKETS = 50_000
 
 
 @dataclass(frozen=True)
@@ -123,11 +124,12 @@ def open_index(spark: SparkSession, folder: str) -> TermIndex:
 def bucket_count(documents: DataFrame) -> int:
     """Buckets for the stored size of the input files, at least one per core.
 
-    Only the file names and sizes are read.
+    Only the file names and sizes are read. Past ``MOST_BUCKETS`` the buckets grow instead: a
+    shuffle into more partitions costs more than larger sorts that spill.
     """
     files = documents.select("_metadata.file_path", "_metadata.file_size").distinct()
     stored = files.agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes")).first()["bytes"]
     cores = documents.sparkSession.sparkContext.defaultParallelism
-    return max(cores, math.ceil(stored / BYTES_PER_BUCKET))
+    return min(max(cores, math.ceil(stored / BYTES_PER_BUCKET)), MOST_BUCKETS)
 
 
