@@ -52,7 +52,8 @@ def search(
     A document matches when it holds any clause's term, and scores the sum of boost times
     BM25. Clauses with their idf are written first; while Spark may broadcast them, the
     postings are scanned in place, added up per document shard and cut to ``size`` before
-    the only exchange. A larger set of clauses is joined by shuffle on the term.
+    the only exchange. A larger set of clauses is joined by shuffle on the term. A handful of
+    clauses also goes to the scan as a filter: the shards are sorted by term.
     """
     extra = bm25.columns()
     weights = written(
@@ -69,13 +70,24 @@ def search(
     )
     saturation = bm25_saturation(F.col("tf"), F.col("dl"), F.lit(index.avg_length), bm25)
     scores = (
-        index.postings.join(weights, "term")
+        _postings_of(index, weights)
+        .join(weights, "term")
         .groupBy(*key, "doc_id")
         .agg(F.round(F.sum(F.col("weight") * saturation), SCORE_DIGITS).alias("score"))
     )
     return top_hits(scores, size, key)
 
 
+def _postings_of(index: TermIndex, weights: DataFrame) -> DataFrame:
+    """Postings, filtered by the terms when they are few enough for Spark to push down a list."""
+    spark = weights.sparkSession
+    most = int(spark.conf.get("spark.sql.parquet.pushdown.inFilterThreshold"))
+    rows = weights.select("term").take(most + 1)
+    if len(rows) > most:
+        return index.postings
+    return index.postings.where(F.col("term").isin({r["term"] for r in rows}))
+
+
 def top_hits(scores: DataFrame, size: int, key: Sequence[str] = QUERY) -> DataFrame:
     """Rank by score, then document id, and keep the first ``size``."""
     order = Window.partitionBy(*key).orderBy(F.desc("score"), "doc_id")
