@@ -266,7 +266,8 @@ def query_split(e: Experiment) -> DataFrame:
 def param_grid(e: Experiment) -> DataFrame:
     train = query_split(e).where(F.col("part") == "train")
     runs = parameter_grid.knn_grid_runs(e.index, e.queries.join(train, "query_id"), GRID)
-    return parameter_grid.best_settings(parameter_grid.grid_means(runs, e.qrels), GRID)
+    best = parameter_grid.best_settings(parameter_grid.grid_means(runs, e.qrels), GRID)
+    return best.drop("df_scope")
 
 
 # Expansion from word vectors

@@ -12,4 +12,5 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    squares = F.aggregate(a, F.lit(0.0), lambda total, x: total + x.cast("double") * x)
+    return F.sqrt(squares)

@@ -6,11 +6,11 @@ documents; Spark spreads the queries.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import Tokenizer, tokenize
@@ -69,20 +69,22 @@ def local_vectors(
 def local_similar_terms(
     tokens: DataFrame,
     query_terms: DataFrame,
-    params: W2vParams = W2vParams(),
+    params: W2vParams | Mapping[int, W2vParams] = W2vParams(),
     key: Sequence[str] = QUERY,
 ) -> DataFrame:
     """Nearest new terms of each query term: (key, q_term, term, score, rank), rank up to ``top_n``.
 
-    Training and lookup share one pass, so the vectors never leave the task.
+    Training and lookup share one pass, so the vectors never leave the task. A mapping gives the
+    parameters of each ``config_id``, which is then part of the key.
     """
     key = list(key)
 
     def nearest(group: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
         found = pd.DataFrame(columns=["q_term", "term", "score", "rank"])
         if len(group) and len(query):
-            terms, _, vectors = train_skip_gram(_sentences(group), params)
-            found = _nearest_terms(terms, vectors, np.unique(query["term"]), params.top_n)
+            own = params if isinstance(params, W2vParams) else params[group["config_id"].iloc[0]]
+            terms, _, vectors = train_skip_gram(_sentences(group), own)
+            found = _nearest_terms(terms, vectors, np.unique(query["term"]), own.top_n)
         source = group if len(group) else query
         head = source[key].iloc[:1].loc[lambda d: d.index.repeat(len(found))]
         return pd.concat([head.reset_index(drop=True), found], axis=1)
@@ -98,7 +100,7 @@ def local_similar_terms(
 
 
 def balanced_terms(
-    similar: DataFrame, top_n: int = 7, key: Sequence[str] = QUERY
+    similar: DataFrame, top_n: int | Column = 7, key: Sequence[str] = QUERY
 ) -> DataFrame:
     """Round-robin choice over the query's terms: best rank first, then score, then term.
 

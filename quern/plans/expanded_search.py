@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,10 +96,14 @@ def w2v_expansion(
     params: W2vParams,
     key: Sequence[str] = QUERY,
     tokenizer: Tokenizer = tokenize,
+    choose: Callable[[DataFrame, int, Sequence[str]], DataFrame] = balanced_terms,
 ) -> DataFrame:
-    """Terms nearest to the query's terms in its own model: (key, term, score, rank)."""
+    """Terms nearest to the query's terms in its own model: (key, term, score, rank).
+
+    ``choose`` picks ``top_n`` of them from (key, q_term, term, score, rank).
+    """
     tokens = hit_tokens(hits, documents, key, tokenizer)
-    return balanced_terms(local_similar_terms(tokens, clauses, params, key), params.top_n, key)
+    return choose(local_similar_terms(tokens, clauses, params, key), params.top_n, key)
 
 
 def w2v_search(

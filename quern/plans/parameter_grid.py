@@ -1,9 +1,9 @@
-"""Evaluation of a grid of k-NN settings on training queries, best setting per metric."""
+"""Evaluation of a grid of expansion settings on training queries, best setting per metric."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import asdict
+from dataclasses import asdict, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions.scoring import to_digits
 from quern.functions.text import Tokenizer, tokenize
 from quern.operators.clusters import cluster_members
+from quern.operators.embeddings import balanced_terms, hit_tokens, local_similar_terms
 from quern.operators.evaluation import METRIC_DIGITS, long_metrics, query_metrics
 from quern.operators.feedback import (
     dominant_hits,
@@ -20,11 +21,12 @@ from quern.operators.feedback import (
     tfidf_l2,
 )
 from quern.operators.retrieval import query_terms, search
-from quern.params import KnnParams
+from quern.params import KnnParams, W2vParams
 from quern.plans.expanded_search import feedback, knn_expansion
 from quern.sources.term_index import TermIndex
 from quern.storage import written
 
+Params = KnnParams | W2vParams
 DEPTH = ["first_ret", "query_id"]
 CONFIG = ["config_id", "query_id"]
 
@@ -70,12 +72,45 @@ def knn_grid_runs(
         config_clauses, members, config_terms, index, top_n, scopes.pop(), CONFIG
     )
     new = written(new, "expansion")
-    lam = _setting(grid, "lam")
     expanded = new.select(*CONFIG).distinct().withColumn("expanded", F.lit(True))
-    original = config_clauses.join(expanded, CONFIG, "left").select(
-        *CONFIG, "term", F.when(F.col("expanded"), F.col("boost") * lam).otherwise(F.col("boost")).alias("boost")
-    )
+    lam = _setting(grid, "lam")
+    boost = F.when(F.col("expanded"), F.col("boost") * lam).otherwise(F.col("boost"))
+    original = config_clauses.join(expanded, CONFIG, "left").withColumn("boost", boost)
     added = new.select(*CONFIG, "term", (1 - lam).alias("boost"))
+    clauses = original.select(*CONFIG, "term", "boost").unionByName(added)
+    return search(index, clauses, size, CONFIG)
+
+
+def w2v_grid_runs(
+    index: TermIndex,
+    documents: DataFrame,
+    queries: DataFrame,
+    grid: Sequence[W2vParams],
+    size: int = 10,
+    tokenizer: Tokenizer = tokenize,
+) -> DataFrame:
+    """Runs of all word-vector settings, as ``knn_grid_runs`` has them.
+
+    Every setting trains its own model per query, in its own task.
+    """
+    clauses = written(query_terms(queries, tokenizer=tokenizer), "clauses")
+    ids = F.array(*[F.lit(i) for i in range(1, len(grid) + 1)])
+    hits = (
+        feedback(index, clauses, max(p.first_ret for p in grid))
+        .withColumn("config_id", F.explode(ids))
+        .where(F.col("rank") <= _setting(grid, "first_ret"))
+    )
+    config_clauses = clauses.withColumn("config_id", F.explode(ids))
+    similar = local_similar_terms(
+        hit_tokens(hits, documents, CONFIG, tokenizer),
+        config_clauses,
+        dict(enumerate(grid, start=1)),
+        CONFIG,
+    )
+    new = written(balanced_terms(similar, _setting(grid, "top_n"), CONFIG), "expansion")
+    lam = _setting(grid, "lam")
+    original = config_clauses.select(*CONFIG, "term", (F.col("boost") * lam).alias("boost"))
+    added = new.select(*CONFIG, "term", (F.col("score") * (1 - lam)).alias("boost"))
     return search(index, original.unionByName(added), size, CONFIG)
 
 
@@ -87,22 +122,17 @@ def grid_means(runs: DataFrame, qrels: DataFrame) -> DataFrame:
     )
 
 
-def best_settings(means: DataFrame, grid: Sequence[KnnParams]) -> DataFrame:
+def best_settings(means: DataFrame, grid: Sequence[Params]) -> DataFrame:
     """Best setting per metric with its parameters; the first of equal settings."""
     order = Window.partitionBy("metric").orderBy(F.desc("mean"), "config_id")
     return (
         means.withColumn("place", F.row_number().over(order))
         .where(F.col("place") == 1)
-        .select(
-            "metric",
-            "config_id",
-            "mean",
-            *[_setting(grid, n).alias(n) for n in ("first_ret", "n_neighbours", "min_doc_c", "top_n", "lam")],
-        )
+        .select("metric", "config_id", "mean", *[_setting(grid, f.name).alias(f.name) for f in fields(grid[0])])
     )
 
 
-def _setting(grid: Sequence[KnnParams], name: str) -> Column:
+def _setting(grid: Sequence[Params], name: str) -> Column:
     """Value of a parameter for the row's ``config_id``."""
     pairs = [F.lit(v) for i, p in enumerate(grid, start=1) for v in (i, asdict(p)[name])]
     return F.create_map(*pairs)[F.col("config_id")]

@@ -20,7 +20,8 @@ def judged(spark):
 
 
 def test_known_values(judged):
-    found = {r.query_id: (round(r.map, 4), r.p_5, round(r.ndcg_10, 4)) for r in evaluation.query_metrics(*judged).collect()}
+    metrics = evaluation.query_metrics(*judged).collect()
+    found = {r.query_id: (round(r.map, 4), r.p_5, round(r.ndcg_10, 4)) for r in metrics}
     assert found[1] == (0.2857, 0.4, 0.3774)
     assert found[2][:2] == (0.15, 0.4)
 

@@ -168,6 +168,17 @@ def test_grid_equals_single_searches(group_index, queries, rows):
         assert rows(runs.where(f"config_id = {i}").drop("config_id")) == rows(alone)
 
 
+def test_word_vector_grid_equals_single_searches(group_index, collection, queries, rows):
+    grid = [
+        W2vParams(vector_size=8, epochs=3, top_n=2, first_ret=4, lam=0.6),
+        W2vParams(vector_size=12, epochs=2, top_n=3, window=2),
+    ]
+    runs = parameter_grid.w2v_grid_runs(group_index, collection, queries, grid).cache()
+    for i, params in enumerate(grid, start=1):
+        alone = expanded_search.w2v_search(group_index, collection, queries, params)
+        assert rows(runs.where(f"config_id = {i}").drop("config_id")) == rows(alone)
+
+
 def test_best_setting_is_the_first_of_equals(spark, rows):
     means = spark.createDataFrame(
         [(1, "map", 0.5), (2, "map", 0.5), (1, "p_5", 0.1), (2, "p_5", 0.2)],
