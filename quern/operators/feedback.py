@@ -83,10 +83,10 @@ def neighbour_lists(
         .agg(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "nbr_id")).alias("near"))
     )
     itself = F.array(F.struct(F.lit(-1.0).alias("d"), F.col("doc_id").alias("nbr_id")))
-    ordered = F.array_sort(F.concat(itself, F.coalesce(F.col("near"), F.array().cast(_NEAR))))
+    found = F.when(F.col("near").isNull(), itself).otherwise(F.concat(itself, F.col("near")))
     return (
         members.join(near, [*key, "doc_id"], "left")
-        .select(*key, "doc_id", "ids", ordered.getField("nbr_id").alias("near_ids"))
+        .select(*key, "doc_id", "ids", F.array_sort(found).getField("nbr_id").alias("near_ids"))
         .select(
             *key,
             "doc_id",
@@ -95,9 +95,6 @@ def neighbour_lists(
     )
 
 
-_NEAR = "array<struct<d: double, nbr_id: bigint>>"
-
-
 def first_neighbours(
     lists: DataFrame, n_neighbours: int | Column, key: Sequence[str] = QUERY
 ) -> DataFrame:

@@ -106,8 +106,10 @@ def open_index(spark: SparkSession, folder: str) -> TermIndex:
     """Open a written index; the postings table is declared with its buckets."""
     collection = spark.read.parquet(f"{folder}/collection").first()
     table = f"quern_postings_{uuid.uuid4().hex}"
+    stored = spark.read.parquet(f"{folder}/postings").schema
+    columns = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in stored)
     spark.sql(
-        f"CREATE TABLE {table} (doc_id BIGINT, term STRING, tf BIGINT, dl BIGINT) USING parquet "
+        f"CREATE TABLE {table} ({columns}) USING parquet "
         f"CLUSTERED BY (doc_id) SORTED BY (term, doc_id) INTO {collection['buckets']} BUCKETS "
         f"LOCATION '{folder}/postings'"
     )

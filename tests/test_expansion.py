@@ -160,6 +160,14 @@ def test_query_without_dominant_hit_runs_unexpanded(group_index, queries, rows):
     assert rows(run.where("query_id = 1")) != rows(plain.where("query_id = 1"))
 
 
+def test_document_ids_may_be_text(collection, group_index, queries, rows):
+    named = collection.withColumn("doc_id", F.format_string("d%02d", "doc_id"))
+    params = KnnParams(n_neighbours=3, min_doc_c=2, top_n=4)
+    run = expanded_search.knn_search(build_index(named, buckets=2), queries, params)
+    usual = expanded_search.knn_search(group_index, queries, params)
+    assert rows(run) == rows(usual.withColumn("doc_id", F.format_string("d%02d", "doc_id")))
+
+
 def test_grid_equals_single_searches(group_index, queries, rows):
     grid = [KnnParams(10, 3, 2, 4, 0.6), KnnParams(4, 2, 1, 3, 0.8), KnnParams(10, 3, 3, 4, 0.6)]
     runs = parameter_grid.knn_grid_runs(group_index, queries, grid).cache()
