@@ -18,6 +18,13 @@ from quern.plans.method_report import method_report
 from quern.sources import evaluation_files, term_index
 from quern.storage import fresh_folder, written
 
+try:
+    from quern.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("quern.llm", "corpus_pipeline"):
+        raise
+    llm_queries = None
+
 KNN = KnnParams(min_doc_c=4)
 STRICT_KNN = KnnParams(n_neighbours=3, min_doc_c=6)
 W2V = W2vParams(min_count=2)
@@ -325,8 +332,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def run(build: Callable[[Experiment], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: build(experiment(spark, sf_dir))
 
-    return {name: run(build) for name, build in QUERIES.items()}
+    own = {name: run(build) for name, build in QUERIES.items()}
+    return own | (llm_queries.QUERIES if llm_queries else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | (llm_queries.ORACLES if llm_queries else {})
