@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: The characters that end a word: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -38,15 +40,14 @@ def map_rows(
     ``row_function`` gets the values of ``columns`` (after the result of ``setup``, made once a
     task) and returns a tuple in the order of ``schema``.
     """
-    names = [field.strip().split(" ")[0] for field in schema.split(",")]
+    types = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = [setup()] if setup else []
         for batch in batches:
             rows = [row_function(*state, *values) for values in zip(*(c.to_pylist() for c in batch.columns))]
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values, from_pandas=False) for values in zip(*rows)], names
-                )
+                columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays(columns, schema=types)
 
     return df.select(*columns).mapInArrow(run, schema)

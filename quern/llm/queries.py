@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import quality_rules, sharding, simhash_dedup
+from quern.llm import decontamination, packing, quality_rules, sharding, simhash_dedup
 from quern.llm.frames import table
 
 
@@ -14,6 +15,20 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_json(path: str = public_tokenizers.path("byte_bpe_50k.json")) -> str:
+    """The tokenizer's file; it is small and goes to the executors by value."""
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_json())
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -23,7 +38,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op7_sharding, op9_quality_rules)
+    f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_decontamination, op7_sharding, op9_quality_rules)
 }
 
 ORACLES: dict[str, str] = {}
