@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontamination, packing, quality_rules, sharding, simhash_dedup, warc
+from quern.llm import decontamination, interpolation, packing, quality_rules, sharding, simhash_dedup, warc
 from quern.llm.frames import table
 
 
@@ -29,6 +29,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive_round_trip(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
@@ -43,7 +47,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_decontamination, op5_warc, op7_sharding, op9_quality_rules)
+    f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_decontamination, op4_deleted_interpolation, op5_warc, op7_sharding, op9_quality_rules)
 }
 
 ORACLES: dict[str, str] = {}
