@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontamination, interpolation, packing, quality_rules, sharding, simhash_dedup, warc
+from quern.llm import decontamination, interpolation, packing, personal_data, quality_rules, sharding, simhash_dedup, warc
 from quern.llm.frames import table
 
 
@@ -46,8 +46,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_decontamination, op4_deleted_interpolation, op5_warc, op7_sharding, op9_quality_rules)
+    f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_decontamination, op4_deleted_interpolation, op5_warc, op7_sharding, op9_quality_rules, op10_personal_data)
 }
 
 ORACLES: dict[str, str] = {}
