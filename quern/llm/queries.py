@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontamination, interpolation, packing, personal_data, quality_rules, sharding, simhash_dedup, warc
+from quern.llm import decontamination, interpolation, packing, personal_data, quality_rules, sharding, simhash_dedup, substring_dedup, warc
 from quern.llm.frames import table
 
 
@@ -38,6 +38,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_decontamination, op4_deleted_interpolation, op5_warc, op7_sharding, op9_quality_rules, op10_personal_data)
+    f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_decontamination, op4_deleted_interpolation, op5_warc, op6_suffix_dedup, op7_sharding, op9_quality_rules, op10_personal_data)
 }
 
 ORACLES: dict[str, str] = {}
