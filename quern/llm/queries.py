@@ -4,29 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontamination, interpolation, packing, personal_data, quality_rules, sharding, simhash_dedup, substring_dedup, warc
-from quern.llm.frames import table
+import corpus_pipeline
+from quern.llm import (
+    decontamination, interpolation, license_scan, packing, personal_data, quality_rules, sharding, simhash_dedup,
+    substring_dedup, warc,
+)
+from quern.llm.frames import table, tokenizer_json
+
+OP3 = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), items AS (
+    SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS phrase
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM items WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+    SELECT doc_id, size, k, array_to_string(w[k:k + size - 1], ' ') AS phrase
+    FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM words, sizes WHERE len(w) >= size)
+), found AS (SELECT doc_id, item_id, p.size, k FROM places p JOIN windows USING (size, phrase)),
+hits AS (SELECT doc_id, count(DISTINCT k + i) AS n FROM (SELECT doc_id, k, unnest(range(0, size)) AS i FROM found) GROUP BY 1),
+ids AS (
+    SELECT doc_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS list
+    FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(ids.n, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
+FROM words LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+OP5 = """
+WITH payloads AS (SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages),
+marked AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS last, sha1(payload) AS hex FROM payloads)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST((CAST('0x' || substr(hex, 1 + 5 * CAST(k // 4 AS INTEGER), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to, url
+FROM marked
+"""
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def tokenizer_json(path: str = public_tokenizers.path("byte_bpe_50k.json")) -> str:
-    """The tokenizer's file; it is small and goes to the executors by value."""
-    with open(path, encoding="utf-8") as file:
-        return file.read()
-
-
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_json())
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +83,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_counts(table(spark, sf_dir, "documents"))
 
@@ -55,7 +96,15 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op2_best_fit_packing, op3_decontamination, op4_deleted_interpolation, op5_warc, op6_suffix_dedup, op7_sharding, op9_quality_rules, op10_personal_data)
+    f.__name__: f
+    for f in (
+        op1_simhash_dedup, op2_best_fit_packing, op3_decontamination, op4_deleted_interpolation, op5_warc,
+        op6_suffix_dedup, op7_sharding, op8_license_scan, op9_quality_rules, op10_personal_data,
+    )
+} | {"pipeline": corpus_pipeline.run}
+
+ORACLES: dict[str, str] = {
+    "op3_decontamination": OP3,
+    "op5_warc": OP5,
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }
-
-ORACLES: dict[str, str] = {}
