@@ -112,7 +112,8 @@ def with_counts(docs: DataFrame, name: str) -> DataFrame:
         "n_plain_words": F.expr(f"size(filter({words}, w -> w rlike '^\\\\p{{L}}+[.,;:?]?$'))"),
     }
     struct = F.struct(*(value.cast("long").alias(key) for key, value in counts.items()))
-    return df.withColumn(name, struct).drop(text, words, sorted_windows, places)
+    # Exploding one row keeps the optimiser from copying the counts into every later use of them.
+    return df.withColumn(name, F.explode(F.array(struct))).drop(text, words, sorted_windows, places)
 
 
 def base_failed(counts: Column) -> Column:
