@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from quern.storage import written
 
-TOKENS_PER_BATCH = 4_000_000
+TOKENS_PER_BATCH = 1_500_000
 #: Words or word pairs that one bucket adds up.
-ENTRIES_PER_BUCKET = 2_000_000
+ENTRIES_PER_BUCKET = 1_000_000
 TABLE_BUCKETS = 64
 FOLDS, HELD_OUT = 5, 1
 #: Neither can be a word.
