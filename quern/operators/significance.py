@@ -12,21 +12,26 @@ from quern.storage import written
 
 GROUP = ["method", "metric"]
 ALPHA = 0.05
-RANK_BUCKETS = 128
+#: Spread, as a share of the largest value, up to which all differences count as equal.
+NO_SPREAD = 1e-12
+#: Different sizes of differences that one task ranks.
+SIZES_PER_RANGE = 10_000
 
 
 def paired_t_test(pairs: DataFrame) -> DataFrame:
     """(method, metric, n, mean_d, sd_d, t, p) with d = baseline - method.
 
-    Without spread, or with fewer than two pairs, t and p are null.
+    Without spread (beyond what rounding of the largest value can make), or with fewer than two
+    pairs, t and p are null.
     """
     d = F.col("base_value") - F.col("value")
+    size = F.greatest(F.abs("base_value"), F.abs("value"))
     sums = pairs.groupBy(*GROUP).agg(
-        F.count(d).alias("n"), F.avg(d).alias("mean_d"), F.stddev_samp(d).alias("sd_d")
+        F.count(d).alias("n"), F.avg(d).alias("mean_d"), F.stddev_samp(d).alias("sd_d"), F.max(size).alias("size")
     )
-    spread = (F.col("n") >= 2) & (F.col("sd_d") > 1e-12)
+    spread = (F.col("n") >= 2) & (F.col("sd_d") > F.col("size") * NO_SPREAD)
     t = F.when(spread, F.col("mean_d") / (F.col("sd_d") / F.sqrt("n")))
-    return sums.withColumn("t", t).withColumn("p", two_sided_t(F.col("t"), F.col("n") - 1))
+    return sums.withColumn("t", t).drop("size").withColumn("p", two_sided_t(F.col("t"), F.col("n") - 1))
 
 
 def wilcoxon(pairs: DataFrame, digits: int | None = METRIC_DIGITS) -> DataFrame:
@@ -53,9 +58,11 @@ def wilcoxon(pairs: DataFrame, digits: int | None = METRIC_DIGITS) -> DataFrame:
         "ties",
     )
     ties = counts.where(F.col("size") > 0)
-    shares = [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)]
+    most = ties.groupBy(*GROUP).count().agg(F.max("count")).first()[0] or 0
+    n_ranges = -(-most // SIZES_PER_RANGE) + 1
+    shares = [i / n_ranges for i in range(1, n_ranges)] or [0.5]
     cut_points = written(
-        ties.groupBy(*GROUP).agg(F.percentile_approx("size", shares, 1000).alias("cuts")), "cuts"
+        ties.groupBy(*GROUP).agg(F.percentile_approx("size", shares, 100 * n_ranges).alias("cuts")), "cuts"
     )
     inside = Window.partitionBy(*GROUP, "bucket").orderBy("size")
     before = Window.partitionBy(*GROUP).orderBy("bucket").rowsBetween(
@@ -104,22 +111,25 @@ def wilcoxon(pairs: DataFrame, digits: int | None = METRIC_DIGITS) -> DataFrame:
 
 
 def verdicts(pairs: DataFrame, alpha: float = ALPHA, digits: int | None = METRIC_DIGITS) -> DataFrame:
-    """Both p-values and what follows from them at ``alpha``, with the direction of the mean.
+    """Both p-values and what follows from them at ``alpha``: for t with the direction of the mean, for ranks
+    with that of the rank sums.
 
     (method, metric, mean_difference, p_t, p_wilcoxon, verdict_t, verdict_wilcoxon)
     """
     t_test = paired_t_test(pairs).select(*GROUP, "mean_d", F.col("p").alias("p_t"))
-    ranks = wilcoxon(pairs, digits).select(*GROUP, F.col("p").alias("p_wilcoxon"))
+    ranks = wilcoxon(pairs, digits).select(
+        *GROUP, F.col("p").alias("p_wilcoxon"), (F.col("rank_sum_plus") - F.col("rank_sum_minus")).alias("ranks")
+    )
 
-    def verdict(p: str) -> Column:
-        direction = F.when(F.col("mean_d") < 0, "better").otherwise("worse")
-        return F.when(F.col(p) < alpha, direction).otherwise("no difference")
+    def verdict(p: str, toward: str) -> Column:
+        direction = F.when(F.col(toward) < 0, "better").when(F.col(toward) > 0, "worse")
+        return F.coalesce(F.when(F.col(p) < alpha, direction), F.lit("no difference"))
 
     return t_test.join(ranks, GROUP).select(
         *GROUP,
         (-F.col("mean_d")).alias("mean_difference"),
         "p_t",
         "p_wilcoxon",
-        verdict("p_t").alias("verdict_t"),
-        verdict("p_wilcoxon").alias("verdict_wilcoxon"),
+        verdict("p_t", "mean_d").alias("verdict_t"),
+        verdict("p_wilcoxon", "ranks").alias("verdict_wilcoxon"),
     )

@@ -153,3 +153,26 @@ def test_report_has_one_row_per_method_and_metric(long):
     row = method_report(long).first()
     assert (row.method, row.metric, row.n, row.max_id, row.min_id) == ("knn", "map", 4, 1, 2)
     assert (row.base_mean, row.method_mean, row.mean_difference) == (0.425, 0.475, -0.16)
+
+
+def test_one_formula_for_all_degrees_of_freedom(spark):
+    rows = [(1.0, 1), (2.0, 2), (1.7, 4), (1.96, 10_000_000), (0.0, 5), (None, 3), (1.0, 0)]
+    df = spark.createDataFrame(rows, "t double, n long")
+    found = [r[0] for r in df.select(two_sided_t(F.col("t"), F.col("n"))).collect()]
+    share = 4 / (4 + 1.7**2)
+    wanted = [0.5, 1 - 2 / math.sqrt(6), 1 - math.sqrt(1 - share) * (1 + share / 2), math.erfc(1.96 / math.sqrt(2)), 1.0]
+    assert found[:5] == pytest.approx(wanted, abs=1e-7) and found[5:] == [None, None]
+
+
+def test_two_runs_of_one_metric_are_not_merged(spark):
+    rows = [("a", "map", 1, 0.5), ("a", "map", 1, 0.6), ("a", "p_5", 1, 0.1), ("a", "ndcg_10", 1, 0.1)]
+    long = spark.createDataFrame(rows, "method string, metric string, id_Q long, value double")
+    with pytest.raises(Exception, match="two values of map for id 1"):
+        comparison.combine_metrics(long).collect()
+
+
+def test_extremes_of_text_ids(spark):
+    rows = [("m", "map", "b", 0.1, 0.3, 0.2), ("m", "map", "a", 0.2, 0.4, 0.2), ("m", "map", "c", 0.4, 0.4, 0.0)]
+    frame = spark.createDataFrame(rows, "method string, metric string, id_Q string, base_value double, value double, difference double")
+    row = comparison.difference_extremes(frame).first()
+    assert (row.max_id, row.max_difference, row.min_id, row.min_difference) == ("a", 0.2, "c", 0.0)
