@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.scoring import to_digits
@@ -15,9 +15,16 @@ def combine_metrics(long: DataFrame, metrics: Sequence[str] = METRICS) -> DataFr
     """Method table (id_Q, metrics..., method) from long metrics (method, metric, id_Q, value).
 
     One grouping gives what joining one frame per metric would: only ids that have every
-    metric stay.
+    metric stay. Two values of one metric for the same method and id are two runs and end the job:
+    choose one run, or tell them apart in ``method``.
     """
-    of_metric = [F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics]
+
+    def only(metric: str) -> Column:
+        value = F.when(F.col("metric") == metric, F.col("value"))
+        two = F.raise_error(F.concat(F.lit(f"two values of {metric} for id "), F.first("id_Q").cast("string")))
+        return F.when(F.count(value) > 1, two.cast("double")).otherwise(F.max(value)).alias(metric)
+
+    of_metric = [only(m) for m in metrics]
     return (
         long.groupBy("method", "id_Q")
         .agg(*of_metric)
@@ -94,7 +101,7 @@ def difference_extremes(differences: DataFrame) -> DataFrame:
     Ties go to the smallest id. Both are plain aggregates: nothing is sorted.
     """
     row = F.struct("base_value", "value")
-    gain = F.max(F.struct("difference", (-F.col("id_Q")).alias("id"), row.alias("row")))
+    gain = F.min(F.struct((-F.col("difference")).alias("loss"), F.col("id_Q").alias("id"), row.alias("row")))
     loss = F.min(F.struct("difference", F.col("id_Q").alias("id"), row.alias("row")))
     return (
         differences.groupBy("method", "metric")
@@ -102,8 +109,8 @@ def difference_extremes(differences: DataFrame) -> DataFrame:
         .select(
             "method",
             "metric",
-            F.col("gain.difference").alias("max_difference"),
-            (-F.col("gain.id")).alias("max_id"),
+            (-F.col("gain.loss") + 0.0).alias("max_difference"),
+            F.col("gain.id").alias("max_id"),
             F.col("gain.row.base_value").alias("max_base_value"),
             F.col("gain.row.value").alias("max_value"),
             F.col("loss.difference").alias("min_difference"),

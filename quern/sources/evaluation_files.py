@@ -38,7 +38,7 @@ def metric_rows(spark: SparkSession, path: str, name_filter: str | None = None)
 
 def without_summary(rows: DataFrame) -> DataFrame:
     """Query rows only, with the id as an integer ``id_Q``."""
-    ids = F.col("id_q").cast("int").alias("id_Q")
+    ids = F.col("id_q").cast("bigint").alias("id_Q")
     others = [c for c in rows.columns if c.lower() != "id_q"]
     return rows.where(F.col("id_q") != ALL_ROW).select(ids, *others)
 
