@@ -77,14 +77,6 @@ def test_only_cut_lists_are_exchanged(index, queries):
     assert plan.index("Final") < plan.index("Exchange hashpartitioning") < plan.index("Partial")
 
 
-def test_few_terms_reach_the_scan(spark, index, queries):
-    one = queries.where("query_id = 1")
-    plan = bm25_search(index, one)._jdf.queryExecution().executedPlan().toString()
-    assert "In(term, [apples,red])" in plan or "In(term, [red,apples])" in plan
-    many = spark.createDataFrame([(1, " ".join(TEXTS.values()))], "query_id long, text string")
-    plan = bm25_search(index, many)._jdf.queryExecution().executedPlan().toString()
-    assert "In(term" not in plan
-
 
 def test_query_without_any_known_term_has_no_hits(index, queries):
     assert bm25_search(index, queries.where("query_id = 3")).count() == 0
