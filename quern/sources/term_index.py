@@ -13,7 +13,6 @@ from quern.functions.text import Tokenizer, tokenize
 from quern.storage import fresh_folder
 
 BYTES_PER_BUCKET = 256 << 20
-MOST_BUCKETS = 50_000
 
 
 @dataclass(frozen=True)
@@ -75,11 +74,12 @@ def build_index(
     folder: str | None = None,
     buckets: int | None = None,
     tokenizer: Tokenizer = tokenize,
+    bytes_per_bucket: int = BYTES_PER_BUCKET,
 ) -> TermIndex:
     """Write the index of ``documents`` (doc_id, text) under ``folder``, or a fresh shared one."""
     spark = documents.sparkSession
     folder = folder or fresh_folder(spark, "index")
-    buckets = buckets or bucket_count(documents)
+    buckets = buckets or bucket_count(documents, bytes_per_bucket)
     staging = f"quern_postings_{uuid.uuid4().hex}"
     (
         postings(documents, tokenizer, buckets)
@@ -123,15 +123,16 @@ def open_index(spark: SparkSession, folder: str) -> TermIndex:
     )
 
 
-def bucket_count(documents: DataFrame) -> int:
-    """Buckets for the stored size of the input files, at least one per core.
+def bucket_count(documents: DataFrame, bytes_per_bucket: int = BYTES_PER_BUCKET) -> int:
+    """Buckets for the stored size of the files that ``documents`` comes from, at least one per core.
 
-    Only the file names and sizes are read. Past ``MOST_BUCKETS`` the buckets grow instead: a
-    shuffle into more partitions costs more than larger sorts that spill.
+    Works for any frame over files; only the files' sizes are read. A frame without files has one
+    bucket per core. Shards keep their size however large the collection is.
     """
-    files = documents.select("_metadata.file_path", "_metadata.file_size").distinct()
-    stored = files.agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes")).first()["bytes"]
-    cores = documents.sparkSession.sparkContext.defaultParallelism
-    return min(max(cores, math.ceil(stored / BYTES_PER_BUCKET)), MOST_BUCKETS)
-
-
+    spark = documents.sparkSession
+    paths = documents.inputFiles()
+    stored = 0
+    if paths:
+        files = spark.read.format("binaryFile").load(paths).agg(F.sum("length"))
+        stored = files.first()[0] or 0
+    return max(spark.sparkContext.defaultParallelism, math.ceil(stored / bytes_per_bucket))

@@ -64,3 +64,10 @@ def test_tokenising_happens_once_and_after_the_only_exchange(documents):
     plan = term_index.postings(documents)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert plan.count("split(") == 1
+
+
+def test_index_of_a_derived_frame(spark, tmp_path):
+    spark.createDataFrame([(1, "red pears"), (1, "blue"), (2, "red")], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    frame = spark.read.parquet(f"{tmp_path}/d").groupBy("doc_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("text"))).alias("text"))
+    index = term_index.build_index(frame)
+    assert index.n_docs == 2 and index.postings.count() == 4
