@@ -13,7 +13,7 @@ from quern.functions.scoring import collection_weight
 from quern.functions.text import tokenize
 from quern.operators import clusters, comparison, embeddings, evaluation, feedback, retrieval, significance
 from quern.plans import expanded_search, parameter_grid
-from quern.plans.experiment import Experiment
+from quern.plans.experiment import N_TEST, N_TRAIN, Experiment
 from quern.plans.method_report import method_report
 from quern.sources import evaluation_files, term_index
 from quern.storage import fresh_folder, written
@@ -267,7 +267,7 @@ def knn_qe_search(e: Experiment) -> DataFrame:
 
 
 def query_split(e: Experiment) -> DataFrame:
-    return evaluation.split_queries(e.queries)
+    return evaluation.split_queries(e.queries, N_TRAIN, N_TEST)
 
 
 def param_grid(e: Experiment) -> DataFrame:
@@ -277,6 +277,18 @@ def param_grid(e: Experiment) -> DataFrame:
     return best.drop("df_scope")
 
 
+def grid_test_metrics(e: Experiment) -> DataFrame:
+    """The setting that is best on the train part, for each metric, and its mean on the test part."""
+    parts = query_split(e).where(F.col("part") != "unused")
+    runs = written(parameter_grid.knn_grid_runs(e.index, e.queries.join(parts, "query_id"), GRID), "grid-runs")
+
+    def means(part: str) -> DataFrame:
+        return parameter_grid.grid_means(runs.join(parts.where(F.col("part") == part), "query_id").drop("part"), e.qrels)
+
+    best = parameter_grid.best_settings(written(means("train"), "train-means"), GRID).select("metric", "config_id")
+    return best.join(means("test"), ["metric", "config_id"]).withColumnRenamed("mean", "test_mean")
+
+
 # Expansion from word vectors
 
 def w2v_vocab(e: Experiment) -> DataFrame:
@@ -321,7 +333,7 @@ QUERIES = {
             paired_ttest, wilcoxon, significance_verdict,
             tfidf_l2, knn_neighbours, knn_dominant_docs, cluster_documents, best_cluster,
             cluster_term_scores, cluster_top_terms, qe_term_filter, knn_qe_search,
-            query_split, param_grid,
+            query_split, param_grid, grid_test_metrics,
             w2v_vocab, w2v_local_vectors, term_similarity, w2v_terms, w2v_qe_search,
         )
     },

@@ -93,9 +93,8 @@ STEPS = {
         FROM (SELECT item_id AS query_id, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL""",
     "deep": top(bm25("clauses"), 20),
     "base_run": "SELECT * FROM deep WHERE rank <= 10",
-    "shared": """SELECT query_id, doc_id, count(*) AS shared FROM clauses JOIN terms USING (term) JOIN post USING (term)
-        CROSS JOIN coll WHERE df * 20 <= n GROUP BY ALL HAVING count(*) >= 3""",
-    "qrels": "SELECT query_id, doc_id, (quality + CASE WHEN shared >= 5 THEN 1 ELSE 0 END)::INT AS grade FROM shared JOIN labels USING (doc_id)",
+    "qrels": """SELECT item_id AS query_id, d.doc_id, (1 + coalesce(quality, 0))::INT AS grade
+        FROM benchmark b JOIN documents d ON contains(d.text, b.text) LEFT JOIN labels USING (doc_id) WHERE length(b.text) > 0""",
     "judged": """SELECT query_id, sum(CASE WHEN grade >= 1 THEN 1 ELSE 0 END) AS r,
           sum(CASE WHEN place <= 10 THEN grade / log2(place + 1) ELSE 0 END) AS idcg
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS place FROM qrels) GROUP BY query_id""",
@@ -110,16 +109,19 @@ STEPS = {
                 sum(grade / log2(rank + 1)) AS dcg
               FROM (SELECT *, sum(rel) OVER (PARTITION BY method, query_id ORDER BY rank) AS seen FROM hitgrades) GROUP BY ALL)
         JOIN judged USING (query_id)""",
-    "methods": """SELECT query_id::INT AS id_q, round(round(map, 9), 4) AS map, round(round(p_5, 9), 4) AS p_5, round(round(ndcg_10, 9), 4) AS ndcg_10, method FROM evaluated""",
+    "methods": """SELECT query_id AS id_q, round(round(map, 9), 4) AS map, round(round(p_5, 9), 4) AS p_5, round(round(ndcg_10, 9), 4) AS ndcg_10, method FROM evaluated""",
     "long": "SELECT method, metric, id_q, value FROM methods UNPIVOT (value FOR metric IN (map, p_5, ndcg_10))",
     "diffs": DIFFS,
     "totals": """SELECT CASE WHEN event_type = 'view' THEN 'base' ELSE event_type END AS method, 'total' AS metric,
-          user_id::INT AS id_q, round(sum(value), 2) AS value FROM events GROUP BY ALL""",
-    "samples": "SELECT method, metric, id_q, value FROM long UNION ALL SELECT method, metric, id_q, value FROM totals",
+          user_id AS id_q, round(sum(value), 2) AS value FROM events GROUP BY ALL""",
+    "spending": """SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'base' ELSE o_orderpriority END AS method, 'spent' AS metric,
+          o_custkey AS id_q, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL""",
+    "samples": """SELECT method, metric, id_q, value FROM long UNION ALL SELECT method, metric, id_q, value FROM totals
+        UNION ALL SELECT method, metric, id_q, value FROM spending""",
     "spairs": DIFFS.replace("long", "samples").replace("round(round(m.value - b.value, 9), 4) AS difference", "b.value - m.value AS d"),
     "gains": "SELECT method, metric, id_q, base_value, value, round(round(-d, 9), 4) AS g FROM spairs",
-    "tsum": "SELECT method, metric, count(*) AS n, avg(d) AS mean_d, stddev_samp(d) AS sd_d FROM spairs GROUP BY ALL",
-    "tval": "SELECT *, CASE WHEN n >= 2 AND sd_d > 1e-12 THEN mean_d / (sd_d / sqrt(n)) END AS t FROM tsum",
+    "tsum": "SELECT method, metric, count(*) AS n, avg(d) AS mean_d, stddev_samp(d) AS sd_d, max(greatest(abs(base_value), abs(value))) AS size FROM spairs GROUP BY ALL",
+    "tval": "SELECT *, CASE WHEN n >= 2 AND sd_d > size * 1e-12 THEN mean_d / (sd_d / sqrt(n)) END AS t FROM tsum",
     "tp": f"""SELECT method, metric, n, mean_d, sd_d, t, CASE WHEN t IS NOT NULL THEN
           sum({SIMPSON} * pow(cos(th + (pi() / 2 - th) * i / 2000), n - 2)) * (pi() / 2 - th)
           / (sum({SIMPSON} * pow(cos(pi() / 2 * i / 2000), n - 2)) * pi() / 2) END AS p
@@ -153,8 +155,8 @@ STEPS = {
     "gruns": " UNION ALL ".join(
         f"SELECT {i} AS config_id, query_id, doc_id, rank FROM g{i}_run" for i in range(1, len(GRID) + 1)
     ),
-    "parts": """SELECT item_id AS query_id, CASE WHEN row_number() OVER (ORDER BY item_id) <= 150 THEN 'train'
-          WHEN row_number() OVER (ORDER BY item_id DESC) <= 100 THEN 'test' ELSE 'unused' END AS part FROM benchmark""",
+    "parts": """SELECT item_id AS query_id, CASE WHEN row_number() OVER (ORDER BY item_id) <= 20 THEN 'train'
+          WHEN row_number() OVER (ORDER BY item_id DESC) <= 12 THEN 'test' ELSE 'unused' END AS part FROM benchmark""",
     "ghits": """SELECT config_id, query_id, rank, coalesce(grade, 0) AS grade, CASE WHEN grade >= 1 THEN 1 ELSE 0 END AS rel
         FROM gruns JOIN parts USING (query_id) LEFT JOIN qrels USING (query_id, doc_id) WHERE part = 'train'""",
     "gmeans": """SELECT config_id, round(round(avg(CASE WHEN r > 0 THEN ps / r ELSE 0 END), 9), 4) AS map, round(round(avg(early / 5), 9), 4) AS p_5,
@@ -163,13 +165,21 @@ STEPS = {
                 sum(grade / log2(rank + 1)) AS dcg
               FROM (SELECT *, sum(rel) OVER (PARTITION BY config_id, query_id ORDER BY rank) AS seen FROM ghits) GROUP BY ALL)
         JOIN judged USING (query_id) GROUP BY config_id""",
+    "xhits": """SELECT config_id, query_id, rank, coalesce(grade, 0) AS grade, CASE WHEN grade >= 1 THEN 1 ELSE 0 END AS rel
+        FROM gruns JOIN parts USING (query_id) LEFT JOIN qrels USING (query_id, doc_id) WHERE part = 'test'""",
+    "xmeans": """SELECT config_id, round(round(avg(CASE WHEN r > 0 THEN ps / r ELSE 0 END), 9), 4) AS map, round(round(avg(early / 5), 9), 4) AS p_5,
+          round(round(avg(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END), 9), 4) AS ndcg_10
+        FROM (SELECT config_id, query_id, sum(rel * seen / rank) AS ps, sum(CASE WHEN rank <= 5 THEN rel ELSE 0 END) AS early,
+                sum(grade / log2(rank + 1)) AS dcg
+              FROM (SELECT *, sum(rel) OVER (PARTITION BY config_id, query_id ORDER BY rank) AS seen FROM xhits) GROUP BY ALL)
+        JOIN judged USING (query_id) GROUP BY config_id""",
     "probes": "SELECT label, min(vec_id) AS probe_id FROM embeddings GROUP BY label",
 }
 
-VERDICT = "CASE WHEN {p} < 0.05 THEN CASE WHEN mean_d < 0 THEN 'better' ELSE 'worse' END ELSE 'no difference' END"
+VERDICT = "CASE WHEN {p} < 0.05 AND {d} < 0 THEN 'better' WHEN {p} < 0.05 AND {d} > 0 THEN 'worse' ELSE 'no difference' END"
 
 REPORT_VERDICTS = f"""SELECT method, metric, round(tp.p, 6) AS p_t, round(wp.p, 6) AS p_wilcoxon,
-    {VERDICT.format(p="tp.p")} AS verdict_t, {VERDICT.format(p="wp.p")} AS verdict_wilcoxon
+    {VERDICT.format(p="tp.p", d="mean_d")} AS verdict_t, {VERDICT.format(p="wp.p", d="(rank_sum_plus - rank_sum_minus)")} AS verdict_wilcoxon
     FROM tp JOIN wp USING (method, metric)"""
 
 FINAL = {
@@ -229,6 +239,10 @@ FINAL = {
         FROM (SELECT config_id, metric, mean FROM gmeans UNPIVOT (mean FOR metric IN (map, p_5, ndcg_10))
               QUALIFY row_number() OVER (PARTITION BY metric ORDER BY mean DESC, config_id) = 1)
         JOIN (VALUES {", ".join(str((i, *g)) for i, g in enumerate(GRID, start=1))}) v(config_id, first_ret, n_neighbours, min_doc_c, top_n, lam) USING (config_id)""",
+    "grid_test_metrics": """SELECT metric, config_id, x.mean AS test_mean
+        FROM (SELECT metric, config_id FROM (SELECT config_id, metric, mean FROM gmeans UNPIVOT (mean FOR metric IN (map, p_5, ndcg_10)))
+              QUALIFY row_number() OVER (PARTITION BY metric ORDER BY mean DESC, config_id) = 1)
+        JOIN (SELECT config_id, metric, mean FROM xmeans UNPIVOT (mean FOR metric IN (map, p_5, ndcg_10))) x USING (config_id, metric)""",
     "query_split": "SELECT query_id, part FROM parts",
     "w2v_vocab": "SELECT query_id, term, sum(tf)::BIGINT AS n FROM k_ht GROUP BY ALL HAVING sum(tf) >= 2",
     "term_similarity": """SELECT label, probe_id, id, score, rank FROM (
