@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 METRIC_SCHEMA = "metric string, id_q string, value double"
-METHOD_SCHEMA = "id_Q int, map double, p_5 double, ndcg_10 double, method string"
+METHOD_SCHEMA = "id_Q bigint, map double, p_5 double, ndcg_10 double, method string"
 ALL_ROW = "all"
 NAME_WIDTH = 22
 
