@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import oracles
 from quern import KnnParams, W2vParams
 from quern.functions.scoring import collection_weight
-from quern.functions.text import tokenize
+from quern.functions.text import tokenize, whitespace_tokens
 from quern.operators import clusters, comparison, embeddings, evaluation, feedback, retrieval, significance
 from quern.plans import expanded_search, parameter_grid
 from quern.plans.experiment import N_TEST, N_TRAIN, Experiment
@@ -60,6 +60,11 @@ def tokenize_documents(e: Experiment) -> DataFrame:
     )
 
 
+def tokenize_by_blanks(e: Experiment) -> DataFrame:
+    """Term statistics of the tokens between blanks, through the tokenizer argument."""
+    return term_index.term_statistics(term_index.postings(e.documents, whitespace_tokens))
+
+
 def postings_build(e: Experiment) -> DataFrame:
     return term_index.postings(e.documents)
 
@@ -86,6 +91,12 @@ def run_export(e: Experiment) -> DataFrame:
     return retrieval.run_rows(bm25_topk(e), "base")
 
 
+def run_file_round_trip(e: Experiment) -> DataFrame:
+    folder = fresh_folder(e.spark, "run")
+    evaluation_files.write_run(run_export(e), folder)
+    return evaluation_files.read_run(e.spark, folder)
+
+
 def weighted_search(e: Experiment) -> DataFrame:
     """Query terms at 0.7 and the ten strongest terms of the first hit at 0.3."""
     first = retrieval.search(e.index, e.clauses, 1)
@@ -241,11 +252,12 @@ def best_cluster(e: Experiment) -> DataFrame:
 
 def cluster_term_scores(e: Experiment) -> DataFrame:
     """Scores with document frequency over the clusters, and over the collection."""
-    scores = clusters.term_scores(clusters.cluster_terms(*knn_members(e)), e.index)
-    collection = e.index.terms.select("term", F.col("df").alias("collection_df"))
-    n_docs = F.lit(e.index.n_docs)
-    score = collection_weight(F.col("tf"), n_docs, F.col("collection_df"))
-    return scores.join(collection, "term").withColumn("collection_score", score)
+    terms = written(clusters.cluster_terms(*knn_members(e)), "cluster-terms")
+    key = ["query_id", "cluster_id", "term"]
+    over_collection = clusters.term_scores(terms, e.index, "collection").select(
+        *key, F.col("df").alias("collection_df"), F.col("score").alias("collection_score")
+    )
+    return clusters.term_scores(terms, e.index).join(over_collection, key)
 
 
 def cluster_top_terms(e: Experiment) -> DataFrame:
@@ -326,7 +338,7 @@ QUERIES = {
         f.__name__: f
         for f in (
             postings_build, term_df, doc_length_stats,
-            bm25_topk, feedback_docs, run_export, weighted_search,
+            tokenize_by_blanks, bm25_topk, feedback_docs, run_export, run_file_round_trip, weighted_search,
             precision_at_5, average_precision, ndcg_at_10, mean_ap, eval_with_all_row,
             metric_file_load, method_table_scan, metrics_combine, method_preview,
             query_range_filter, method_stack, method_diff, method_means, mean_diff, diff_extremes,

@@ -190,6 +190,10 @@ FINAL = {
     "bm25_topk": "SELECT query_id, doc_id, score, rank FROM base_run",
     "feedback_docs": "SELECT query_id, doc_id, score, rank FROM deep",
     "run_export": "SELECT query_id, 'Q0' AS iteration, doc_id, rank, score, 'base' AS tag FROM base_run",
+    "run_file_round_trip": "SELECT query_id, 'Q0' AS iteration, doc_id, rank, score, 'base' AS tag FROM base_run",
+    "tokenize_by_blanks": r"""SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (
+          SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS term FROM documents)
+        GROUP BY ALL) GROUP BY term""",
     "weighted_search": top(bm25("wclauses"), 10),
     "precision_at_5": "SELECT query_id, round(p_5, 6) AS p_5 FROM evaluated WHERE method = 'base'",
     "average_precision": "SELECT query_id, round(map, 6) AS ap FROM evaluated WHERE method = 'base'",

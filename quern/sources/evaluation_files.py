@@ -117,6 +117,12 @@ def write_metric_files(metrics: DataFrame, folder: str) -> None:
     ).write.option("sep", "\t").option("ignoreTrailingWhiteSpace", False).csv(folder)
 
 
+def read_run(spark: SparkSession, folder: str) -> DataFrame:
+    """A run as ``write_run`` leaves it."""
+    columns = "query_id bigint, iteration string, doc_id bigint, rank int, score double, tag string"
+    return spark.read.schema(columns).option("sep", " ").csv(folder)
+
+
 def write_run(rows: DataFrame, folder: str) -> None:
     """A run for evaluation tools: blank-separated, no header."""
     columns = ["query_id", "iteration", "doc_id", "rank", "score", "tag"]
