@@ -23,7 +23,7 @@ def tables():
 
 def test_only_training_lacks_sql():
     assert set(SQL) <= set(entry.queries())
-    assert set(entry.queries()) - set(SQL) == {"w2v_local_vectors", "w2v_terms", "w2v_qe_search"}
+    assert set(entry.QUERIES) - set(SQL) == {"w2v_local_vectors", "w2v_terms", "w2v_qe_search"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
