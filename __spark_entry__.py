@@ -19,9 +19,9 @@ from quern.sources import evaluation_files, term_index
 from quern.storage import fresh_folder, written
 
 try:
-    from quern.llm import queries as llm_queries
+    import quern.llm.queries as llm_queries
 except ModuleNotFoundError as missing:
-    if missing.name not in ("quern.llm", "corpus_pipeline"):
+    if missing.name not in ("quern.llm", "quern.llm.queries", "corpus_pipeline"):
         raise
     llm_queries = None
 
