@@ -1,13 +1,11 @@
+"""Fixtures of these tests; not a conftest, whose name the folder above has."""
+
 from __future__ import annotations
 
 import random
-import sys
-from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parent))
-
 
 def prose(seed, n_words):
     draw = random.Random(seed)

@@ -8,7 +8,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
-from conftest import prose
+from llm_fixtures import docs, none, prose, texts  # noqa: F401
 from pyspark.sql import functions as F
 
 from quern.llm import (

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import random
+
 import pytest
+from llm_fixtures import prose
 
 import corpus_pipeline
 from quern.llm import personal_data
@@ -13,12 +16,15 @@ def small_training(monkeypatch):
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path, small_training):
-    clean = "the old house of stone and wood stood in the field by the water for many years " * 1
-    bodies = [" ".join(f"{w}{chr(97 + k)}" if n % 3 else w for n, w in enumerate((clean * 5).split())) for k in range(6)]
+    def body(k):
+        draw = random.Random(k)
+        return " ".join(draw.choice(["the", "of", "and", "in"]) if draw.random() < 0.3 else word for word in prose(k, 120).split())
+
+    bodies = [body(k) for k in range(6)]
     passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     rows = [(k, b, "en", "s", 0) for k, b in enumerate(bodies)]
     rows += [(10, bodies[0], "en", "s", 0), (11, bodies[1] + " " + passage, "en", "s", 0), (12, "too short", "en", "s", 0), (13, None, None, None, None)]
-    rows += [(14, " ".join(reversed(bodies[2].split())) + " joe@mail.example.com", "en", "s", 0)]
+    rows += [(14, body(14) + " joe@mail.example.com", "en", "s", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
