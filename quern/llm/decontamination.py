@@ -7,7 +7,6 @@ its place is known in words; places in the original text are looked up for docum
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 import re
 from collections.abc import Iterator
@@ -174,7 +173,3 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
     """The rows of ``docs`` without any benchmark window, with the columns of ``docs``."""
     name = fresh_name(docs, "mark")
     return marked(docs, benchmark, name, **options).where(F.col(name)["n_hit"] == 0).select(*docs.columns)
-
-
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
