@@ -6,7 +6,8 @@ bytes is filed under the smallest hash of the ``GRAM``-byte strings inside it. E
 the same one, at the same place. Neighbouring windows that share it form a piece; a piece whose
 key no other piece has holds no repeated window, and in a piece whose whole text occurs again
 every window is repeated. What is left are the different texts under a key that several have: the
-edges of repeated passages. Shards of them are suffix-sorted with common prefixes up to
+edges of repeated passages. They are narrowed further, in small blocks of windows, by whether the
+bytes common to a block's windows occur again. Shards of what remains are suffix-sorted with common prefixes up to
 ``length``; neighbours that share all of it are repeated windows. Under a key with very many
 different texts, windows are counted by their hashes instead, which needs no key's texts together.
 """
@@ -31,13 +32,15 @@ GRAM = 64
 CHUNK = 1 << 22
 #: Bytes of one suffix-sorted shard; a key's texts are never in two.
 SHARD = 4 << 20
+#: Windows of a piece that are looked at together before sorting.
+BLOCK_WINDOWS = 32
 #: Different texts under one key beyond which its windows are counted by hash.
 TEXTS_PER_KEY = 5_000
 #: Bits of the map of texts that have something to remove; collisions cost only transfer.
 MAP_BITS = 20
 
 _BASE = 0x9E3779B97F4A7C15
-PIECES = "key long, piece long, text_key long, start long, size int"
+PIECES = "key long, piece long, text_key long, start long, size int, gram int"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -64,8 +67,8 @@ class PieceFinder:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[:n], out=sums[1:])
         return _mixed((sums[self.gram :] - sums[: -self.gram]) * self.inverses[: n - self.gram + 1])
 
-    def pieces(self, data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Key, first window and last window of each piece; ``owner`` is negative where no window starts."""
+    def pieces(self, data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Key, first window, last window and gram of each piece; ``owner`` is negative where no window starts."""
         hashes = self._gram_hashes(data)
         width = self.length - self.gram + 1
         places = np.uint64((1 << 24) - 1)
@@ -81,7 +84,8 @@ class PieceFinder:
         last = np.append(first[1:] - 1, n_windows - 1)
         real = owner[first] >= 0
         first, last = first[real], last[real]
-        return hashes[least[first].astype(np.int64)].view(np.int64), first, last
+        grams = least[first].astype(np.int64)
+        return hashes[grams].view(np.int64), first, last, grams
 
     def rows(self, texts: list[tuple[int, bytes]]) -> Iterator[tuple[list, ...]]:
         """Columns of ``PIECES`` for (text_key, text) pairs, a chunk of text at a time."""
@@ -108,13 +112,13 @@ class PieceFinder:
             owner[at : at + len(part) - self.length + 1] = k
             begins.append(at)
             at += len(part)
-        keys, first, last = self.pieces(data, owner)
+        keys, first, last, grams = self.pieces(data, owner)
         stops = (last + self.length).tolist()
         digests = [xxhash.xxh64_intdigest(whole[x:y]) for x, y in zip(first.tolist(), stops)]
         own = owner[first]
         starts = first - np.array(begins)[own] + np.array([p[1] for p in parts], np.int64)[own]
         text_keys = np.array([p[0] for p in parts], np.int64)[own]
-        return keys, np.array(digests, np.uint64).view(np.int64), text_keys, starts, (last - first + self.length).astype(np.int32)
+        return keys, np.array(digests, np.uint64).view(np.int64), text_keys, starts, (last - first + self.length).astype(np.int32), (grams - first).astype(np.int32)
 
 
 def pieces(texts: DataFrame, length: int, gram: int, chunk: int) -> DataFrame:
@@ -154,8 +158,8 @@ def _only_mapped(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _piece_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, piece, n, text_key, start, text for the ``wanted`` pieces, cut from one copy of each text."""
-    lists = wanted.groupBy("text_key").agg(F.collect_list(F.struct("key", "piece", "n", "start", "size")).alias("wanted"))
+    """key, piece, n, text_key, start, gram, text for the ``wanted`` pieces, cut from one copy of each text."""
+    lists = wanted.groupBy("text_key").agg(F.collect_list(F.struct("key", "piece", "n", "start", "size", "gram")).alias("wanted"))
     texts = _only_mapped(docs.select("text_key", "text"), wanted)
     joined = texts.join(lists, "text_key")
 
@@ -164,14 +168,14 @@ def _piece_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             rows = []
             for text_key, text, places in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode()
-                rows += [(p["key"], p["piece"], p["n"], text_key, p["start"], data[p["start"] : p["start"] + p["size"]]) for p in places]
+                rows += [(p["key"], p["piece"], p["n"], text_key, p["start"], p["gram"], data[p["start"] : p["start"] + p["size"]]) for p in places]
             if rows:
-                kinds = [pa.int64()] * 5 + [pa.binary()]
+                kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, k) for v, k in zip(zip(*rows), kinds)], ["key", "piece", "n", "text_key", "start", "text"]
+                    [pa.array(v, k) for v, k in zip(zip(*rows), kinds)], ["key", "piece", "n", "text_key", "start", "gram", "text"]
                 )
 
-    cut = joined.select("text_key", "text", "wanted").mapInArrow(run, "key long, piece long, n long, text_key long, start long, text binary")
+    cut = joined.select("text_key", "text", "wanted").mapInArrow(run, "key long, piece long, n long, text_key long, start long, gram int, text binary")
     return cut.dropDuplicates(["key", "piece"])
 
 
@@ -193,6 +197,44 @@ def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     return found
 
 
+def repeated_in_pieces(rows: list[tuple], length: int, step: int = 0) -> list[np.ndarray]:
+    """For each (key, n, text_key, start, gram, text) row, sorted starts of its repeated windows.
+
+    Windows are taken in blocks by their distance from the piece's gram, so that equal windows are
+    in blocks of one number. All windows of a block share its core. A core that no other text has
+    rules the block out, and a block whose whole text another has is repeated throughout; only
+    blocks between the two are suffix-sorted.
+    """
+    step = step or min(BLOCK_WINDOWS, max(1, length // 8))
+    cores: dict[tuple, int] = {}
+    wholes: dict[tuple, int] = {}
+    parts: list[tuple[int, int, tuple, tuple]] = []  # row, first window, core, whole
+    for place, (key, n, _, _, gram, text) in enumerate(rows):
+        last = len(text) - length
+        for block in range((gram - last) // step, gram // step + 1):
+            first, end = max(gram - block * step - step + 1, 0), min(gram - block * step, last) + 1
+            top = gram - block * step
+            core = (key, block, text[top : top - step + 1 + length])
+            whole = (key, block, top - first, text[first : end - 1 + length])
+            cores[core] = cores.get(core, 0) + n
+            wholes[whole] = wholes.get(whole, 0) + n
+            parts.append((place, first, core, whole))
+    found: list[list[np.ndarray]] = [[] for _ in rows]
+    open_cores = {core for place, _, core, whole in parts if rows[place][1] == 1 and cores[core] > 1 and wholes[whole] == 1}
+    texts: dict[tuple, int] = {}
+    for place, first, core, whole in parts:
+        if core in open_cores:
+            texts.setdefault(whole, len(texts))
+        if wholes[whole] > 1:
+            found[place].append(np.arange(first, first + len(whole[3]) - length + 1))
+    if texts:
+        starts = repeated_starts([whole[3] for whole in texts], length)
+        for place, first, _, whole in parts:
+            if whole in texts and wholes[whole] == 1:
+                found[place].append(first + starts[texts[whole]])
+    return [np.sort(np.concatenate(f)) if f else np.array([], np.int64) for f in found]
+
+
 def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Covered bytes [first, end) of windows at sorted ``starts``, joined where they meet."""
     if not len(starts):
@@ -211,7 +253,7 @@ def sorted_spans(texts: DataFrame, length: int, shard: int) -> DataFrame:
     def sort(rows: list[tuple]) -> pa.RecordBatch:
         spans = [
             (text_key, start + first, start + end)
-            for (n, text_key, start, _), starts in zip(rows, repeated_starts([r[3] for r in rows], length)) if n == 1
+            for (_, n, text_key, start, _, _), starts in zip(rows, repeated_in_pieces(rows, length)) if n == 1
             for first, end in _runs(starts, length)
         ]
         columns = zip(*spans) if spans else ([], [], [])
@@ -224,14 +266,14 @@ def sorted_spans(texts: DataFrame, length: int, shard: int) -> DataFrame:
                 if key != before and size >= shard:
                     yield sort(rows)
                     rows, size = [], 0
-                rows.append(tuple(row))
-                size += len(row[3])
+                rows.append((key, *row))
+                size += len(row[-1])
                 before = key
         if rows:
             yield sort(rows)
 
     dealt = texts.repartition(max(1, total // shard), "key").sortWithinPartitions("key")
-    return dealt.select("key", "n", "text_key", "start", "text").mapInArrow(run, SPANS)
+    return dealt.select("key", "n", "text_key", "start", "gram", "text").mapInArrow(run, SPANS)
 
 
 def counted_spans(texts: DataFrame, length: int) -> DataFrame:
@@ -260,7 +302,7 @@ def repeated_spans(
     found = pieces(texts, length, gram, chunk)
     placed = written(found.groupBy(*found.columns).agg(F.count("*").alias("n")), "pieces")
     different = written(placed.groupBy("key", "piece").agg(
-        F.sum("n").alias("n"), F.max(F.struct("text_key", "start", "size")).alias("at")
+        F.sum("n").alias("n"), F.max(F.struct("text_key", "start", "size", "gram")).alias("at")
     ), "different-pieces")
     keys = different.groupBy("key").agg(F.count("*").alias("texts"), F.min("n").alias("least"))
     shared = written(keys.where("texts > 1 and least = 1").select("key", "texts"), "shared-keys")
