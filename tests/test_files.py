@@ -24,7 +24,7 @@ def root(tmp_path_factory):
 def test_summary_row_goes_and_ids_become_integers(spark, root, rows):
     path = files.find_file(spark, f"{root}/base", "map_map")
     df = files.load_metric_file(spark, path, "map")
-    assert df.dtypes == [("id_Q", "int"), ("map", "double")]
+    assert df.dtypes == [("id_Q", "bigint"), ("map", "double")]
     assert rows(df) == [(601, 0.6), (603, 0.1), (604, 0.2)]
 
 
