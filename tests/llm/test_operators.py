@@ -248,6 +248,26 @@ def test_licences(spark):
     assert next(r.differences for r in rows if r.doc_id == 9) == "restriction > limitation"
 
 
+def test_licences_in_long_blocks():
+    """Whole and slightly changed notices in a 300 KB block, and at every place along a window's edge, against a search by words alone."""
+    scanner, filler = license_scan.Scanner(), ("copyright permission " + prose(5, 30) + " ") * 1800
+    notices = [t for t in scanner.templates if len(t.words) > 9]
+    for place in (0, len(filler) // 2, len(filler)):
+        text = filler[:place] + " " + "\n\n".join(f"{t.text.upper()} zz" for t in notices) + " " + filler[place:]
+        assert len(license_scan.blocks(text)) == 1 and len(text) > 300_000
+        found = Counter((r[0], r[3]) for r in scanner.scan(text))
+        words = " ".join(w for w, _, _ in license_scan._words(text))
+        wanted = Counter((t.license_id, True) for t in notices if f" {' '.join(t.words)} " in f" {words} ")
+        assert {k: found[k] for k in wanted} == wanted and len(wanted) >= 10
+    apache = next(t for t in notices if t.license_id == "Apache-2.0")
+    changed = apache.text.replace("obtain", "get").replace("express", "explicit").replace("required", "asked")
+    edge = scanner.overlap + license_scan.STEP
+    for shift in range(edge - 90, edge + 10, 7):
+        text = "copyright " + "permission " * shift + changed + " permission" * 500
+        rows = [r for r in scanner.scan(text) if r[0] == "Apache-2.0"]
+        assert [(r[3], r[5]) for r in rows if r[4] == len(apache.words)] == [(False, 3)]
+
+
 # Quality
 
 def test_quality_counts(docs, texts):
