@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from llm_fixtures import prose
 
 import corpus_pipeline
-from quern.llm import personal_data
+from quern.llm import personal_data, shingle_dedup
 from quern.storage import written
 
 
@@ -41,3 +42,36 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path, small_training):
     assert 11 not in ids["benchmark"]
     assert "[EMAIL]" in last[14].text and last[14].n_chars == len(last[14].text)
     assert ids["packed"] == ids["private"]
+
+
+def test_near_copies_of_edited_words_go(spark):
+    """Groups of texts with a few replaced words, against all pairs by plain sets of five-word windows."""
+    draw, texts = random.Random(4), {}
+    for group in range(40):
+        words = prose(1000 + group, 300).split()
+        for _ in range(4):
+            copy = list(words)
+            for at in draw.sample(range(300), draw.choice([0, 1, 2, 3, 6, 9])):
+                copy[at] = f"edit{draw.random()}"
+            texts[len(texts)] = " ".join(copy)
+    texts |= {500: "", 501: None, 502: "two words", 503: "Two  WORDS"}
+    sets = {k: {tuple((t or "").lower().split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for k, t in texts.items()}
+    root = {k: k for k in texts}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in shingle_dedup.one_of_each_group(docs).collect()}
+    assert kept == set(root.values()) and len(kept) < 100
+
+
+def test_share_of_pairs_at_the_threshold_with_a_common_band():
+    draw, found = np.random.default_rng(1), 0
+    for _ in range(2000):
+        hashes = draw.integers(0, 1 << 63, 450, np.uint64)
+        a, b = np.unique(hashes[:405]), np.unique(np.concatenate([hashes[:360], hashes[405:]]))
+        assert 0.79 < shingle_dedup.similarity(a, b) <= 0.801
+        found += bool(set(shingle_dedup.bands_of(a)) & set(shingle_dedup.bands_of(b)))
+    assert found >= 1998
