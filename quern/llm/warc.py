@@ -1,7 +1,7 @@
 """Web pages as WARC archives, and a reader that takes any byte range of them.
 
 Every record is a gzip member of its own. A reading task scans its range for the gzip magic,
-accepts a candidate when it decodes to a WARC header and its checksum holds, and owns the records
+accepts a candidate when it decodes to a WARC header (of any length) and its checksum holds, and owns the records
 that start inside the range, to their ends beyond it. After an accepted member the next one starts
 where it ended, so only a range's first record is searched for. (Compressed data does not decode
 to a WARC header by chance, and UTF-8 payloads never contain the magic.)
@@ -34,8 +34,6 @@ LEVEL = 4
 ARCHIVE_BYTES = 1 << 30
 SPLIT_BYTES = 32 << 20
 BLOCK = 1 << 20
-#: Bytes of a candidate's decoded start that must hold its WARC header.
-HEADER_BYTES = 64 << 10
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 MANIFEST = "path string, bytes long, records long"
@@ -131,14 +129,14 @@ def _member(source: _Range, at: int) -> tuple[bytes, int] | None:
             chunk = source.data[taken : taken + BLOCK]
             decoded.append(decoder.decompress(chunk))
             taken += len(chunk) - len(decoder.unused_data)
-            if len(seen) < HEADER_BYTES:
-                seen += decoded[-1][:HEADER_BYTES]
-                if not (seen.startswith(b"WARC/1.") or b"WARC/1.".startswith(seen[:7])):
+            if len(seen) < 7:
+                seen += decoded[-1][:7]
+                if not (seen.startswith(b"WARC/1.") or b"WARC/1.".startswith(seen)):
                     return None
     except zlib.error:
         return None
     whole = b"".join(decoded)
-    return (whole, taken) if whole.startswith(b"WARC/1.") and b"\r\n\r\n" in whole[:HEADER_BYTES] else None
+    return (whole, taken) if whole.startswith(b"WARC/1.") and b"\r\n\r\n" in whole else None
 
 
 def members(file: pa.NativeFile, start: int, stop: int) -> Iterator[bytes]:
@@ -242,6 +240,13 @@ def _batch(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
 
+def check_count(records: DataFrame, manifest: DataFrame) -> None:
+    """Fewer or more records than the manifest says are an error."""
+    wanted, got = manifest.agg(F.sum("records")).first()[0] or 0, records.count()
+    if wanted != got:
+        raise ValueError(f"{got} records read of {wanted} written")
+
+
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Write ``pages`` as archives in the shared folder and read them back, without the payloads.
 
@@ -251,4 +256,6 @@ def archive_round_trip(pages: DataFrame, least_bytes: int = 0, split_bytes: int
     """
     folder = fresh_folder(pages.sparkSession, "warc")
     manifest = write_archives(with_revisits(pages, least_bytes), folder)
-    return read_archives(manifest, split_bytes, with_payload=False)
+    records = written(read_archives(manifest, split_bytes, with_payload=False), "warc-records")
+    check_count(records, manifest)
+    return records

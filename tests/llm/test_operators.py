@@ -176,6 +176,19 @@ def test_payloads_come_back(spark):
     assert warc.archive_round_trip(pages.where("page_id > 99")).collect() == []
 
 
+def test_long_headers_and_lost_records(spark):
+    """Urls whose headers are far longer than 64 KiB keep their rows; a missing record ends the job."""
+    rows = [(1, "http://a/" + "x" * 200_000, "one"), (2, " " * 30_000, "two"), (3, "u", "one")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.archive_round_trip(pages, split_bytes=500).collect()
+    assert sorted((r.page_id, r.record_type, r.url) for r in got) == [
+        (1, "revisit", rows[0][1]), (2, "response", "%20" * 30_000), (3, "response", "u"),
+    ]
+    manifest = spark.createDataFrame([("x", 1, 3)], warc.MANIFEST)
+    with pytest.raises(ValueError, match="2 records read of 3"):
+        warc.check_count(spark.range(2), manifest)
+
+
 # Repeated strings
 
 @pytest.mark.parametrize("texts_per_key", [5_000, 1])
