@@ -281,7 +281,7 @@ SAMPLE, VARIANTS = 700, 900
 
 
 def labelled_windows(docs: DataFrame, limit: int) -> list[tuple[str, list[int]]]:
-    """Windows of the corpus with the rules' tags: those with the smallest hashes, at most ``limit``."""
+    """Different windows of the corpus with the rules' tags: those with the smallest hashes, at most ``limit``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,12 +295,14 @@ def labelled_windows(docs: DataFrame, limit: int) -> list[tuple[str, list[int]]]
                     [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["window", "tags"]
                 )
 
-    found = written(docs.select("text").mapInArrow(run, "window string, tags array<int>"), "labelled-windows")
+    rows = docs.select("text").mapInArrow(run, "window string, tags array<int>")
+    # Copies count once, so that the cut and the limit apply to different windows.
+    found = written(rows.dropDuplicates(["window", "tags"]), "labelled-windows")
     # Hashes below the cut are some four times as many as wanted, so no task sends the driver more.
     cut = min(1.0, 4 * limit / max(found.count(), 1))
     hashes = F.xxhash64("window")
     low = found.where(hashes <= F.lit(int(-(2**63) + cut * (2**64 - 1025))))
-    chosen = low.orderBy(hashes, "window").limit(limit)
+    chosen = low.orderBy(hashes, "window", "tags").limit(limit)
     return [(r["window"], r["tags"]) for r in chosen.collect()]
 
 

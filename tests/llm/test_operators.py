@@ -375,6 +375,13 @@ def test_tagger_on_windows_it_has_not_seen(tagger):
     assert hit > 0.7 * total and wrong <= 4
 
 
+def test_training_windows_are_different_ones(spark):
+    """Of texts with many copies, every different window comes into the sample once."""
+    texts = [f"write to {name}@mail.example.com about it" for name in ("ann", "bob", "cy", "dee", "eve")]
+    docs = spark.createDataFrame([(t,) for t in texts * 300], "text string").repartition(3)
+    assert sorted(w for w, _ in personal_data.labelled_windows(docs, 20)) == sorted(texts)
+
+
 def test_personal_data_of_documents(spark, tagger):
     texts = {1: "write to joe.5@mail.example.com or +1 (743) 555-3824 now", 2: "", 3: None, 4: "call (743) 555-3824 today", 5: "plain words, version 3."}
     docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").withColumn("spans", F.lit(1))
