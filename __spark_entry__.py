@@ -20,9 +20,7 @@ from quern.storage import fresh_folder, written
 
 try:
     import quern.llm.queries as llm_queries
-except ModuleNotFoundError as missing:
-    if missing.name not in ("quern.llm", "quern.llm.queries", "corpus_pipeline"):
-        raise
+except ImportError:
     llm_queries = None
 
 KNN = KnnParams(min_doc_c=4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, packing, personal_data, quality_rules, shingle_dedup
+from quern.llm import decontamination, packing, personal_data, quality_rules, simhash_dedup
 from quern.llm.frames import table, tokenizer_json
 from quern.storage import written
 
@@ -16,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word Jaccard similarity 0.8 stays, that with the smallest id."""
-    return shingle_dedup.one_of_each_group(docs)
+    """One document of each group of fingerprints at two bits or fewer stays, that with the smallest id."""
+    return simhash_dedup.one_of_each_group(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
