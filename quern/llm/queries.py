@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from quern.llm import (
     decontamination, interpolation, license_scan, packing, personal_data, quality_rules, sharding, simhash_dedup,
-    substring_dedup, warc,
+    spelling_variants, substring_dedup, topk_search, vector_codes, warc,
 )
 from quern.llm.frames import table, tokenizer_json
 
@@ -53,6 +53,83 @@ SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
 FROM marked
 """
 
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Each round is one step: nearest entries by smallest (distance, entry), then floored means."""
+    kept = f"""SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS nth,
+        list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+    cut = f"""SELECT vec_id, label, nth, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS p
+        FROM kept, (SELECT unnest(range({parts})) AS part)"""
+    steps = {"kept": kept, "cut": cut, "book0": f"SELECT part, nth - 1 AS entry, p AS c FROM cut WHERE nth <= {entries}"}
+    gap = "list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for k in range(rounds + 1):
+        steps[f"near{k}"] = f"""SELECT nth, part, any_value(vec_id) AS vec_id, any_value(label) AS label, any_value(p) AS p,
+            min(struct_pack(d := CAST({gap} AS BIGINT), e := entry)) AS best FROM cut JOIN book{k} USING (part) GROUP BY nth, part"""
+        if k < rounds:
+            steps[f"sums{k}"] = f"""SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM (
+                SELECT part, best.e AS entry, i, CAST(sum(p[i]) AS BIGINT) AS s, count(*) AS n
+                FROM near{k}, LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i) GROUP BY ALL) GROUP BY part, entry"""
+            steps[f"book{k + 1}"] = f"SELECT b.part, b.entry, coalesce(m, c) AS c FROM book{k} b LEFT JOIN sums{k} s USING (part, entry)"
+    steps["coded"] = f"""SELECT nth, any_value(vec_id) AS vec_id, any_value(label) AS label,
+        string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY nth"""
+    with_steps = ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in steps.items())
+    return f"""WITH {with_steps}
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+        (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256 FROM coded"""
+
+
+# Near words share a word with one code point left out at the same place (replaced), or one is the other without one.
+OP12 = r"""
+WITH table256 AS (
+    SELECT list(c ORDER BY k) AS crc FROM (SELECT k, list_reduce(list_prepend(k, range(8)), lambda a, i:
+        CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM (SELECT unnest(range(256)) AS k))
+), runs AS (
+    SELECT doc_id, run, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]{5,}')) AS run
+    FROM documents) GROUP BY ALL
+), bytes AS (
+    SELECT doc_id, run, n, list_transform(range(1, 2 * octet_length(encode(doc_id || ':' || run)), 2),
+        lambda i: CAST('0x' || substr(hex(encode(doc_id || ':' || run)), i, 2) AS BIGINT)) AS b FROM runs
+), hashed AS (
+    SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, crc[1 + (xor(a, x) & 255)])), 4294967295) AS h
+    FROM bytes, table256
+), placed AS (SELECT run, n, h, CAST(h % length(run) AS INTEGER) AS gone FROM hashed
+), words AS MATERIALIZED (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, gone) || substr(run, gone + 2) ELSE run END AS word, n FROM placed)
+    WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), without AS MATERIALIZED (
+    SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS k)
+), near AS MATERIALIZED (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM without a JOIN without b ON a.k = b.k AND a.rest = b.rest AND length(a.word) = length(b.word) AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM without a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM without a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, min(struct_pack(m := -near_n, near := near)) AS b FROM near GROUP BY word
+), forms AS MATERIALIZED (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 2 * n THEN b.near END AS form, CASE WHEN -b.m >= 2 * n THEN -b.m END AS form_n
+    FROM words LEFT JOIN best USING (word)
+), chain AS (
+    WITH RECURSIVE step AS (
+        SELECT word, form AS root FROM forms WHERE form IS NOT NULL
+        UNION ALL SELECT s.word, f.form FROM step s JOIN forms f ON f.word = s.root WHERE f.form IS NOT NULL
+    ) SELECT s.word, s.root FROM step s JOIN forms f ON f.word = s.root WHERE f.form IS NULL
+)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN chain USING (word)
+"""
+
+OP13 = """
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM kept q JOIN kept c ON c.vec_id IS DISTINCT FROM q.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -95,16 +172,35 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors, their errors, and the digest of the codebooks."""
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of all texts with their near words and usual forms."""
+    return spelling_variants.spelling_forms(table(spark, sf_dir, "documents"))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest inner products of every hundredth vector with all others."""
+    return topk_search.largest_products(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_dedup, op2_best_fit_packing, op3_decontamination, op4_deleted_interpolation, op5_warc,
         op6_suffix_dedup, op7_sharding, op8_license_scan, op9_quality_rules, op10_personal_data,
+        op11_vector_codes, op12_spelling_variants, op13_topk_search,
     )
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": OP3,
     "op5_warc": OP5,
+    "op11_vector_codes": _codes_sql(),
+    "op12_spelling_variants": OP12,
+    "op13_topk_search": OP13,
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
 }

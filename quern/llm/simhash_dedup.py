@@ -176,11 +176,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, one row a group, all columns."""
+    """The rows of ``docs`` with the smallest id of their group, one row a group, all columns.
+
+    Groups are those of ``near_duplicates``: null, empty and blank texts are one group with whatever is
+    near fingerprint 0. Of repeated rows (equal id and fingerprint) one stays. A group whose ids are all
+    null keeps one row. An empty table stays empty. Columns may have any names.
+    """
     columns = docs.columns
+    own, kept, first = (fresh_name(docs, name) for name in ("own_fingerprint", "kept_fingerprint", "kept_id"))
     _, groups = grouped(docs)
-    kept = groups.where("fingerprint = chosen").select(F.col("fingerprint").alias("kept"), "component_id")
-    own = fresh_name(docs, "fingerprint")
+    chosen = groups.where("fingerprint = chosen").select(F.col("fingerprint").alias(kept), F.col("component_id").alias(first))
 
     # The fingerprint stands in for the id where ids are null.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +195,5 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
     place = columns.index("text")
     marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
-    found = marked.join(kept, (F.col(own) == F.col("kept")) & F.col("doc_id").eqNullSafe(F.col("component_id")), "left_semi")
-    return found.dropDuplicates(["doc_id", own]).select(*columns)
-
+    found = marked.join(chosen, (F.col(own) == F.col(kept)) & F.col("doc_id").eqNullSafe(F.col(first)), "left_semi")
+    return found.dropDuplicates(["doc_id", own]).select(*(F.col(f"`{c}`") for c in columns))
