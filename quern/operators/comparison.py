@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scoring import to_digits
@@ -78,6 +78,16 @@ def paired(long: DataFrame, baseline: str = "base") -> DataFrame:
     )
 
 
+def beside_base(long: DataFrame, baseline: str = "base") -> DataFrame:
+    """``long`` with the baseline's value of the same query and metric, null where it has none.
+
+    All methods, the baseline included, from one scan and one exchange by metric and id.
+    """
+    same = Window.partitionBy("metric", "id_Q")
+    base = F.max(F.when(F.col("method") == baseline, F.col("value"))).over(same)
+    return long.select("method", "metric", "id_Q", "value", base.alias("base_value"))
+
+
 def method_difference(pairs: DataFrame) -> DataFrame:
     """Differences at the precision of the published values."""
     return pairs.withColumn("difference", to_digits(F.col("difference"), METRIC_DIGITS))
@@ -95,17 +105,23 @@ def column_difference(
     )
 
 
-def difference_extremes(differences: DataFrame) -> DataFrame:
-    """Largest gain and largest loss per method and metric, each with its query and values.
+def extremes(difference: Column) -> list[Column]:
+    """Aggregates of the largest gain and largest loss, each with its query; ties go to the smallest id.
 
-    Ties go to the smallest id. Both are plain aggregates: nothing is sorted.
+    Nothing is sorted; rows without a difference do not count.
     """
     row = F.struct("base_value", "value")
-    gain = F.min(F.struct((-F.col("difference")).alias("loss"), F.col("id_Q").alias("id"), row.alias("row")))
-    loss = F.min(F.struct("difference", F.col("id_Q").alias("id"), row.alias("row")))
+    known = difference.isNotNull()
+    gain = F.struct((-difference).alias("loss"), F.col("id_Q").alias("id"), row.alias("row"))
+    loss = F.struct(difference.alias("difference"), F.col("id_Q").alias("id"), row.alias("row"))
+    return [F.min(F.when(known, gain)).alias("gain"), F.min(F.when(known, loss)).alias("loss")]
+
+
+def difference_extremes(differences: DataFrame) -> DataFrame:
+    """Largest gain and largest loss per method and metric, each with its query and values."""
     return (
         differences.groupBy("method", "metric")
-        .agg(gain.alias("gain"), loss.alias("loss"))
+        .agg(*extremes(F.col("difference")))
         .select(
             "method",
             "metric",

@@ -86,13 +86,16 @@ def long_metrics(
 
 
 def with_all_row(metrics: DataFrame, key: Sequence[str] = ("metric",)) -> DataFrame:
-    """Long metrics as text ids with one more row ``all`` per metric: the mean over queries."""
-    rows = metrics.select(*key, F.col("query_id").cast("string").alias("id_q"), "value")
-    means = metrics.groupBy(*key).agg(F.avg("value").alias("value"))
-    summary = means.select(*key, F.lit("all").alias("id_q"), "value")
-    return rows.unionByName(summary).withColumn(
-        "value", to_digits(F.col("value"), METRIC_DIGITS)
+    """Long metrics as text ids with one more row ``all`` per metric: the mean over queries.
+
+    Rows and means are two grouping sets of one scan.
+    """
+    each, total = [*key, "query_id"], [*key]
+    grouped = metrics.groupingSets([each, total], *each).agg(
+        F.avg("value").alias("value"), F.grouping("query_id").alias("is_all")
     )
+    id_q = F.when(F.col("is_all") == 1, F.lit("all")).otherwise(F.col("query_id").cast("string"))
+    return grouped.select(*key, id_q.alias("id_q"), to_digits(F.col("value"), METRIC_DIGITS).alias("value"))
 
 
 def split_queries(queries: DataFrame, n_train: int = 150, n_test: int = 100) -> DataFrame:

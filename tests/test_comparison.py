@@ -176,3 +176,54 @@ def test_extremes_of_text_ids(spark):
     frame = spark.createDataFrame(rows, "method string, metric string, id_Q string, base_value double, value double, difference double")
     row = comparison.difference_extremes(frame).first()
     assert (row.max_id, row.max_difference, row.min_id, row.min_difference) == ("a", 0.2, "c", 0.0)
+
+
+def all_signs(d):
+    """Two-sided p of the signed-rank sum over every choice of signs."""
+    d = np.array([x for x in d if x])
+    size = np.abs(d)
+    rank = np.array([(size < s).sum() + ((size == s).sum() + 1) / 2 for s in size])
+    plus = rank[d > 0].sum()
+    sums = np.array([sum(r for r, up in zip(rank, signs) if up) for signs in itertools.product([0, 1], repeat=len(rank))])
+    return min(1.0, 2 * min((sums <= plus).mean(), (sums >= plus).mean()))
+
+
+@pytest.mark.parametrize("made", [
+    [0.1, 0.2, -0.3, 0.4, 0.5, 0.6, 0.7], [0.1, 0.1, -0.1, 0.3, 0.3, -0.2, 0.0, 0.5], [0.2], [-0.1, -0.2, -0.3, -0.4, -0.5, -0.6],
+])
+def test_exact_rank_sums_equal_all_signs(spark, made):
+    row = significance.wilcoxon(pairs_of(spark, [(0.5, 0.5 - d) for d in made]), method="exact").first()
+    assert row.p == pytest.approx(all_signs(made), rel=1e-12)
+
+
+def test_exact_and_normal_come_together_and_large_samples_are_refused(spark):
+    rng = np.random.default_rng(7)
+    made = list(zip(rng.random(120), rng.random(120) + 0.05))
+    exact, normal = (significance.wilcoxon(pairs_of(spark, made), method=m).first() for m in ("exact", "normal"))
+    assert exact.p == pytest.approx(normal.p, abs=0.01) and exact.z == normal.z
+    with pytest.raises(ValueError):
+        significance.wilcoxon(pairs_of(spark, made), method="guess")
+    many = list(zip(rng.random(600), rng.random(600)))
+    with pytest.raises(Exception, match="at most 500 differences"):
+        significance.wilcoxon(pairs_of(spark, many), method="exact").collect()
+    assert significance.wilcoxon(pairs_of(spark, [(0.5, 0.5)] * 3), method="exact").first().p is None
+
+
+def test_ranks_over_many_ranges(spark):
+    """Ranks stay exact however the sizes are dealt, and no expression lists cut points."""
+    rng = np.random.default_rng(8)
+    base, value = rng.random(3000), rng.random(3000)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        row = significance.wilcoxon(pairs_of(spark, zip(base, value)), None).first()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    n, plus, minus, p = signed_rank(base - value)
+    assert (row.n, row.rank_sum_plus, row.rank_sum_minus) == (n, plus, minus)
+
+
+def test_report_reads_its_samples_once(long):
+    base = comparison.beside_base(long)
+    plan = base._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
