@@ -84,7 +84,7 @@ def run_configuration(file: Column) -> Column:
     return F.struct(
         number("first_ret", "(?:first_)?ret", r"\d+", "int"),
         *[number(c, c, r"\d+", "int") for c in counts],
-        *[number(c, c, r"\d+(?:_\d+)?", "double") for c in ("sample", "lambda")],
+        *[number(c, c, r"\d+(?:_\d+)?", "double") for c in ("sample", "lambda", "k1", "b")],
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import comparison, evaluation, significance
 from quern.sources import evaluation_files as files
+from quern.sources import metric_source
 
 
 @pytest.fixture(scope="module")
@@ -127,3 +128,50 @@ def test_published_evaluations(spark, rows):
     assert got.keys() == PUBLISHED.keys()
     for name, expected in PUBLISHED.items():
         assert got[name] == pytest.approx(expected, abs=1e-6)
+
+
+LONG = "method string, metric string, id_q string, value double, file string"
+
+
+def test_named_files_come_back_with_their_configuration(spark, tmp_path, rows):
+    made = [(m, metric, q, 0.25, f"Eval_{mark}_first_ret50_lambda0_9.txt") for m in ("base", "knn")
+            for _, mark, metric in files.METRIC_FILES for q in ("602", "601", "all", "1000")]
+    metric_source.write_named_files(spark.createDataFrame(made, LONG).repartition(4), str(tmp_path))
+    lines = (tmp_path / "knn" / "Eval_P5_P5_first_ret50_lambda0_9.txt").read_text().splitlines()
+    assert lines[0] == f"{'P_5':<22}\t601\t0.2500" and [x.split("\t")[1] for x in lines] == ["601", "602", "1000", "all"]
+    assert sorted(p.name for p in (tmp_path / "base").iterdir()) == sorted({f for *_, f in made})
+    back = metric_source.read_metric_files(spark, str(tmp_path))
+    assert rows(back.select("method", "metric", "id_q", "value", "file")) == sorted(made)
+    assert rows(back.select("configuration.first_ret", "configuration.lambda").distinct()) == [(50, 0.9)]
+    plain = files.load_metrics(spark, str(tmp_path))
+    assert rows(plain) == rows(metric_source.metrics_of_files(spark, str(tmp_path)))
+    one = metric_source.read_metric_files(spark, f"{tmp_path}/base", "map_map", single=True)
+    assert one.rdd.getNumPartitions() == 1 and one.count() == 4
+
+
+def test_files_that_do_not_match_once_are_refused(spark, root):
+    with pytest.raises(PySparkException, match="no file matching"):
+        metric_source.read_metric_files(spark, f"{root}/base", "recall", single=True).count()
+    with pytest.raises(PySparkException, match="3 files match"):
+        metric_source.read_metric_files(spark, f"{root}/base", "Eval", single=True).count()
+
+
+def test_two_configurations_of_one_metric_are_refused(spark, tmp_path):
+    made = [("base", "map", "1", 0.1, f"Eval_map_map_top_n{n}.txt") for n in (10, 20)]
+    metric_source.write_named_files(spark.createDataFrame(made, LONG), str(tmp_path))
+    with pytest.raises(PySparkException, match="several files of map for base"):
+        metric_source.metrics_of_files(spark, str(tmp_path)).collect()
+
+
+def test_a_file_from_two_tasks_is_refused_and_leaves_nothing(spark, tmp_path):
+    metric_source.register(spark)
+    rows = spark.createDataFrame([("base", "map", str(k), 0.1, "Eval_map_map.txt") for k in range(8)], LONG).repartition(4)
+    with pytest.raises(PySparkException):
+        rows.write.format(metric_source.FORMAT).mode("append").save(str(tmp_path))
+    assert not list(tmp_path.rglob("*.txt"))
+
+
+def test_file_names(spark):
+    df = spark.createDataFrame([("knn", "p_5", 50, 0.9)], "method string, metric string, first_ret int, lam double")
+    name = metric_source.file_name(F.col("method"), F.col("metric"), first_ret=F.col("first_ret"), **{"lambda": F.col("lam")})
+    assert df.select(name).first()[0] == "Eval_Q_QE_knn_P5_P5_first_ret50_lambda0_9.txt"
