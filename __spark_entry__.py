@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 import oracles
 from quern import KnnParams, W2vParams
 from quern.functions.scoring import collection_weight
-from quern.functions.text import tokenize, whitespace_tokens
-from quern.operators import clusters, comparison, embeddings, evaluation, feedback, retrieval, significance
+from quern.functions.text import arrow_words, tokenize, vectorised, whitespace_tokens
+from quern.operators import clusters, comparison, embeddings, evaluation, feedback, retrieval, significance, vector_search
 from quern.plans import expanded_search, parameter_grid
-from quern.plans.experiment import N_TEST, N_TRAIN, Experiment
+from quern.plans.experiment import METHODS, N_TEST, N_TRAIN, Experiment
 from quern.plans.method_report import method_report
-from quern.sources import evaluation_files, term_index
+from quern.sources import evaluation_files, metric_source, term_index
 from quern.storage import fresh_folder, written
 
 try:
@@ -63,6 +63,11 @@ def tokenize_by_blanks(e: Experiment) -> DataFrame:
     return term_index.term_statistics(term_index.postings(e.documents, whitespace_tokens))
 
 
+def tokenize_vectorised(e: Experiment) -> DataFrame:
+    """Term statistics by a tokenizer that works on Arrow arrays."""
+    return term_index.term_statistics(term_index.postings(e.documents, vectorised(arrow_words)))
+
+
 def postings_build(e: Experiment) -> DataFrame:
     return term_index.postings(e.documents)
 
@@ -98,7 +103,7 @@ def run_file_round_trip(e: Experiment) -> DataFrame:
 def weighted_search(e: Experiment) -> DataFrame:
     """Query terms at 0.7 and the ten strongest terms of the first hit at 0.3."""
     first = retrieval.search(e.index, e.clauses, 1)
-    terms = feedback.hit_terms(written(first, "hits"), e.index.postings).join(
+    terms = feedback.hit_terms(written(first, "hits"), e.index.documents).join(
         e.index.terms.select("term", "df"), "term"
     )
     score = collection_weight(F.col("tf"), F.lit(e.index.n_docs), F.col("df"))
@@ -131,17 +136,36 @@ def mean_ap(e: Experiment) -> DataFrame:
 
 
 def eval_with_all_row(e: Experiment) -> DataFrame:
-    base = e.long_methods.where(F.col("method") == "base").withColumnRenamed("id_Q", "query_id")
-    return evaluation.with_all_row(base)
+    return evaluation.with_all_row(e.long_methods.withColumnRenamed("id_Q", "query_id"), ["method", "metric"])
 
 
 # Files and method tables
 
+def metric_files(e: Experiment) -> str:
+    """Folder with a file for each method and metric, named by its configuration."""
+    settings = F.create_map(*[F.lit(x) for m, s in METHODS.items() for x in (m, F.array(*map(F.lit, s)))])[F.col("method")]
+    name = metric_source.file_name(F.col("method"), F.col("metric"), k1=settings[0], b=settings[1])
+    folder = fresh_folder(e.spark, "metric-files")
+    metric_source.write_named_files(eval_with_all_row(e).withColumn("file", name), folder)
+    return folder
+
+
 def metric_file_load(e: Experiment) -> DataFrame:
-    rows = eval_with_all_row(e).where(F.col("metric") == "map")
-    folder = fresh_folder(e.spark, "metric-file")
-    evaluation_files.write_metric_files(rows, folder)
-    return evaluation_files.load_metric_file(e.spark, folder, "map")
+    """All metric files of all methods, with the parameters in their names."""
+    rows = evaluation_files.without_summary(metric_source.read_metric_files(e.spark, metric_files(e)))
+    return rows.select("method", "metric", "id_Q", "value", "configuration.k1", "configuration.b")
+
+
+def metric_file_find(e: Experiment) -> DataFrame:
+    """The one file of the baseline's folder whose name marks it as average precision."""
+    folder = metric_files(e)
+    rows = metric_source.read_metric_files(e.spark, f"{folder}/base", "map_map", single=True)
+    return evaluation_files.without_summary(rows).select("id_Q", F.col("value").alias("map"))
+
+
+def metric_files_combined(e: Experiment) -> DataFrame:
+    """Method tables from the files of all metrics."""
+    return comparison.combine_metrics(metric_source.metrics_of_files(e.spark, metric_files(e)))
 
 
 def method_table_scan(e: Experiment) -> DataFrame:
@@ -199,13 +223,19 @@ def wilcoxon(e: Experiment) -> DataFrame:
     return rounded(significance.wilcoxon(comparison.paired(e.samples)), 6, "z", "p")
 
 
+def wilcoxon_exact(e: Experiment) -> DataFrame:
+    """Exact p-values of the methods' metrics."""
+    tested = significance.wilcoxon(comparison.paired(e.long_methods), method="exact")
+    return rounded(tested, 6, "z", "p")
+
+
 def significance_verdict(e: Experiment) -> DataFrame:
     verdicts = significance.verdicts(comparison.paired(e.samples))
     return rounded(verdicts, 6, "mean_difference", "p_t", "p_wilcoxon")
 
 
 def full_report(e: Experiment) -> DataFrame:
-    return rounded(method_report(written(e.samples, "samples")), 6, "p_t", "p_wilcoxon")
+    return rounded(method_report(e.samples), 6, "p_t", "p_wilcoxon")
 
 
 # Expansion from neighbours
@@ -215,7 +245,7 @@ def knn_hits(e: Experiment) -> DataFrame:
 
 
 def knn_terms(e: Experiment, hits: DataFrame) -> DataFrame:
-    return written(feedback.hit_terms(hits, e.index.postings), "hit-terms")
+    return written(feedback.hit_terms(hits, e.index.documents), "hit-terms")
 
 
 def tfidf_l2(e: Experiment) -> DataFrame:
@@ -303,7 +333,7 @@ def grid_test_metrics(e: Experiment) -> DataFrame:
 
 def w2v_vocab(e: Experiment) -> DataFrame:
     hits = expanded_search.feedback(e.index, e.clauses, W2V.first_ret)
-    return embeddings.vocabulary(feedback.hit_terms(hits, e.index.postings), W2V.min_count)
+    return embeddings.vocabulary(feedback.hit_terms(hits, e.index.documents), W2V.min_count)
 
 
 def w2v_local_vectors(e: Experiment) -> DataFrame:
@@ -312,12 +342,9 @@ def w2v_local_vectors(e: Experiment) -> DataFrame:
 
 
 def term_similarity(e: Experiment) -> DataFrame:
-    """Neighbours of each label's first vector among the vectors of that label."""
-    table = e.table("embeddings")
-    vectors = table.select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    ids = written(vectors.groupBy("label").agg(F.min("id").alias("id")), "probe-ids")
-    probes = written(vectors.join(ids, ["label", "id"]), "probes")
-    return embeddings.similar_vectors(vectors, probes, 10, ["label"])
+    """The ten nearest vectors of every hundredth vector among all."""
+    vectors = e.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vector_search.nearest_vectors(vectors, vectors.where(F.col("id") % 100 == 0))
 
 
 def w2v_terms(e: Experiment) -> DataFrame:
@@ -336,11 +363,11 @@ QUERIES = {
         f.__name__: f
         for f in (
             postings_build, term_df, doc_length_stats,
-            tokenize_by_blanks, bm25_topk, feedback_docs, run_export, run_file_round_trip, weighted_search,
+            tokenize_by_blanks, tokenize_vectorised, bm25_topk, feedback_docs, run_export, run_file_round_trip, weighted_search,
             precision_at_5, average_precision, ndcg_at_10, mean_ap, eval_with_all_row,
-            metric_file_load, method_table_scan, metrics_combine, method_preview,
+            metric_file_load, metric_file_find, metric_files_combined, method_table_scan, metrics_combine, method_preview,
             query_range_filter, method_stack, method_diff, method_means, mean_diff, diff_extremes,
-            paired_ttest, wilcoxon, significance_verdict,
+            paired_ttest, wilcoxon, wilcoxon_exact, significance_verdict,
             tfidf_l2, knn_neighbours, knn_dominant_docs, cluster_documents, best_cluster,
             cluster_term_scores, cluster_top_terms, qe_term_filter, knn_qe_search,
             query_split, param_grid, grid_test_metrics,

@@ -173,7 +173,41 @@ STEPS = {
                 sum(grade / log2(rank + 1)) AS dcg
               FROM (SELECT *, sum(rel) OVER (PARTITION BY config_id, query_id ORDER BY rank) AS seen FROM xhits) GROUP BY ALL)
         JOIN judged USING (query_id) GROUP BY config_id""",
-    "probes": "SELECT label, min(vec_id) AS probe_id FROM embeddings GROUP BY label",
+    # Word vectors: window 3, min_count 2, shift ln 5, 75 components, 7 terms.
+    "wtok": f"""SELECT query_id, rank, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS pos
+        FROM (SELECT query_id, rank, {TOKENS} AS tokens FROM deep JOIN documents USING (doc_id) WHERE rank <= 10)""",
+    "wpos": """SELECT query_id, rank, term, row_number() OVER (PARTITION BY query_id, rank ORDER BY pos) AS p
+        FROM (SELECT *, count(*) OVER (PARTITION BY query_id, term) AS c FROM wtok) WHERE c >= 2""",
+    "wnear": """SELECT a.query_id, a.term, b.term AS context, 4 - g AS n FROM wpos a CROSS JOIN (VALUES (1), (2), (3)) v(g)
+        JOIN wpos b ON b.query_id = a.query_id AND b.rank = a.rank AND b.p = a.p + g""",
+    "wco": """SELECT query_id, term, context, sum(n) AS n FROM (SELECT * FROM wnear UNION ALL SELECT query_id, context, term, n FROM wnear) GROUP BY ALL""",
+    "wterm": "SELECT query_id, term, sum(n) AS tn, pow(sum(n), 0.75) AS smooth FROM wco GROUP BY ALL",
+    "wall": "SELECT query_id, sum(smooth) AS total FROM wterm GROUP BY ALL",
+    "wvec": """SELECT query_id, term, context, weight FROM (
+          SELECT c.query_id, c.term, c.context, round(ln(n * total / (t.tn * x.smooth)) - ln(5), 6) AS weight
+          FROM wco c JOIN wterm t ON t.query_id = c.query_id AND t.term = c.term JOIN wterm x ON x.query_id = c.query_id AND x.term = c.context
+          JOIN wall w ON w.query_id = c.query_id)
+        WHERE weight > 0 QUALIFY row_number() OVER (PARTITION BY query_id, term ORDER BY weight DESC, context) <= 75""",
+    "wunit": """SELECT v.query_id, v.term, context, weight / sqrt(sum(weight * weight) OVER (PARTITION BY v.query_id, v.term)) AS u,
+        c.term IS NOT NULL AS asked FROM wvec v LEFT JOIN clauses c ON c.query_id = v.query_id AND c.term = v.term""",
+    "wsim": """SELECT query_id, q_term, term, score, row_number() OVER (PARTITION BY query_id, q_term ORDER BY score DESC, term) AS rank
+        FROM (SELECT a.query_id, a.term AS q_term, b.term, round(sum(a.u * b.u), 6) AS score FROM wunit a JOIN wunit b
+              ON a.query_id = b.query_id AND a.context = b.context WHERE a.asked AND NOT b.asked GROUP BY ALL) QUALIFY rank <= 7""",
+    "wnew": """SELECT query_id, term, score, row_number() OVER (PARTITION BY query_id ORDER BY near, score DESC, term)::INT AS rank
+        FROM (SELECT query_id, term, max(score) AS score, min(rank) AS near FROM wsim GROUP BY ALL) QUALIFY rank <= 7""",
+    "wqe": "SELECT query_id, term, boost * 0.7 AS boost FROM clauses UNION ALL SELECT query_id, term, (1 - 0.7) * score FROM wnew",
+    # Exact signed ranks: chances of all doubled rank sums, one difference after the other.
+    "erank": """SELECT method, metric, d, rank() OVER w + (count(*) OVER (PARTITION BY method, metric, abs(d)) - 1) / 2 AS rk,
+          row_number() OVER (PARTITION BY method, metric ORDER BY abs(d)) AS i FROM (SELECT method, metric, -difference AS d FROM diffs) WHERE d <> 0
+        WINDOW w AS (PARTITION BY method, metric ORDER BY abs(d))""",
+    "echance": """SELECT * FROM (WITH RECURSIVE step AS (
+          SELECT DISTINCT method, metric, 0::BIGINT AS i, [1.0::DOUBLE] AS c FROM erank
+          UNION ALL SELECT s.method, s.metric, s.i + 1, list_transform(range(len(c) + (2 * rk)::BIGINT), lambda k:
+              (coalesce(c[k + 1], 0) + CASE WHEN k >= (2 * rk)::BIGINT THEN c[k + 1 - (2 * rk)::BIGINT] ELSE 0 END) / 2)
+            FROM step s JOIN erank r ON r.method = s.method AND r.metric = s.metric AND r.i = s.i + 1
+        ) SELECT method, metric, arg_max(c, i) AS c FROM step GROUP BY ALL)""",
+    "esum": """SELECT method, metric, count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS rp, sum(CASE WHEN d < 0 THEN rk ELSE 0 END) AS rm FROM erank GROUP BY ALL""",
+    "eties": "SELECT method, metric, sum(pow(k, 3) - k) AS ts FROM (SELECT method, metric, abs(d) AS a, count(*) AS k FROM erank GROUP BY ALL) GROUP BY ALL",
 }
 
 VERDICT = "CASE WHEN {p} < 0.05 AND {d} < 0 THEN 'better' WHEN {p} < 0.05 AND {d} > 0 THEN 'worse' ELSE 'no difference' END"
@@ -186,6 +220,7 @@ FINAL = {
     "tokenize": f"SELECT doc_id, len({TOKENS}) AS n_tokens, array_to_string({TOKENS}, ' ') AS normalized FROM documents",
     "postings_build": "SELECT doc_id, term, tf, dl FROM post JOIN lens USING (doc_id)",
     "term_df": "SELECT term, df, cf FROM terms",
+    "tokenize_vectorised": "SELECT term, df, cf FROM terms",
     "doc_length_stats": "SELECT n AS n_docs, (SELECT sum(tf) FROM post)::BIGINT AS n_tokens, round(avgdl, 6) AS avg_length FROM coll",
     "bm25_topk": "SELECT query_id, doc_id, score, rank FROM base_run",
     "feedback_docs": "SELECT query_id, doc_id, score, rank FROM deep",
@@ -199,9 +234,11 @@ FINAL = {
     "average_precision": "SELECT query_id, round(map, 6) AS ap FROM evaluated WHERE method = 'base'",
     "ndcg_at_10": "SELECT query_id, round(ndcg_10, 6) AS ndcg_10 FROM evaluated WHERE method = 'base'",
     "mean_ap": "SELECT method, round(avg(map), 6) AS map FROM evaluated GROUP BY method",
-    "eval_with_all_row": """SELECT metric, id_q::VARCHAR AS id_q, value FROM long WHERE method = 'base'
-        UNION ALL SELECT metric, 'all', round(round(avg(value), 9), 4) FROM long WHERE method = 'base' GROUP BY metric""",
-    "metric_file_load": 'SELECT id_q AS "id_Q", map FROM methods WHERE method = \'base\'',
+    "eval_with_all_row": """SELECT method, metric, id_q::VARCHAR AS id_q, value FROM long
+        UNION ALL SELECT method, metric, 'all', round(round(avg(value), 9), 4) FROM long GROUP BY method, metric""",
+    "metric_file_load": 'SELECT method, metric, id_q AS "id_Q", value, k1, b::DOUBLE AS b FROM long JOIN settings USING (method)',
+    "metric_file_find": 'SELECT id_q AS "id_Q", map FROM methods WHERE method = \'base\'',
+    "metric_files_combined": 'SELECT id_q AS "id_Q", map, p_5, ndcg_10, method FROM methods',
     "method_table_scan": 'SELECT id_q AS "id_Q", map, p_5, ndcg_10, method FROM methods',
     "metrics_combine": 'SELECT id_q AS "id_Q", map, p_5, ndcg_10, method FROM methods',
     "method_preview": 'SELECT id_q AS "id_Q", map, p_5, ndcg_10, method FROM methods ORDER BY id_q, method LIMIT 5',
@@ -218,6 +255,10 @@ FINAL = {
         JOIN (SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY method, metric ORDER BY g, id_q) = 1) b USING (method, metric)""",
     "paired_ttest": "SELECT method, metric, n, round(mean_d, 6) AS mean_d, round(sd_d, 6) AS sd_d, round(t, 6) AS t, round(p, 6) AS p FROM tp",
     "wilcoxon": "SELECT method, metric, n, rank_sum_plus, rank_sum_minus, round(z, 6) AS z, round(p, 6) AS p FROM wp",
+    "wilcoxon_exact": """SELECT method, metric, coalesce(n, 0) AS n, rp AS rank_sum_plus, rm AS rank_sum_minus,
+          round((least(rp, rm) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ts / 48), 6) AS z,
+          round(least(1, 2 * list_sum(c[1 : (2 * least(rp, rm))::BIGINT + 1])), 6) AS p
+        FROM (SELECT DISTINCT method, metric FROM diffs) LEFT JOIN (SELECT * FROM esum JOIN eties USING (method, metric) JOIN echance USING (method, metric)) USING (method, metric)""",
     "significance_verdict": REPORT_VERDICTS.replace(
         "SELECT method, metric,", "SELECT method, metric, round(-mean_d, 6) AS mean_difference,"
     ),
@@ -249,11 +290,14 @@ FINAL = {
         JOIN (SELECT config_id, metric, mean FROM xmeans UNPIVOT (mean FOR metric IN (map, p_5, ndcg_10))) x USING (config_id, metric)""",
     "query_split": "SELECT query_id, part FROM parts",
     "w2v_vocab": "SELECT query_id, term, sum(tf)::BIGINT AS n FROM k_ht GROUP BY ALL HAVING sum(tf) >= 2",
-    "term_similarity": """SELECT label, probe_id, id, score, rank FROM (
-          SELECT e.label, probe_id, e.vec_id AS id, round(list_dot_product(e.embedding::DOUBLE[], p.embedding::DOUBLE[])
+    "w2v_local_vectors": "SELECT query_id, term, context, weight FROM wvec",
+    "w2v_terms": "SELECT query_id, term, score, rank FROM wnew",
+    "w2v_qe_search": top(bm25("wqe"), 10),
+    "term_similarity": """SELECT probe_id, id, score, rank FROM (
+          SELECT p.vec_id AS probe_id, e.vec_id AS id, round(list_dot_product(e.embedding::DOUBLE[], p.embedding::DOUBLE[])
               / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[]))), 6) AS score,
-            row_number() OVER (PARTITION BY e.label, probe_id ORDER BY score DESC, e.vec_id)::INT AS rank
-          FROM embeddings e JOIN probes USING (label) JOIN embeddings p ON p.vec_id = probe_id WHERE e.vec_id <> probe_id)
+            row_number() OVER (PARTITION BY p.vec_id ORDER BY score DESC, e.vec_id)::INT AS rank
+          FROM embeddings e JOIN embeddings p ON e.vec_id <> p.vec_id WHERE p.vec_id % 100 = 0)
         WHERE rank <= 10""",
 }
 

@@ -1,29 +1,29 @@
-"""Word vectors trained per query on its feedback documents, and nearest terms.
+"""Word vectors of one query's feedback documents, nearest terms, and nearest vectors of a table.
 
-One Python call trains one query's model, so its memory is bounded by ``first_ret``
-documents; Spark spreads the queries.
+A term's vector holds the contexts it occurs with more often than chance: its positive pointwise
+mutual information with each context, from counts in a sliding window, smoothed and shifted as in
+skip-gram training with negative samples, which factorises the same matrix. Counting it directly
+needs no random numbers, learning rate or epochs. A query has at most ``first_ret`` hits, so its rows
+are placed together once; the windows and groupings on finer keys that follow need no further exchange.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import Tokenizer, tokenize
-from quern.functions.vectors import dot, norm
 from quern.operators.retrieval import QUERY
 from quern.params import W2vParams
 
 SIMILARITY_DIGITS = 6
-BATCH = 512
-BATCH_STEPS = 32
-NOISE_SHARE = 16
-TASKS_PER_CORE = 4
-FIRST_RATE, LAST_RATE = 0.025, 0.0001
+WEIGHT_DIGITS = 6
+#: Exponent that lifts rare contexts, as the noise of skip-gram training has it.
+SMOOTHING = 0.75
+
+Settings = W2vParams | Mapping[int, W2vParams]
 
 
 def hit_tokens(
@@ -49,222 +49,118 @@ def vocabulary(terms: DataFrame, min_count: int = 1, key: Sequence[str] = QUERY)
     )
 
 
-def local_vectors(
-    tokens: DataFrame, params: W2vParams = W2vParams(), key: Sequence[str] = QUERY
-) -> DataFrame:
-    """Vectors of each query's own model: (key, term, n, vector)."""
-    key = list(key)
-
-    def train(group: pd.DataFrame) -> pd.DataFrame:
-        terms, counts, vectors = train_skip_gram(_sentences(group), params)
-        head = group[key].iloc[:1].loc[lambda d: d.index.repeat(len(terms))]
-        return head.reset_index(drop=True).assign(
-            term=terms, n=counts, vector=list(vectors)
-        )
+def setting(params: Settings, name: str) -> Column:
+    """A parameter, or its value for the row's ``config_id`` where settings are numbered."""
+    if isinstance(params, W2vParams):
+        return F.lit(getattr(params, name))
+    return F.create_map(*[F.lit(x) for i, p in params.items() for x in (i, getattr(p, name))])[F.col("config_id")]
 
-    schema = f"{_fields(tokens, key)}, term string, n bigint, vector array<float>"
-    return _spread(tokens, key).groupBy(*key).applyInPandas(train, schema)
 
-
-def local_similar_terms(
-    tokens: DataFrame,
-    query_terms: DataFrame,
-    params: W2vParams | Mapping[int, W2vParams] = W2vParams(),
-    key: Sequence[str] = QUERY,
+def cooccurrences(
+    tokens: DataFrame, params: Settings = W2vParams(), key: Sequence[str] = QUERY
 ) -> DataFrame:
-    """Nearest new terms of each query term: (key, q_term, term, score, rank), rank up to ``top_n``.
+    """(key, term, context, n): how often terms meet in a window, near ones counting more.
 
-    Training and lookup share one pass, so the vectors never leave the task. A mapping gives the
-    parameters of each ``config_id``, which is then part of the key.
+    Terms below ``min_count`` are dropped first, so that the window reaches over them. At distance
+    g a pair counts ``window + 1 - g`` times, as windows of random width would have it. Every pair
+    counts both ways. The key must hold ``config_id`` where ``params`` are numbered.
     """
-    key = list(key)
-
-    def nearest(group: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(columns=["q_term", "term", "score", "rank"])
-        if len(group) and len(query):
-            own = params if isinstance(params, W2vParams) else params[group["config_id"].iloc[0]]
-            terms, _, vectors = train_skip_gram(_sentences(group), own)
-            found = _nearest_terms(terms, vectors, np.unique(query["term"]), own.top_n)
-        source = group if len(group) else query
-        head = source[key].iloc[:1].loc[lambda d: d.index.repeat(len(found))]
-        return pd.concat([head.reset_index(drop=True), found], axis=1)
-
-    schema = f"{_fields(tokens, key)}, q_term string, term string, score double, rank int"
-    terms = _spread(query_terms.select(*key, "term"), key)
+    widest = max(p.window for p in ([params] if isinstance(params, W2vParams) else params.values()))
+    same_term = Window.partitionBy(*key, "term")
+    in_order = Window.partitionBy(*key, "rank").orderBy("pos")
+    words = (
+        tokens.repartition(*key)
+        .select(*key, "rank", F.posexplode("tokens").alias("pos", "term"))
+        .withColumn("count", F.count(F.lit(1)).over(same_term))
+        .where(F.col("count") >= setting(params, "min_count"))
+    )
+    later = [
+        F.struct(F.lead("term", g).over(in_order).alias("context"), (setting(params, "window") + 1 - g).alias("n"))
+        for g in range(1, widest + 1)
+    ]
+    near = (
+        words.select(*key, "term", F.array(*later).alias("later"))
+        .select(*key, "term", F.explode("later").alias("next"))
+        .where(F.col("next.context").isNotNull() & (F.col("next.n") > 0))
+    )
+    both = F.array(
+        F.struct("term", F.col("next.context").alias("context")),
+        F.struct(F.col("next.context").alias("term"), F.col("term").alias("context")),
+    )
     return (
-        _spread(tokens, key)
-        .groupBy(*key)
-        .cogroup(terms.groupBy(*key))
-        .applyInPandas(nearest, schema)
+        near.select(*key, F.explode(both).alias("pair"), F.col("next.n").alias("n"))
+        .groupBy(*key, "pair.term", "pair.context")
+        .agg(F.sum("n").alias("n"))
     )
 
 
-def balanced_terms(
-    similar: DataFrame, top_n: int | Column = 7, key: Sequence[str] = QUERY
+def local_vectors(
+    tokens: DataFrame, params: Settings = W2vParams(), key: Sequence[str] = QUERY
 ) -> DataFrame:
-    """Round-robin choice over the query's terms: best rank first, then score, then term.
+    """Vectors of each query's terms, one row per component: (key, term, context, weight).
 
-    A term found from several query terms keeps its best rank and best score.
+    weight = ln(n * S / (n_term * n_context ** 0.75)) - ln(negative), positive ones only, S being the
+    sum of the smoothed context counts. A vector keeps its ``vector_size`` largest components, the first
+    contexts among equals. A term that meets nothing more often than chance has no rows.
     """
-    order = Window.partitionBy(*key).orderBy("near_rank", F.desc("score"), "term")
+    of_term, of_context = Window.partitionBy(*key, "term"), Window.partitionBy(*key, "context")
+    strongest = Window.partitionBy(*key, "term").orderBy(F.desc("weight"), "context")
+    smooth = F.pow(F.col("context_n"), F.lit(SMOOTHING))
+    information = F.log(F.col("n") * F.col("all_smooth") / (F.col("term_n") * smooth))
+    shift = F.log(F.greatest(setting(params, "negative"), F.lit(1)))
     return (
-        similar.groupBy(*key, "term")
-        .agg(F.max("score").alias("score"), F.min("rank").alias("near_rank"))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top_n)
-        .select(*key, "term", "score", "rank")
+        cooccurrences(tokens, params, key)
+        .withColumn("term_n", F.sum("n").over(of_term))
+        .withColumn("context_n", F.sum("n").over(of_context))
+        .withColumn("share", smooth / F.count(F.lit(1)).over(of_context))
+        .withColumn("all_smooth", F.sum("share").over(Window.partitionBy(*key)))
+        .withColumn("weight", F.round(information - shift, WEIGHT_DIGITS))
+        .where(F.col("weight") > 0)
+        .withColumn("place", F.row_number().over(strongest))
+        .where(F.col("place") <= setting(params, "vector_size"))
+        .select(*key, "term", "context", "weight")
     )
 
 
-def similar_vectors(
-    vectors: DataFrame, probes: DataFrame, top_n: int = 10, key: Sequence[str] = QUERY
+def similar_terms(
+    vectors: DataFrame, query_terms: DataFrame, top_n: int | Column = 7, key: Sequence[str] = QUERY
 ) -> DataFrame:
-    """Nearest vectors of each probe under the same key: (key, probe_id, id, score, rank).
+    """Nearest new terms of each query term by cosine: (key, q_term, term, score, rank).
 
-    ``vectors`` and ``probes`` hold (key, id, vector). Norms are taken once per vector, and
-    the best ``top_n`` are kept in each task before they meet.
+    ``vectors`` comes from ``local_vectors``; terms meet on a common context only. The query's own
+    terms are not new.
     """
-    left = vectors.select(*key, "id", "vector", norm(F.col("vector")).alias("length"))
-    right = probes.select(
-        *key,
-        F.col("id").alias("probe_id"),
-        F.col("vector").alias("probe"),
-        norm(F.col("vector")).alias("probe_length"),
+    own_key = [*key, "term"]
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*own_key)))
+    unit = vectors.select(*own_key, "context", (F.col("weight") / length).alias("unit"))
+    asked = query_terms.select(*own_key).distinct().withColumn("asked", F.lit(True))
+    marked = unit.join(asked, own_key, "left")
+    probes = marked.where("asked").select(
+        *key, F.col("term").alias("q_term"), "context", F.col("unit").alias("probe")
     )
-    cosine = dot(F.col("vector"), F.col("probe")) / (F.col("length") * F.col("probe_length"))
-    order = Window.partitionBy(*key, "probe_id").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy(*key, "q_term").orderBy(F.desc("score"), "term")
     return (
-        left.join(right, [*key])
-        .where(F.col("id") != F.col("probe_id"))
-        .select(*key, "probe_id", "id", F.round(cosine, SIMILARITY_DIGITS).alias("score"))
+        marked.where("asked is null").join(probes, [*key, "context"])
+        .groupBy(*key, "q_term", "term")
+        .agg(F.round(F.sum(F.col("unit") * F.col("probe")), SIMILARITY_DIGITS).alias("score"))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= top_n)
+        .select(*key, "q_term", "term", "score", "rank")
     )
 
 
-def train_skip_gram(
-    sentences: list[np.ndarray], params: W2vParams
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Skip-gram with negative sampling; returns terms, their counts, and one vector per term.
-
-    Updates run in shuffled batches from a fixed seed, so equal input gives equal vectors.
-    """
-    rng = np.random.default_rng(params.seed)
-    flat = np.concatenate(sentences) if sentences else np.array([], dtype=object)
-    terms, codes, counts = np.unique(flat.astype(str), return_inverse=True, return_counts=True)
-    sentence = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
-    keep = counts >= params.min_count
-    new_code = np.cumsum(keep) - 1
-    kept = keep[codes]
-    codes, sentence = new_code[codes[kept]], sentence[kept]
-    terms, counts = terms[keep], counts[keep]
-    size = params.vector_size
-    inner = ((rng.random((len(terms), size)) - 0.5) / size).astype(np.float32)
-    outer = np.zeros_like(inner)
-    if len(terms) < 2:
-        return terms, counts, inner
-
-    noise = np.cumsum(counts**0.75)
-    stay = np.ones(len(terms))
-    if params.sample > 0:
-        budget = params.sample * counts.sum()
-        stay = np.minimum(1.0, (np.sqrt(counts / budget) + 1) * budget / counts)
-    batch_size = _batch_size(counts * stay, params.negative)
-    for epoch in range(params.epochs):
-        chosen = rng.random(len(codes)) < stay[codes]
-        centre, context = _pairs(codes[chosen], sentence[chosen], params.window, rng)
-        order = rng.permutation(len(centre))
-        for start in range(0, len(order), batch_size):
-            done = (epoch + start / len(order)) / params.epochs
-            rate = np.float32(FIRST_RATE - (FIRST_RATE - LAST_RATE) * done)
-            batch = order[start : start + batch_size]
-            draws = rng.random(max(1, len(batch) // NOISE_SHARE) * params.negative) * noise[-1]
-            shared = np.searchsorted(noise, draws, side="right")
-            _update(inner, outer, centre[batch], context[batch], shared, params.negative, rate)
-    return terms, counts, inner
-
-
-def _batch_size(counts: np.ndarray, negative: int) -> int:
-    """Pairs per batch, so few that the most frequent word takes at most ``BATCH_STEPS`` steps.
+def balanced_terms(
+    similar: DataFrame, top_n: int | Column = 7, key: Sequence[str] = QUERY
+) -> DataFrame:
+    """Round-robin choice over the query's terms: best rank first, then score, then term.
 
-    The steps of a batch start from the same vectors; too many on one word would overshoot.
+    A term found from several query terms keeps its best rank and best score.
     """
-    share = counts.max() / counts.sum()
-    return int(np.clip(BATCH_STEPS / (share * max(1, negative)), 1, BATCH))
-
-
-def _update(
-    inner: np.ndarray,
-    outer: np.ndarray,
-    centre: np.ndarray,
-    context: np.ndarray,
-    shared: np.ndarray,
-    negative: int,
-    rate: np.float32,
-) -> None:
-    """One gradient step. The batch shares its noise words, each weighted so that a pair still
-    meets ``negative`` of them; its own context is not noise to it."""
-    hidden, true, false = inner[centre], outer[context], outer[shared]
-    pull = rate * (1 - _sigmoid(np.einsum("bd,bd->b", hidden, true)))[:, None]
-    push = -(rate * np.float32(negative / len(shared))) * _sigmoid(hidden @ false.T)
-    push[context[:, None] == shared] = 0
-    _add_rows(outer, context, pull * hidden)
-    _add_rows(outer, shared, push.T @ hidden)
-    _add_rows(inner, centre, pull * true + push @ false)
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _add_rows(matrix: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Add each value row to its matrix row, repeated rows included."""
-    width = matrix.shape[1]
-    cells = (rows[:, None] * width + np.arange(width)).ravel()
-    np.add.at(matrix.reshape(-1), cells, np.ravel(values))
-
-
-def _pairs(
-    codes: np.ndarray, sentence: np.ndarray, window: int, rng: np.random.Generator
-) -> tuple[np.ndarray, np.ndarray]:
-    """Centre and context of every position, each with its own window of 1 to ``window`` words."""
-    reach = rng.integers(1, window + 1, len(codes))
-    centres, contexts = [], []
-    for gap in range(1, window + 1):
-        near = np.flatnonzero(sentence[gap:] == sentence[:-gap])
-        left, right = near, near + gap
-        for here, there in ((left, right), (right, left)):
-            inside = reach[here] >= gap
-            centres.append(codes[here[inside]])
-            contexts.append(codes[there[inside]])
-    return np.concatenate(centres), np.concatenate(contexts)
-
-
-def _nearest_terms(
-    terms: np.ndarray, vectors: np.ndarray, query: np.ndarray, top_n: int
-) -> pd.DataFrame:
-    lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-    unit = vectors / np.where(lengths > 0, lengths, 1)
-    known = np.isin(terms, query)
-    fresh_terms, fresh = terms[~known], unit[~known]
-    rows = []
-    for q_term, vector in zip(terms[known], unit[known]):
-        score = np.round((fresh @ vector).astype(float), SIMILARITY_DIGITS)
-        best = np.lexsort((fresh_terms, -score))[:top_n]
-        rows += [(q_term, fresh_terms[i], score[i], r) for r, i in enumerate(best, start=1)]
-    return pd.DataFrame(rows, columns=["q_term", "term", "score", "rank"])
-
-
-def _spread(df: DataFrame, key: list[str]) -> DataFrame:
-    """Rows by key over all cores: training is long for its few bytes, and Spark would merge
-    such small partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(TASKS_PER_CORE * cores, *key)
-
-
-def _sentences(group: pd.DataFrame) -> list[np.ndarray]:
-    return [np.asarray(t, dtype=object) for t in group.sort_values("rank")["tokens"]]
-
-
-def _fields(df: DataFrame, names: list[str]) -> str:
-    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+    order = Window.partitionBy(*key).orderBy("near_rank", F.desc("score"), "term")
+    return (
+        similar.groupBy(*key, "term")
+        .agg(F.max("score").alias("score"), F.min("rank").alias("near_rank"))
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= top_n)
+        .select(*key, "term", "score", "rank")
+    )

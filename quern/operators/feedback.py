@@ -14,15 +14,20 @@ from pyspark.sql import functions as F
 
 from quern.functions.scoring import smoothed_idf
 from quern.operators.retrieval import QUERY
+from quern.sources.term_index import posting_rows
 
 SIMILARITY_DIGITS = 9
 
 
-def hit_terms(hits: DataFrame, postings: DataFrame, key: Sequence[str] = QUERY) -> DataFrame:
-    """Postings of the hits: (key, doc_id, n_hits, term, tf, dl)."""
+def hit_terms(hits: DataFrame, documents: DataFrame, key: Sequence[str] = QUERY) -> DataFrame:
+    """Postings of the hits: (key, doc_id, n_hits, term, tf, dl).
+
+    ``documents`` is the forward index: one row is fetched for each hit, and the postings are not read.
+    """
     per_query = Window.partitionBy(*key)
     counted = hits.select(*key, "doc_id", F.count(F.lit(1)).over(per_query).alias("n_hits"))
-    return postings.join(counted, "doc_id").select(*key, "doc_id", "n_hits", "term", "tf", "dl")
+    fetched = documents.join(counted, "doc_id").select(*key, "doc_id", "n_hits", "dl", "terms")
+    return posting_rows(fetched).select(*key, "doc_id", "n_hits", "term", "tf", "dl")
 
 
 def tfidf_l2(terms: DataFrame, key: Sequence[str] = QUERY) -> DataFrame:

@@ -51,15 +51,16 @@ class KnnParams:
 
 @dataclass(frozen=True)
 class W2vParams:
-    """Expansion from word vectors trained on one query's feedback documents."""
+    """Expansion from word vectors of one query's feedback documents.
+
+    ``vector_size`` is the number of components a vector keeps, ``negative`` the shift of the
+    association weights, as negative samples would cause it.
+    """
 
     first_ret: int = 10
     vector_size: int = 75
     window: int = 3
     min_count: int = 1
     negative: int = 5
-    epochs: int = 10
-    sample: float = 1e-3
     top_n: int = 7
     lam: float = 0.7
-    seed: int = 1

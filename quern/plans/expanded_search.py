@@ -16,7 +16,7 @@ from quern.operators.clusters import (
     term_scores,
     top_terms,
 )
-from quern.operators.embeddings import balanced_terms, hit_tokens, local_similar_terms
+from quern.operators.embeddings import balanced_terms, hit_tokens, local_vectors, similar_terms
 from quern.operators.feedback import dominant_hits, hit_terms, nearest_hits, tfidf_l2
 from quern.operators.retrieval import QUERY, query_terms, search, weighted_clauses
 from quern.params import KnnParams, W2vParams
@@ -82,7 +82,7 @@ def knn_search(
     """Expansion by nearest-neighbour clusters; queries without a dominant hit run unexpanded."""
     clauses = written(query_terms(queries, tokenizer=tokenizer), "clauses")
     hits = feedback(index, clauses, params.first_ret)
-    terms = written(hit_terms(hits, index.postings), "hit-terms")
+    terms = written(hit_terms(hits, index.documents), "hit-terms")
     members = knn_members(hits, terms, params)
     new = knn_expansion(clauses, members, terms, index, params.top_n, params.df_scope)
     new = written(new, "expansion")
@@ -98,12 +98,12 @@ def w2v_expansion(
     tokenizer: Tokenizer = tokenize,
     choose: Callable[[DataFrame, int, Sequence[str]], DataFrame] = balanced_terms,
 ) -> DataFrame:
-    """Terms nearest to the query's terms in its own model: (key, term, score, rank).
+    """Terms nearest to the query's terms by its own vectors: (key, term, score, rank).
 
     ``choose`` picks ``top_n`` of them from (key, q_term, term, score, rank).
     """
-    tokens = hit_tokens(hits, documents, key, tokenizer)
-    return choose(local_similar_terms(tokens, clauses, params, key), params.top_n, key)
+    vectors = written(local_vectors(hit_tokens(hits, documents, key, tokenizer), params, key), "vectors")
+    return choose(similar_terms(vectors, clauses, params.top_n, key), params.top_n, key)
 
 
 def w2v_search(

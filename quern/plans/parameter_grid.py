@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions.scoring import to_digits
 from quern.functions.text import Tokenizer, tokenize
 from quern.operators.clusters import cluster_members
-from quern.operators.embeddings import balanced_terms, hit_tokens, local_similar_terms
+from quern.operators.embeddings import balanced_terms, hit_tokens, local_vectors, similar_terms
 from quern.operators.evaluation import METRIC_DIGITS, long_metrics, query_metrics
 from quern.operators.feedback import (
     dominant_hits,
@@ -53,7 +53,7 @@ def knn_grid_runs(
         deepest.withColumn("first_ret", F.explode(F.array(*[F.lit(d) for d in depths])))
         .where(F.col("rank") <= F.col("first_ret"))
     )
-    terms = written(hit_terms(hits, index.postings, DEPTH), "hit-terms")
+    terms = written(hit_terms(hits, index.documents, DEPTH), "hit-terms")
     lists = neighbour_lists(hits, tfidf_l2(terms, DEPTH), DEPTH)
     neighbours = written(
         first_neighbours(
@@ -91,7 +91,7 @@ def w2v_grid_runs(
 ) -> DataFrame:
     """Runs of all word-vector settings, as ``knn_grid_runs`` has them.
 
-    Every setting trains its own model per query, in its own task.
+    One pass takes the vectors of every query under all settings.
     """
     clauses = written(query_terms(queries, tokenizer=tokenizer), "clauses")
     ids = F.array(*[F.lit(i) for i in range(1, len(grid) + 1)])
@@ -101,13 +101,11 @@ def w2v_grid_runs(
         .where(F.col("rank") <= _setting(grid, "first_ret"))
     )
     config_clauses = clauses.withColumn("config_id", F.explode(ids))
-    similar = local_similar_terms(
-        hit_tokens(hits, documents, CONFIG, tokenizer),
-        config_clauses,
-        dict(enumerate(grid, start=1)),
-        CONFIG,
-    )
-    new = written(balanced_terms(similar, _setting(grid, "top_n"), CONFIG), "expansion")
+    tokens = hit_tokens(hits, documents, CONFIG, tokenizer)
+    vectors = written(local_vectors(tokens, dict(enumerate(grid, start=1)), CONFIG), "vectors")
+    top_n = _setting(grid, "top_n")
+    similar = similar_terms(vectors, config_clauses, top_n, CONFIG)
+    new = written(balanced_terms(similar, top_n, CONFIG), "expansion")
     lam = _setting(grid, "lam")
     original = config_clauses.select(*CONFIG, "term", (F.col("boost") * lam).alias("boost"))
     added = new.select(*CONFIG, "term", (F.col("score") * (1 - lam)).alias("boost"))

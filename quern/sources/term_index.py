@@ -1,4 +1,4 @@
-"""Postings, term statistics and collection size of a table of documents."""
+"""Postings, forward index, term statistics and collection size of a table of documents."""
 
 from __future__ import annotations
 
@@ -6,30 +6,43 @@ import math
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.functions.scoring import bm25_saturation
 from quern.functions.text import Tokenizer, tokenize
+from quern.params import Bm25
 from quern.storage import fresh_folder
 
 BYTES_PER_BUCKET = 256 << 20
+#: Postings of a term that its statistics carry along, those of the largest saturation.
+CHAMPIONS = 16
 
 
 @dataclass(frozen=True)
 class TermIndex:
-    """Written index: one shard of whole documents per bucket of ``postings``.
+    """Written index: one shard of whole documents per bucket.
 
     ``postings`` (doc_id, term, tf, dl) is bucketed by ``doc_id``, so scores of a document add
-    up inside one task; ``terms`` holds (term, df, cf).
+    up inside one task. ``documents`` (doc_id, dl, terms array of (term, tf)) is the forward index, in
+    the same buckets and in order of doc_id. ``terms`` holds (term, df, cf, profile, champions): for each class of
+    document lengths the shortest length and the largest tf, which bound what the term can add to a
+    score there; and the term's best few postings.
     """
 
     postings: DataFrame
+    documents: DataFrame
     terms: DataFrame
     n_docs: int
     avg_length: float
     folder: str
 
 
+def length_class(dl: Column) -> Column:
+    """Two classes for each doubling of a document's length."""
+    return F.floor(2 * F.log2(dl)).cast("int")
+
+
 def postings(
     documents: DataFrame, tokenizer: Tokenizer = tokenize, partitions: int | None = None
 ) -> DataFrame:
@@ -69,6 +82,43 @@ def length_statistics(documents: DataFrame, tokenizer: Tokenizer = tokenize) ->
     )
 
 
+def forward_rows(postings: DataFrame) -> DataFrame:
+    """(doc_id, dl, terms): one row per document, its terms in order."""
+    entries = F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms")
+    return postings.groupBy("doc_id", "dl").agg(entries)
+
+
+def posting_rows(documents: DataFrame) -> DataFrame:
+    """The postings of rows of a forward index, with any further columns."""
+    others = [c for c in documents.columns if c not in ("terms", "dl")]
+    return documents.select(*others, "dl", F.explode("terms").alias("entry")).select(*others, "entry.term", "entry.tf", "dl")
+
+
+def term_table(postings: DataFrame, avg_length: float) -> DataFrame:
+    """(term, df, cf, profile, champions) of all terms; see ``TermIndex``.
+
+    A profile has at most some 60 entries and there are at most ``CHAMPIONS`` champions, so no list grows
+    with the collection. The best postings are cut down in every task before they meet.
+    """
+    by_class = postings.groupBy("term", length_class(F.col("dl")).alias("length_class")).agg(
+        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.min("dl").alias("dl"), F.max("tf").alias("tf")
+    )
+    counts = by_class.groupBy("term").agg(
+        F.sum("df").alias("df"), F.sum("cf").alias("cf"),
+        F.sort_array(F.collect_list(F.struct("length_class", "dl", "tf"))).alias("profile"),
+    )
+    impact = bm25_saturation(F.col("tf"), F.col("dl"), F.lit(avg_length or 1.0), Bm25())
+    best = Window.partitionBy("term").orderBy(F.desc("impact"), "doc_id")
+    champions = (
+        postings.select("term", "doc_id", "tf", "dl", impact.alias("impact"))
+        .withColumn("place", F.row_number().over(best))
+        .where(F.col("place") <= CHAMPIONS)
+        .groupBy("term")
+        .agg(F.collect_list(F.struct("doc_id", "tf", "dl")).alias("champions"))
+    )
+    return counts.join(champions, "term")
+
+
 def build_index(
     documents: DataFrame,
     folder: str | None = None,
@@ -80,42 +130,32 @@ def build_index(
     spark = documents.sparkSession
     folder = folder or fresh_folder(spark, "index")
     buckets = buckets or bucket_count(documents, bytes_per_bucket)
-    staging = f"quern_postings_{uuid.uuid4().hex}"
-    (
-        postings(documents, tokenizer, buckets)
-        .write.bucketBy(buckets, "doc_id")
-        .sortBy("term", "doc_id")
-        .option("path", f"{folder}/postings")
-        .saveAsTable(staging)
-    )
-    spark.sql(f"DROP TABLE {staging}")  # external: only the name goes, the files stay
-    written_postings = spark.read.parquet(f"{folder}/postings")
-    term_statistics(written_postings).write.parquet(f"{folder}/terms")
-    terms = spark.read.parquet(f"{folder}/terms")
-    tokens = terms.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("n_tokens"))
-    counted = documents.agg(F.count(F.lit(1)).alias("n_docs"))
-    (
-        counted.withColumn("n_tokens", tokens.scalar())
-        .withColumn("buckets", F.lit(buckets))
-        .write.parquet(f"{folder}/collection")
+    n_docs = documents.agg(F.count(F.lit(1))).first()[0]
+    return write_index(postings(documents, tokenizer, buckets), n_docs, folder, buckets)
+
+
+def write_index(postings: DataFrame, n_docs: int, folder: str, buckets: int) -> TermIndex:
+    """Write the index of given postings (doc_id, term, tf, dl) of ``n_docs`` documents."""
+    spark = postings.sparkSession
+    _write_bucketed(postings, f"{folder}/postings", buckets, ["term", "doc_id"])
+    held = _bucketed(spark, f"{folder}/postings", buckets, "term, doc_id")
+    _write_bucketed(forward_rows(held), f"{folder}/documents", buckets, ["doc_id"])
+    n_tokens = held.agg(F.sum("tf")).first()[0] or 0
+    term_table(held, n_tokens / n_docs if n_docs else 0.0).write.parquet(f"{folder}/terms")
+    collection = spark.range(1).select(
+        F.lit(n_docs).cast("long").alias("n_docs"), F.lit(n_tokens).cast("long").alias("n_tokens"), F.lit(buckets).alias("buckets")
     )
+    collection.write.parquet(f"{folder}/collection")
     return open_index(spark, folder)
 
 
 def open_index(spark: SparkSession, folder: str) -> TermIndex:
-    """Open a written index; the postings table is declared with its buckets."""
+    """Open a written index; its tables are declared with their buckets."""
     collection = spark.read.parquet(f"{folder}/collection").first()
-    table = f"quern_postings_{uuid.uuid4().hex}"
-    stored = spark.read.parquet(f"{folder}/postings").schema
-    columns = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in stored)
-    spark.sql(
-        f"CREATE TABLE {table} ({columns}) USING parquet "
-        f"CLUSTERED BY (doc_id) SORTED BY (term, doc_id) INTO {collection['buckets']} BUCKETS "
-        f"LOCATION '{folder}/postings'"
-    )
-    n_docs, n_tokens = collection["n_docs"], collection["n_tokens"]
+    n_docs, n_tokens, buckets = collection["n_docs"], collection["n_tokens"], collection["buckets"]
     return TermIndex(
-        postings=spark.table(table),
+        postings=_bucketed(spark, f"{folder}/postings", buckets, "term, doc_id"),
+        documents=_bucketed(spark, f"{folder}/documents", buckets, "doc_id"),
         terms=spark.read.parquet(f"{folder}/terms"),
         n_docs=n_docs,
         avg_length=n_tokens / n_docs if n_docs else 0.0,
@@ -123,6 +163,22 @@ def open_index(spark: SparkSession, folder: str) -> TermIndex:
     )
 
 
+def _write_bucketed(df: DataFrame, path: str, buckets: int, order: list[str]) -> None:
+    staging = f"quern_staging_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, "doc_id").sortBy(*order).option("path", path).saveAsTable(staging)
+    df.sparkSession.sql(f"DROP TABLE {staging}")  # external: only the name goes, the files stay
+
+
+def _bucketed(spark: SparkSession, path: str, buckets: int, order: str) -> DataFrame:
+    table = f"quern_index_{uuid.uuid4().hex}"
+    columns = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in spark.read.parquet(path).schema)
+    spark.sql(
+        f"CREATE TABLE {table} ({columns}) USING parquet "
+        f"CLUSTERED BY (doc_id) SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    return spark.table(table)
+
+
 def bucket_count(documents: DataFrame, bytes_per_bucket: int = BYTES_PER_BUCKET) -> int:
     """Buckets for the stored size of the files that ``documents`` comes from, at least one per core.
 

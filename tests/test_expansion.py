@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,7 +45,7 @@ def hits(queries, group_index):
 
 @pytest.fixture(scope="module")
 def weights(hits, group_index):
-    return feedback.tfidf_l2(feedback.hit_terms(hits, group_index.postings)).cache()
+    return feedback.tfidf_l2(feedback.hit_terms(hits, group_index.documents)).cache()
 
 
 def lists(df, query_id):
@@ -116,10 +117,10 @@ def test_cluster_text_follows_neighbour_order(hits, weights, collection):
 def test_cluster_counts_equal_those_of_the_text(hits, weights, group_index):
     near = feedback.nearest_hits(hits, weights, 3)
     members = clusters.cluster_members(feedback.dominant_hits(near, 2), near)
-    terms = clusters.cluster_terms(members, feedback.hit_terms(hits, group_index.postings))
+    terms = clusters.cluster_terms(members, feedback.hit_terms(hits, group_index.documents))
     row = terms.where("query_id = 1 and cluster_id = 5 and term = 'whale'").first()
     assert (row.tf, row.cluster_df) == (3, 3)
-    lengths = clusters.cluster_lengths(members, feedback.hit_terms(hits, group_index.postings))
+    lengths = clusters.cluster_lengths(members, feedback.hit_terms(hits, group_index.documents))
     row = lengths.where("query_id = 1 and cluster_id = 5").first()
     assert (row.dl, row.n_clusters, row.avg_length) == (9, 6, 9.0)
 
@@ -127,7 +128,7 @@ def test_cluster_counts_equal_those_of_the_text(hits, weights, group_index):
 def test_best_cluster_has_the_terms_it_has_among_all(spark, hits, weights, group_index, rows):
     near = feedback.nearest_hits(hits, weights, 4)
     members = clusters.cluster_members(feedback.dominant_hits(near, 1), near)
-    terms = feedback.hit_terms(hits, group_index.postings)
+    terms = feedback.hit_terms(hits, group_index.documents)
     best = spark.createDataFrame([(1, 5), (2, 8)], "query_id long, cluster_id long")
     found = clusters.best_cluster_terms(clusters.clusters_of_hits(members, best), terms)
     everything = clusters.cluster_terms(members, terms).join(best, ["query_id", "cluster_id"])
@@ -178,8 +179,9 @@ def test_grid_equals_single_searches(group_index, queries, rows):
 
 def test_word_vector_grid_equals_single_searches(group_index, collection, queries, rows):
     grid = [
-        W2vParams(vector_size=8, epochs=3, top_n=2, first_ret=4, lam=0.6),
-        W2vParams(vector_size=12, epochs=2, top_n=3, window=2),
+        W2vParams(vector_size=3, top_n=2, first_ret=4, lam=0.6, negative=1),
+        W2vParams(vector_size=12, top_n=3, window=2, negative=2),
+        W2vParams(window=1, min_count=2, negative=1),
     ]
     runs = parameter_grid.w2v_grid_runs(group_index, collection, queries, grid).cache()
     for i, params in enumerate(grid, start=1):
@@ -203,66 +205,104 @@ def test_unknown_scope_is_refused():
 
 # Word vectors
 
-SMALL = W2vParams(vector_size=16, window=2, min_count=1, epochs=30, sample=0, top_n=3)
+SMALL = W2vParams(vector_size=16, window=2, min_count=1, negative=1, top_n=3)
+
+
+def plain_vectors(texts, params):
+    """Components of each term by plain counting over token lists."""
+    total = Counter(t for text in texts for t in text)
+    counts = Counter()
+    for text in texts:
+        kept = [t for t in text if total[t] >= params.min_count]
+        for i, term in enumerate(kept):
+            for gap in range(1, params.window + 1):
+                for j in (i - gap, i + gap):
+                    if 0 <= j < len(kept):
+                        counts[term, kept[j]] += params.window + 1 - gap
+    of_term = Counter()
+    for (term, _), n in counts.items():
+        of_term[term] += n
+    smooth = sum(n**0.75 for n in of_term.values())
+    found = {}
+    for (term, context), n in counts.items():
+        weight = round(math.log(n * smooth / (of_term[term] * of_term[context] ** 0.75)) - math.log(max(params.negative, 1)), 6)
+        if weight > 0:
+            found.setdefault(term, {})[context] = weight
+    return {t: dict(sorted(v.items(), key=lambda x: (-x[1], x[0]))[: params.vector_size]) for t, v in found.items()}
 
 
-def sentences():
+def token_lists(seed, n=60):
     """Animals share their contexts, metals share others."""
-    rng = np.random.default_rng(0)
+    rng = np.random.default_rng(seed)
     animals, metals = ["cat", "dog", "fox"], ["iron", "zinc", "lead"]
-    made = []
-    for _ in range(300):
-        made.append(["the", rng.choice(animals), "eats", "food", "daily"])
-        made.append(["melt", rng.choice(metals), "in", "hot", "ovens"])
-    return [np.array(s, dtype=object) for s in made]
-
-
-def test_words_in_like_contexts_come_close():
-    params = W2vParams(vector_size=20, window=2, epochs=60, sample=0, negative=5)
-    terms, counts, vectors = embeddings.train_skip_gram(sentences(), params)
-    assert counts.sum() == 3000
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    at = {t: unit[i] for i, t in enumerate(terms)}
-    assert at["cat"] @ at["dog"] > at["cat"] @ at["iron"] + 0.2
-    assert at["zinc"] @ at["lead"] > at["zinc"] @ at["fox"] + 0.2
+    return [["the", str(rng.choice(animals)), "eats", "food", "daily"] if k % 2 else ["melt", str(rng.choice(metals)), "in", "hot", "ovens"] for k in range(n)]
 
 
-def test_training_repeats_and_drops_rare_terms():
-    params = W2vParams(vector_size=8, min_count=250, epochs=2)
-    first, second = (embeddings.train_skip_gram(sentences(), params) for _ in range(2))
-    assert np.array_equal(first[2], second[2])
-    assert set(first[0]) == {"the", "eats", "food", "daily", "melt", "in", "hot", "ovens"}
+def frame_of(spark, texts_of):
+    rows = [(q, k, t) for q, texts in texts_of.items() for k, t in enumerate(texts, 1)]
+    return spark.createDataFrame(rows, "query_id long, rank int, tokens array<string>").repartition(3)
 
 
-@pytest.mark.parametrize("made", [[], [np.array([], dtype=object)], [np.array(["one"], dtype=object)]])
-def test_too_little_text_still_trains(made):
-    terms, counts, vectors = embeddings.train_skip_gram(made, SMALL)
-    assert len(terms) == len(counts) == len(vectors) <= 1
+@pytest.mark.parametrize("params", [SMALL, W2vParams(window=3, min_count=3, negative=2, vector_size=2), W2vParams(window=1, negative=0)])
+def test_vectors_equal_plain_counting(spark, params):
+    texts_of = {1: token_lists(1), 2: [["a", "b", "a", "b", "c"], [], ["c"], ["a", "c", "d", "e"]], 3: [["one"]]}
+    found = {}
+    for r in embeddings.local_vectors(frame_of(spark, texts_of), params).collect():
+        found.setdefault(r.query_id, {}).setdefault(r.term, {})[r.context] = r.weight
+    for query, texts in texts_of.items():
+        wanted = plain_vectors(texts, params)
+        assert found.get(query, {}).keys() == wanted.keys()
+        for term, vector in wanted.items():
+            assert found[query][term] == pytest.approx(vector, abs=2e-6)
+
+
+def test_words_in_like_contexts_come_close(spark):
+    tokens = frame_of(spark, {1: token_lists(2, 300)})
+    probes = spark.createDataFrame([(1, "cat"), (1, "zinc"), (1, "xyz")], "query_id long, term string")
+    near = embeddings.similar_terms(embeddings.local_vectors(tokens, SMALL), probes, 2).collect()
+    assert {(r.q_term, r.term) for r in near} == {("cat", "dog"), ("cat", "fox"), ("zinc", "iron"), ("zinc", "lead")}
+    assert min(r.score for r in near) > 0.8
+
+
+def test_cosines_equal_plain_ones(spark):
+    texts = token_lists(3)
+    vectors = plain_vectors(texts, SMALL)
+    probes = spark.createDataFrame([(1, "cat"), (1, "dog"), (1, "melt"), (2, "cat")], "query_id long, term string")
+    found = embeddings.similar_terms(embeddings.local_vectors(frame_of(spark, {1: texts}), SMALL), probes, 50).collect()
+
+    def cosine(a, b):
+        length = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+        return sum(x * b.get(c, 0) for c, x in a.items()) / length
+
+    wanted = {
+        (q, t): cosine(vectors[q], v) for q in ("cat", "dog", "melt") for t, v in vectors.items()
+        if t not in ("cat", "dog", "melt") and set(v) & set(vectors[q])
+    }
+    assert {(r.q_term, r.term): r.score for r in found} == pytest.approx(wanted, abs=2e-6)
 
 
 def test_each_query_has_its_own_vocabulary(hits, collection, group_index, rows):
     tokens = embeddings.hit_tokens(hits, collection)
     vectors = embeddings.local_vectors(tokens, SMALL)
-    counts = embeddings.vocabulary(feedback.hit_terms(hits, group_index.postings), 1)
-    assert rows(vectors.select("query_id", "term", "n")) == rows(counts)
-    assert {len(r.vector) for r in vectors.collect()} == {16}
+    counts = embeddings.vocabulary(feedback.hit_terms(hits, group_index.documents), 1)
+    assert rows(vectors.select("query_id", "term").distinct().exceptAll(counts.select("query_id", "term"))) == []
     assert rows(vectors) == rows(vectors)
 
 
 def test_nearest_terms_are_new_and_ranked(hits, collection, queries):
-    tokens = embeddings.hit_tokens(hits, collection)
-    near = embeddings.local_similar_terms(tokens, query_terms(queries), SMALL).toPandas()
-    assert set(near.q_term) == {"sun", "fish", "iron"}
-    assert not set(near.term) & {"sun", "fish"}
+    vectors = embeddings.local_vectors(embeddings.hit_tokens(hits, collection), SMALL)
+    near = embeddings.similar_terms(vectors, query_terms(queries), 3).toPandas()
+    assert len(near) and set(near.q_term) <= {"sun", "fish", "iron"}
+    assert not set(near.term) & {"sun", "fish", "iron"}
     for _, part in near.groupby(["query_id", "q_term"]):
         assert list(part.sort_values("rank").score) == sorted(part.score, reverse=True)
-        assert sorted(part["rank"]) == [1, 2, 3]
+        assert sorted(part["rank"]) == list(range(1, len(part) + 1)) and len(part) <= 3
 
 
 def test_nearest_terms_without_known_query_term(hits, collection, spark):
-    tokens = embeddings.hit_tokens(hits, collection)
+    vectors = embeddings.local_vectors(embeddings.hit_tokens(hits, collection), SMALL)
     unknown = spark.createDataFrame([(1, "xyz"), (9, "sun")], "query_id long, term string")
-    assert embeddings.local_similar_terms(tokens, unknown, SMALL).count() == 0
+    assert embeddings.similar_terms(vectors, unknown, 3).count() == 0
 
 
 def test_balanced_terms_go_round(spark, rows):
@@ -277,26 +317,10 @@ def test_balanced_terms_go_round(spark, rows):
     assert found == [(1, "a", 0.9, 1), (1, "b", 0.8, 3), (1, "d", 0.5, 2)]
 
 
-def test_similar_vectors_equal_numpy(spark):
-    rng = np.random.default_rng(5)
-    made = rng.normal(size=(30, 6)).astype(np.float32)
-    vectors = spark.createDataFrame(
-        [(i % 2, i, made[i].tolist()) for i in range(30)], "query_id int, id int, vector array<float>"
-    )
-    found = embeddings.similar_vectors(vectors, vectors.where("id < 2"), 4).toPandas()
-    unit = (made / np.linalg.norm(made, axis=1, keepdims=True)).astype(float)
-    for probe in (0, 1):
-        others = [i for i in range(30) if i % 2 == probe and i != probe]
-        best = sorted(others, key=lambda i: -unit[i] @ unit[probe])[:4]
-        part = found[found.probe_id == probe].sort_values("rank")
-        assert list(part.id) == best
-        assert list(part.score) == pytest.approx([unit[i] @ unit[probe] for i in best], abs=2e-6)
-
-
 def test_word_vector_search_repeats_and_keeps_plain_hits_at_full_weight(group_index, collection, queries, rows):
     run = expanded_search.w2v_search(group_index, collection, queries, SMALL)
     assert rows(run) == rows(expanded_search.w2v_search(group_index, collection, queries, SMALL))
-    full = W2vParams(vector_size=16, min_count=1, epochs=2, lam=1.0)
+    full = W2vParams(vector_size=16, min_count=1, lam=1.0)
     plain = bm25_search(group_index, queries)
     found = expanded_search.w2v_search(group_index, collection, queries, full)
     assert rows(found.where("score > 0")) == rows(plain)
