@@ -11,11 +11,11 @@ import oracles
 from quern import KnnParams, W2vParams
 from quern.functions.scoring import collection_weight
 from quern.functions.text import arrow_words, tokenize, vectorised, whitespace_tokens
-from quern.operators import clusters, comparison, embeddings, evaluation, feedback, retrieval, significance, vector_search
+from quern.operators import bounded, clusters, comparison, embeddings, evaluation, feedback, retrieval, significance, vector_search
 from quern.plans import expanded_search, parameter_grid
 from quern.plans.experiment import METHODS, N_TEST, N_TRAIN, Experiment
 from quern.plans.method_report import method_report
-from quern.sources import evaluation_files, metric_source, term_index
+from quern.sources import evaluation_files, metric_source, segments, term_index
 from quern.storage import fresh_folder, written
 
 try:
@@ -86,6 +86,16 @@ def bm25_topk(e: Experiment) -> DataFrame:
     return retrieval.bm25_search(e.index, e.queries)
 
 
+def bounded_topk(e: Experiment) -> DataFrame:
+    return bounded.bounded_search(e.index, e.clauses)
+
+
+def bounded_short(e: Experiment) -> DataFrame:
+    """Queries of four words, the sixth to the ninth of each passage."""
+    words = F.array_join(F.slice(tokenize(F.col("text")), 6, 4), " ")
+    return bounded.bounded_search(e.index, retrieval.query_terms(e.queries.withColumn("text", words)))
+
+
 def feedback_docs(e: Experiment) -> DataFrame:
     return retrieval.bm25_search(e.index, e.queries, 20)
 
@@ -112,6 +122,16 @@ def weighted_search(e: Experiment) -> DataFrame:
     return retrieval.search(e.index, retrieval.weighted_clauses(e.clauses, new, 0.7))
 
 
+# An index that grows
+
+def segment_search(e: Experiment) -> DataFrame:
+    return segments.search_segments(e.grown_index, e.clauses)
+
+
+def segment_terms(e: Experiment) -> DataFrame:
+    return e.grown_index.terms.select("term", "df", "cf")
+
+
 # Evaluation
 
 def base_metrics(e: Experiment) -> DataFrame:
@@ -363,7 +383,8 @@ QUERIES = {
         f.__name__: f
         for f in (
             postings_build, term_df, doc_length_stats,
-            tokenize_by_blanks, tokenize_vectorised, bm25_topk, feedback_docs, run_export, run_file_round_trip, weighted_search,
+            tokenize_by_blanks, tokenize_vectorised, bm25_topk, bounded_topk, bounded_short, feedback_docs, run_export, run_file_round_trip, weighted_search,
+            segment_search, segment_terms,
             precision_at_5, average_precision, ndcg_at_10, mean_ap, eval_with_all_row,
             metric_file_load, metric_file_find, metric_files_combined, method_table_scan, metrics_combine, method_preview,
             query_range_filter, method_stack, method_diff, method_means, mean_diff, diff_extremes,

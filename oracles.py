@@ -173,6 +173,14 @@ STEPS = {
                 sum(grade / log2(rank + 1)) AS dcg
               FROM (SELECT *, sum(rel) OVER (PARTITION BY config_id, query_id ORDER BY rank) AS seen FROM xhits) GROUP BY ALL)
         JOIN judged USING (query_id) GROUP BY config_id""",
+    "shortclauses": f"""SELECT query_id, term, count(*)::DOUBLE AS boost
+        FROM (SELECT item_id AS query_id, unnest(({TOKENS})[6:9]) AS term FROM benchmark) GROUP BY ALL""",
+    # What the growing index holds in the end.
+    "gdocs": "SELECT * FROM documents WHERE (doc_id % 7 <> 0 OR doc_id % 21 = 0) AND doc_id % 11 <> 0",
+    "gpost": "SELECT doc_id, term, count(*) AS tf FROM tok JOIN (SELECT doc_id FROM gdocs) USING (doc_id) GROUP BY ALL",
+    "gterms": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM gpost GROUP BY term",
+    "gcoll": "SELECT count(*) AS n, (SELECT sum(tf) FROM gpost)::DOUBLE / count(*) AS avgdl FROM gdocs",
+    "gscores": bm25("clauses").replace("terms", "gterms").replace("post", "gpost").replace("coll", "gcoll"),
     # Word vectors: window 3, min_count 2, shift ln 5, 75 components, 7 terms.
     "wtok": f"""SELECT query_id, rank, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS pos
         FROM (SELECT query_id, rank, {TOKENS} AS tokens FROM deep JOIN documents USING (doc_id) WHERE rank <= 10)""",
@@ -223,12 +231,16 @@ FINAL = {
     "tokenize_vectorised": "SELECT term, df, cf FROM terms",
     "doc_length_stats": "SELECT n AS n_docs, (SELECT sum(tf) FROM post)::BIGINT AS n_tokens, round(avgdl, 6) AS avg_length FROM coll",
     "bm25_topk": "SELECT query_id, doc_id, score, rank FROM base_run",
+    "bounded_topk": "SELECT query_id, doc_id, score, rank FROM base_run",
+    "bounded_short": top(bm25("shortclauses"), 10),
     "feedback_docs": "SELECT query_id, doc_id, score, rank FROM deep",
     "run_export": "SELECT query_id, 'Q0' AS iteration, doc_id, rank, score, 'base' AS tag FROM base_run",
     "run_file_round_trip": "SELECT query_id, 'Q0' AS iteration, doc_id, rank, score, 'base' AS tag FROM base_run",
     "tokenize_by_blanks": r"""SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (
           SELECT doc_id, unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS term FROM documents)
         GROUP BY ALL) GROUP BY term""",
+    "segment_search": top("SELECT * FROM gscores", 10),
+    "segment_terms": "SELECT term, df, cf FROM gterms",
     "weighted_search": top(bm25("wclauses"), 10),
     "precision_at_5": "SELECT query_id, round(p_5, 6) AS p_5 FROM evaluated WHERE method = 'base'",
     "average_precision": "SELECT query_id, round(map, 6) AS ap FROM evaluated WHERE method = 'base'",

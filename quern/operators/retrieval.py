@@ -40,6 +40,20 @@ def weighted_clauses(
     )
 
 
+def clause_weights(
+    index: TermIndex, clauses: DataFrame, key: Sequence[str], bm25: Bm25, also: Sequence[str] = ()
+) -> DataFrame:
+    """(key, settings, term, weight) of all clauses whose term is known, weight being boost times idf."""
+    extra = bm25.columns()
+    weight = F.col("boost") * bm25_idf(F.lit(index.n_docs), F.col("df"))
+    return (
+        clauses.groupBy(*key, *extra, "term")
+        .agg(F.sum("boost").alias("boost"))
+        .join(index.terms.select("term", "df", *also), "term")
+        .select(*key, *extra, "term", weight.alias("weight"), *also)
+    )
+
+
 def search(
     index: TermIndex,
     clauses: DataFrame,
@@ -54,19 +68,7 @@ def search(
     postings are scanned in place, added up per document shard and cut to ``size`` before
     the only exchange. A larger set of clauses is joined by shuffle on the term.
     """
-    extra = bm25.columns()
-    weights = written(
-        clauses.groupBy(*key, *extra, "term")
-        .agg(F.sum("boost").alias("boost"))
-        .join(index.terms, "term")
-        .select(
-            *key,
-            *extra,
-            "term",
-            (F.col("boost") * bm25_idf(F.lit(index.n_docs), F.col("df"))).alias("weight"),
-        ),
-        "weights",
-    )
+    weights = written(clause_weights(index, clauses, key, bm25), "weights")
     saturation = bm25_saturation(F.col("tf"), F.col("dl"), F.lit(index.avg_length), bm25)
     scores = (
         index.postings.join(weights, "term")

@@ -13,8 +13,9 @@ from quern.operators.comparison import long_table
 from quern.operators.evaluation import METRIC_DIGITS, METRICS, query_metrics
 from quern.operators.retrieval import query_terms, search
 from quern.params import Bm25
+from quern.sources import segments
 from quern.sources.term_index import TermIndex, build_index
-from quern.storage import written
+from quern.storage import fresh_folder, written
 
 # Runs under comparison: plain BM25 with different k1 and b.
 METHODS = {"base": (1.2, 0.75), "flat": (1.2, 0.0), "sharp": (0.4, 1.0)}
@@ -49,6 +50,20 @@ class Experiment:
     def index(self) -> TermIndex:
         return build_index(self.documents)
 
+    @cached_property
+    def grown_index(self) -> segments.Segments:
+        """An index built in parts: every third document is added in turn, every seventh deleted, the smaller
+        segments merged, some of the deleted ones added again, and every eleventh deleted."""
+        folder, ids = fresh_folder(self.spark, "segments"), F.col("doc_id")
+        for part in range(3):
+            segments.add_documents(folder, self.documents.where(ids % 3 == part))
+        segments.delete_documents(folder, self.documents.where(ids % 7 == 0).select("doc_id"))
+        second = sorted(segments.open_segments(self.spark, folder).sizes.values())[1]
+        segments.merge_segments(self.spark, folder, second, self.spark.sparkContext.defaultParallelism)
+        segments.add_documents(folder, self.documents.where(ids % 21 == 0))
+        segments.delete_documents(folder, self.documents.where(ids % 11 == 0).select("doc_id"))
+        return segments.open_segments(self.spark, folder)
+
     @cached_property
     def clauses(self) -> DataFrame:
         return written(query_terms(self.queries), "clauses")

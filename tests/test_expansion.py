@@ -1,5 +1,6 @@
 import math
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -139,7 +140,7 @@ def test_term_score_formula(spark, group_index):
     terms = spark.createDataFrame(
         [(1, 1, "sun", 3, 10)], "query_id long, cluster_id long, term string, tf long, cluster_df long"
     )
-    big = type(group_index)(group_index.postings, group_index.terms, 1000, 3.0, "")
+    big = replace(group_index, n_docs=1000, avg_length=3.0)
     assert clusters.term_scores(terms, big).first().score == 6.0
     collection = clusters.term_scores(terms, big, "collection").first()
     assert (collection.df, collection.score) == (3, round(3 * math.log10(1000 / 3), 6))
