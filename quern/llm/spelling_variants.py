@@ -55,20 +55,24 @@ def letter_partitions(words: DataFrame, partitions: int = PARTITIONS) -> list[st
     return ["".join(letters[k::partitions]) for k in range(partitions)]
 
 
-def signatures(word: Column, groups: list[str], touched: int = TOUCHED) -> Column:
-    """One number for the word's letters in each choice of all but ``touched`` groups."""
-    letters = F.array_join(F.array_sort(F.split(word, "")), "")
-    inside = [F.translate(letters, "".join(g for k, g in enumerate(groups) if k != own), "") for own in range(len(groups))]
-    choices = itertools.combinations(range(len(groups)), len(groups) - touched)
-    return F.array(*[F.xxhash64(F.lit(number), *[inside[k] for k in choice]) for number, choice in enumerate(choices)])
+def letters_inside(word: Column, groups: list[str]) -> Column:
+    """The word's letters in each group, in order."""
+    letters = F.array_join(F.sort_array(F.split(word, "")), "")
+    return F.array(*[F.translate(letters, "".join(g for k, g in enumerate(groups) if k != own), "") for own in range(len(groups))])
+
+
+def signatures(parts: Column, n: int, touched: int = TOUCHED) -> Column:
+    """One number for the letters in each choice of all but ``touched`` of the ``n`` groups."""
+    choices = itertools.combinations(range(n), n - touched)
+    return F.array(*[F.xxhash64(F.lit(number), *[F.get(parts, k) for k in choice]) for number, choice in enumerate(choices)])
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """a, b: every two words one inserted, deleted or replaced code point apart, once."""
     groups = letter_partitions(words)
-    size = F.char_length("word").alias("size")
-    signed = words.select("word", size, F.explode(signatures(F.col("word"), groups)).alias("signature"))
-    signed = signed.select("word", "size", "signature")
+    # The groups' letters are a column of their own, so that they are taken once a word and not once a signature.
+    cut = words.select("word", F.char_length("word").alias("size"), letters_inside(F.col("word"), groups).alias("parts"))
+    signed = cut.select("word", "size", F.explode(signatures(F.col("parts"), len(groups))).alias("signature"))
     longer = signed.select(F.xxhash64("signature", "size").alias("key"), F.col("word").alias("a"))
     lengths = F.array(F.col("size"), F.col("size") + 1)
     other = signed.select("signature", F.col("word").alias("b"), F.explode(lengths).alias("longest")).select(
@@ -76,7 +80,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     )
     shorter_or_after = (F.char_length("b") < F.char_length("a")) | (F.col("a") < F.col("b"))
     verified = F.levenshtein("a", "b", 1) == 1
-    return longer.join(other, "key").where(shorter_or_after & verified).select("a", "b").distinct()
+    # The rows are many more than the file of words suggests: never broadcast them.
+    return longer.hint("merge").join(other, "key").where(shorter_or_after & verified).select("a", "b").distinct()
 
 
 def last_forms(forms: DataFrame) -> DataFrame:
