@@ -319,11 +319,9 @@ def qe_term_filter(e: Experiment) -> DataFrame:
 
 def knn_qe_search(e: Experiment) -> DataFrame:
     """Default clusters, and a threshold that leaves some queries to the unexpanded search."""
-    usual = expanded_search.knn_search(e.index, e.queries, KNN)
-    strict = expanded_search.knn_search(e.index, e.queries, STRICT_KNN)
-    return usual.withColumn("part", F.lit("dominant")).unionByName(
-        strict.withColumn("part", F.lit("strict"))
-    )
+    runs = parameter_grid.knn_grid_runs(e.index, e.queries, [KNN, STRICT_KNN])
+    part = F.when(F.col("config_id") == 1, "dominant").otherwise("strict")
+    return runs.withColumn("part", part).drop("config_id")
 
 
 def query_split(e: Experiment) -> DataFrame:

@@ -17,7 +17,8 @@ from quern.operators.clusters import (
     top_terms,
 )
 from quern.operators.embeddings import balanced_terms, hit_tokens, local_vectors, similar_terms
-from quern.operators.feedback import dominant_hits, hit_terms, nearest_hits, tfidf_l2
+from quern.operators.feedback import dominant_hits, nearest_hits, tfidf_l2
+from quern.operators.lattice import grid_expansion
 from quern.operators.retrieval import QUERY, query_terms, search, weighted_clauses
 from quern.params import KnnParams, W2vParams
 from quern.sources.term_index import TermIndex
@@ -82,10 +83,7 @@ def knn_search(
     """Expansion by nearest-neighbour clusters; queries without a dominant hit run unexpanded."""
     clauses = written(query_terms(queries, tokenizer=tokenizer), "clauses")
     hits = feedback(index, clauses, params.first_ret)
-    terms = written(hit_terms(hits, index.documents), "hit-terms")
-    members = knn_members(hits, terms, params)
-    new = knn_expansion(clauses, members, terms, index, params.top_n, params.df_scope)
-    new = written(new, "expansion")
+    new = grid_expansion(index, clauses, hits, [params]).drop("config_id")
     return search(index, clauses_or_fallback(clauses, new, params.lam), size)
 
 

@@ -3,31 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import asdict, fields
+from dataclasses import fields
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scoring import to_digits
 from quern.functions.text import Tokenizer, tokenize
-from quern.operators.clusters import cluster_members
 from quern.operators.embeddings import balanced_terms, hit_tokens, local_vectors, similar_terms
 from quern.operators.evaluation import METRIC_DIGITS, long_metrics, query_metrics
-from quern.operators.feedback import (
-    dominant_hits,
-    first_neighbours,
-    hit_terms,
-    neighbour_lists,
-    tfidf_l2,
-)
+from quern.operators.lattice import grid_expansion, setting_value
 from quern.operators.retrieval import query_terms, search
 from quern.params import KnnParams, W2vParams
-from quern.plans.expanded_search import feedback, knn_expansion
+from quern.plans.expanded_search import feedback
 from quern.sources.term_index import TermIndex
 from quern.storage import written
 
 Params = KnnParams | W2vParams
-DEPTH = ["first_ret", "query_id"]
 CONFIG = ["config_id", "query_id"]
 
 
@@ -40,40 +32,17 @@ def knn_grid_runs(
 ) -> DataFrame:
     """Runs of all settings: (config_id, query_id, doc_id, score, rank), config_id from 1.
 
-    One first retrieval serves every setting, similarities are taken once per ``first_ret``,
-    and the expanded queries of all settings share one scan of the postings.
+    The postings are read for one first retrieval, as deep as any setting needs, and for one last search
+    of all expanded queries. Queries without an expansion under a setting run unexpanded there.
     """
-    scopes = {p.df_scope for p in grid}
-    if len(scopes) != 1:
-        raise ValueError("one df_scope per grid")
     clauses = written(query_terms(queries, tokenizer=tokenizer), "clauses")
-    depths = sorted({p.first_ret for p in grid})
-    deepest = feedback(index, clauses, depths[-1])
-    hits = (
-        deepest.withColumn("first_ret", F.explode(F.array(*[F.lit(d) for d in depths])))
-        .where(F.col("rank") <= F.col("first_ret"))
-    )
-    terms = written(hit_terms(hits, index.documents, DEPTH), "hit-terms")
-    lists = neighbour_lists(hits, tfidf_l2(terms, DEPTH), DEPTH)
-    neighbours = written(
-        first_neighbours(
-            _per_config(lists, grid), _setting(grid, "n_neighbours"), ["first_ret", *CONFIG]
-        ),
-        "neighbours",
-    )
-    dominant = dominant_hits(neighbours, _setting(grid, "min_doc_c"), CONFIG)
-    members = written(cluster_members(dominant, neighbours, CONFIG), "members")
+    hits = feedback(index, clauses, max(p.first_ret for p in grid))
+    new = grid_expansion(index, clauses, hits, grid)
     config_clauses = clauses.withColumn(
         "config_id", F.explode(F.array(*[F.lit(i) for i in range(1, len(grid) + 1)]))
     )
-    top_n = _setting(grid, "top_n")
-    config_terms = _per_config(terms, grid)
-    new = knn_expansion(
-        config_clauses, members, config_terms, index, top_n, scopes.pop(), CONFIG
-    )
-    new = written(new, "expansion")
     expanded = new.select(*CONFIG).distinct().withColumn("expanded", F.lit(True))
-    lam = _setting(grid, "lam")
+    lam = setting_value(grid, "lam")
     boost = F.when(F.col("expanded"), F.col("boost") * lam).otherwise(F.col("boost"))
     original = config_clauses.join(expanded, CONFIG, "left").withColumn("boost", boost)
     added = new.select(*CONFIG, "term", (1 - lam).alias("boost"))
@@ -98,15 +67,15 @@ def w2v_grid_runs(
     hits = (
         feedback(index, clauses, max(p.first_ret for p in grid))
         .withColumn("config_id", F.explode(ids))
-        .where(F.col("rank") <= _setting(grid, "first_ret"))
+        .where(F.col("rank") <= setting_value(grid, "first_ret"))
     )
     config_clauses = clauses.withColumn("config_id", F.explode(ids))
     tokens = hit_tokens(hits, documents, CONFIG, tokenizer)
     vectors = written(local_vectors(tokens, dict(enumerate(grid, start=1)), CONFIG), "vectors")
-    top_n = _setting(grid, "top_n")
+    top_n = setting_value(grid, "top_n")
     similar = similar_terms(vectors, config_clauses, top_n, CONFIG)
     new = written(balanced_terms(similar, top_n, CONFIG), "expansion")
-    lam = _setting(grid, "lam")
+    lam = setting_value(grid, "lam")
     original = config_clauses.select(*CONFIG, "term", (F.col("boost") * lam).alias("boost"))
     added = new.select(*CONFIG, "term", (F.col("score") * (1 - lam)).alias("boost"))
     return search(index, original.unionByName(added), size, CONFIG)
@@ -126,22 +95,5 @@ def best_settings(means: DataFrame, grid: Sequence[Params]) -> DataFrame:
     return (
         means.withColumn("place", F.row_number().over(order))
         .where(F.col("place") == 1)
-        .select("metric", "config_id", "mean", *[_setting(grid, f.name).alias(f.name) for f in fields(grid[0])])
-    )
-
-
-def _setting(grid: Sequence[Params], name: str) -> Column:
-    """Value of a parameter for the row's ``config_id``."""
-    pairs = [F.lit(v) for i, p in enumerate(grid, start=1) for v in (i, asdict(p)[name])]
-    return F.create_map(*pairs)[F.col("config_id")]
-
-
-def _per_config(df: DataFrame, grid: Sequence[KnnParams]) -> DataFrame:
-    """One copy of each row per setting that uses its ``first_ret``."""
-    by_depth: dict[int, list[int]] = {}
-    for i, p in enumerate(grid, start=1):
-        by_depth.setdefault(p.first_ret, []).append(i)
-    configs = F.create_map(
-        *[c for d, ids in by_depth.items() for c in (F.lit(d), F.array(*[F.lit(i) for i in ids]))]
+        .select("metric", "config_id", "mean", *[setting_value(grid, f.name).alias(f.name) for f in fields(grid[0])])
     )
-    return df.withColumn("config_id", F.explode(configs[F.col("first_ret")]))

@@ -21,9 +21,9 @@ def tables():
     return con
 
 
-def test_only_training_lacks_sql():
+def test_every_query_of_the_library_has_sql():
     assert set(SQL) <= set(entry.queries())
-    assert set(entry.QUERIES) - set(SQL) == {"w2v_local_vectors", "w2v_terms", "w2v_qe_search"}
+    assert set(entry.QUERIES) <= set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import clusters, embeddings, feedback
-from quern.operators.retrieval import bm25_search, query_terms
+from quern.operators import clusters, embeddings, feedback, lattice
+from quern.operators.retrieval import bm25_search, query_terms, search
 from quern.params import KnnParams, W2vParams
 from quern.plans import expanded_search, parameter_grid
 from quern.sources.term_index import build_index
+from quern.storage import written
 
 TWO_GROUPS = {
     1: "sun moon star",
@@ -170,6 +171,34 @@ def test_document_ids_may_be_text(collection, group_index, queries, rows):
     assert rows(run) == rows(usual.withColumn("doc_id", F.format_string("d%02d", "doc_id")))
 
 
+def step_by_step(index, queries, params):
+    """The expanded search from its separate operators."""
+    clauses = query_terms(queries)
+    hits = expanded_search.feedback(index, clauses, params.first_ret)
+    terms = feedback.hit_terms(hits, index.documents)
+    members = expanded_search.knn_members(hits, terms, params)
+    new = expanded_search.knn_expansion(clauses, members, terms, index, params.top_n, params.df_scope)
+    return search(index, expanded_search.clauses_or_fallback(clauses, new, params.lam))
+
+
+@pytest.mark.parametrize("scope", ["cluster", "collection"])
+def test_search_equals_its_separate_operators(group_index, queries, rows, scope):
+    for params in (KnnParams(10, 3, 2, 4, 0.6, scope), KnnParams(4, 2, 1, 3, 0.8, scope), KnnParams(10, 3, 50, 4, 0.6, scope)):
+        assert rows(expanded_search.knn_search(group_index, queries, params)) == rows(step_by_step(group_index, queries, params))
+
+
+def test_exchanges_of_a_grid_do_not_grow_with_its_settings(group_index, hits):
+    lists = written(lattice.term_lists(hits, group_index.documents), "lists")
+
+    def exchanges(grid):
+        settings = lattice.setting_clusters(lattice.neighbour_orders(lists, [10]), grid, [10])
+        return settings._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    grid = [KnnParams(10, k, c, 5) for k in (2, 3, 4) for c in (1, 2)]
+    assert exchanges(grid) == exchanges(grid[:1])
+    assert lattice.setting_clusters(lattice.neighbour_orders(lists, [10]), grid, [10]).count() <= 2
+
+
 def test_grid_equals_single_searches(group_index, queries, rows):
     grid = [KnnParams(10, 3, 2, 4, 0.6), KnnParams(4, 2, 1, 3, 0.8), KnnParams(10, 3, 3, 4, 0.6)]
     runs = parameter_grid.knn_grid_runs(group_index, queries, grid).cache()
