@@ -180,15 +180,15 @@ def _bucketed(spark: SparkSession, path: str, buckets: int, order: str) -> DataF
 
 
 def bucket_count(documents: DataFrame, bytes_per_bucket: int = BYTES_PER_BUCKET) -> int:
-    """Buckets for the stored size of the files that ``documents`` comes from, at least one per core.
+    """Buckets for the size of ``documents``, at least one per core.
 
-    Works for any frame over files; only the files' sizes are read. A frame without files has one
-    bucket per core. Shards keep their size however large the collection is.
+    For a frame over files that is the stored size, read from the file system alone; any other frame has
+    its texts measured. Shards keep their size however large the collection is.
     """
     spark = documents.sparkSession
     paths = documents.inputFiles()
-    stored = 0
     if paths:
-        files = spark.read.format("binaryFile").load(paths).agg(F.sum("length"))
-        stored = files.first()[0] or 0
-    return max(spark.sparkContext.defaultParallelism, math.ceil(stored / bytes_per_bucket))
+        size = spark.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0]
+    else:
+        size = documents.agg(F.sum(F.octet_length("text"))).first()[0]
+    return max(spark.sparkContext.defaultParallelism, math.ceil((size or 0) / bytes_per_bucket))

@@ -71,3 +71,19 @@ def test_index_of_a_derived_frame(spark, tmp_path):
     frame = spark.read.parquet(f"{tmp_path}/d").groupBy("doc_id").agg(F.concat_ws(" ", F.sort_array(F.collect_list("text"))).alias("text"))
     index = term_index.build_index(frame)
     assert index.n_docs == 2 and index.postings.count() == 4
+
+
+def test_frames_without_files_are_measured(spark):
+    frame = spark.createDataFrame([(k, "x" * 1000) for k in range(50)], "doc_id long, text string")
+    cores = spark.sparkContext.defaultParallelism
+    assert term_index.bucket_count(frame, 1000) == max(50, cores)
+    assert term_index.bucket_count(frame.where("doc_id < 0"), 1000) == cores
+
+
+def test_forward_rows_and_terms_with_their_bounds(index, rows):
+    forward = {r.doc_id: r for r in index.documents.collect()}
+    assert [tuple(t) for t in forward[2].terms] == [("cherries", 1), ("green", 1), ("pears", 1), ("plums", 1), ("red", 2)]
+    assert rows(term_index.posting_rows(index.documents).select("doc_id", "term", "tf", "dl")) == rows(index.postings.select("doc_id", "term", "tf", "dl"))
+    red = index.terms.where("term = 'red'").first()
+    assert (red.df, red.cf) == (3, 4) and sorted(c.doc_id for c in red.champions) == [1, 2, 5]
+    assert max(p.tf for p in red.profile) == 2
