@@ -12,12 +12,12 @@ from __future__ import annotations
 import itertools
 import math
 import os
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,25 +30,47 @@ END_ID = 2
 NEARLY_FULL = 4
 #: Pieces that one task packs.
 PIECES_PER_TASK = 200_000
-#: Words kept with their ids by a worker; it starts anew when there are more.
-CACHED_WORDS, CACHED_CHUNKS = 600_000, 300_000
+#: Chunks between blanks, and words in them, that a worker keeps with their ids, twice over.
+KEPT = 300_000
+#: Characters of the texts that are cut into chunks together.
+TOGETHER = 4 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, bin long, offset long, done boolean"
 
 #: The split of byte-level BPE before merging.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: White space other than one space or line end between two words.
-_ODD_SPACE = re.compile(r"[^\S \n]|\s\s|^\s|\s$")
+#: White space other than the space and the line end; and these two anywhere but alone between words.
+_ODD_SPACE = "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]|^[ \n]|[ \n]$"
+
+
+class Kept:
+    """Values remembered by key. What was used since the last but one change of generations stays."""
+
+    def __init__(self, compute: Callable[[str], bytes], most: int = KEPT) -> None:
+        self.compute, self.most = compute, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, key: str) -> bytes:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = self.compute(key)
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[key] = found
+        return found
 
 
 class Encoder:
     """Token ids of texts as little-endian bytes, with the ids of words remembered.
 
     Before merging, byte-level BPE cuts a text into words; a single space opens the next word and
-    a single line end is a word. So texts whose white space is single spaces and line ends are put
-    together from remembered words; others, and those with the special token's name, are encoded
-    whole.
+    a single line end is a word. So texts whose white space is single spaces and line ends are cut
+    into chunks, many texts at once, and put together from the ids of the different chunks; others, and
+    those with the special token's name, are encoded whole.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
@@ -57,48 +79,61 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.line_end = self._encode("\n")
+        self.word, self.chunk = Kept(self._word), Kept(self._chunk)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
-            found = self.words[word] = np.array(
-                [t.id for t in self.tokenizer.model.tokenize(_byte_letters(word))], "<u4"
-            ).tobytes()
-        return found
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(_byte_letters(word))])
 
     def _chunk(self, chunk: str) -> bytes:
-        found = self.chunks.get(chunk)
-        if found is None:
-            if len(self.chunks) >= CACHED_CHUNKS:
-                self.chunks.clear()
-            # Beyond Latin letters, libraries may know different editions of the letter classes.
-            latin = chunk.isascii() or max(chunk) < "\u0250"
-            found = b"".join(map(self._word, _SPLIT.findall(chunk))) if latin else self._encode(chunk)
-            self.chunks[chunk] = found
-        return found
+        # Beyond Latin letters, libraries may know different editions of the letter classes.
+        if not chunk.isascii() and max(chunk) >= "\u0250":
+            return self._encode(chunk)
+        if chunk.removeprefix(" ").isalpha():
+            return self._word(chunk)
+        return b"".join(map(self.word, _SPLIT.findall(chunk)))
 
     def ids(self, text: str | None) -> bytes:
-        text = text or ""
-        if _ODD_SPACE.search(text) or any(name in text for name in self.special):
-            return self._encode(text)
-        if not text:
-            return b""
-        get, missing = self.chunks.get, self._chunk
-        lines = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            parts = [get(first) or missing(first)]
-            parts += [get(c) or missing(c) for c in map(" ".__add__, rest)]
-            lines.append(b"".join(parts))
-        return self.line_end.join(lines)
+        return next(self.all_ids(pa.array([text or ""])))
+
+    def all_ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        for name in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, name))
+        whole = odd.to_numpy(zero_copy_only=False).astype(bool)
+        ids, begins = self._put_together(texts.filter(pc.invert(odd)))
+        number = 0
+        for place, is_whole in enumerate(whole.tolist()):
+            if is_whole:
+                yield self._encode(texts[place].as_py())
+            else:
+                yield ids[begins[number] : begins[number + 1]].tobytes()
+                number += 1
+
+    def _put_together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts after each other, and where each begins."""
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        offsets = cut.offsets.to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        code, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        ends_line = np.append(np.array([w == "\n" for w in words], bool), False)[code]
+        spaced = ~ends_line
+        spaced[1:] &= ~ends_line[:-1]
+        spaced[offsets[:-1]] = False
+        chunk = code.astype(np.int64) * 2 + spaced
+        used = np.zeros(2 * len(words), bool)
+        used[chunk] = True
+        found = [self.chunk(f" {words[c >> 1]}" if c & 1 else words[c >> 1]) for c in np.flatnonzero(used).tolist()]
+        known = np.frombuffer(b"".join(found), "<u4")
+        size = np.array([len(f) for f in found], np.int64) // 4
+        which = (np.cumsum(used) - 1)[chunk]
+        counts = size[which]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        from_known = (np.cumsum(size) - size)[which] - upto[:-1]
+        return known[np.repeat(from_known, counts) + np.arange(upto[-1])], upto[offsets]
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -126,6 +161,15 @@ def encoder(tokenizer_json: str) -> Encoder:
     return _encoders[key]
 
 
+def encoded(own: Encoder, texts: pa.Array) -> Iterator[bytes]:
+    """Ids of the texts, about ``TOGETHER`` characters at a time."""
+    part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // TOGETHER
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for start, stop in zip(cuts, cuts[1:]):
+        if stop > start:
+            yield from own.all_ids(texts.slice(start, stop - start))
+
+
 def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pieces of at most ``capacity`` tokens; only a longer document's first piece may be shorter.
 
@@ -135,11 +179,11 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shared.value).ids
+        own = encoder(shared.value)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(own, pc.fill_null(batch.column(1), ""))):
+                ids += end
                 n = len(ids) // 4
                 count = -(-n // capacity)
                 stops = [n - capacity * k for k in range(count - 1, -1, -1)]
