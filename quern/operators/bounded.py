@@ -25,6 +25,9 @@ from quern.storage import written
 
 #: Known documents that the threshold is taken from, as a multiple of ``size``.
 TRIED = 2
+#: Part of the threshold that terms left out at first may make up together. Less of it leaves out fewer
+#: terms, but then fewer documents can still pass.
+SHARE = 0.5
 #: Scores are compared after rounding, so a document may be this much below the threshold.
 SLACK = 10.0**-SCORE_DIGITS
 
@@ -82,7 +85,7 @@ def essential_terms(index: TermIndex, clauses: DataFrame, size: int, key: Sequen
     """(key, term, weight, essential, floor, rest): the weights, and which terms a passing document must hold one of.
 
     The terms with the smallest bounds are not essential as long as their bounds add up to less than
-    ``floor``; ``rest`` is that sum.
+    ``SHARE`` of ``floor``; ``rest`` is that sum.
     """
     weights = written(clause_weights(index, clauses, key, bm25, ["profile", "champions"]), "weights")
     floor = thresholds(index, weights, size, key, bm25)
@@ -92,7 +95,7 @@ def essential_terms(index: TermIndex, clauses: DataFrame, size: int, key: Sequen
     together = known.select(*key, *bm25.columns(), "term", "weight", "floor", bound.alias("bound")).withColumn(
         "together", F.sum("bound").over(rising)
     )
-    left_out = F.when(F.col("together") < F.col("floor"), F.col("together"))
+    left_out = F.when(F.col("together") < SHARE * F.col("floor"), F.col("together"))
     return together.select(
         *key, *bm25.columns(), "term", "weight", "floor", left_out.isNull().alias("essential"),
         F.coalesce(F.max(left_out).over(Window.partitionBy(*key)), F.lit(0.0)).alias("rest"),
