@@ -49,16 +49,31 @@ class Queue:
             return np.fromfile(self.file, np.int64, part[1])
         return part
 
+    def _together(self, numbers: Iterator[int]) -> Iterator[list[np.ndarray]]:
+        """Parts of the given numbers, as many at a time as make up a block."""
+        taken: list[np.ndarray] = []
+        size = 0
+        for number in numbers:
+            taken.append(self._read(self.parts[number]))
+            size += len(taken[-1])
+            if size >= BLOCK:
+                yield taken
+                taken, size = [], 0
+        if taken:
+            yield taken
+
     def __iter__(self) -> Iterator[np.ndarray]:
         """All positions from the first on, in blocks; also those appended meanwhile."""
         at = 0
         while at < len(self.parts):
-            yield self._read(self.parts[at])
-            at += 1
+            stop = len(self.parts)
+            for parts in self._together(iter(range(at, stop))):
+                yield np.concatenate(parts)
+            at = stop
 
     def reversed_blocks(self) -> Iterator[np.ndarray]:
-        for part in reversed(self.parts):
-            yield self._read(part)[::-1]
+        for parts in self._together(iter(range(len(self.parts) - 1, -1, -1))):
+            yield np.concatenate(parts[::-1])[::-1]
 
 
 def s_types(text: np.ndarray) -> np.ndarray:
@@ -110,16 +125,32 @@ def induce(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, n_symbols:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """Symbols that each suffix of ``order`` shares with the one before it, up to ``most``."""
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(most + 1, text.dtype)])
+    """Symbols that each suffix of ``order`` shares with the one before it, up to ``most``.
+
+    As many symbols as fit into 64 bits are compared at a time, and one by one where these differ. The text
+    is followed by a symbol that it does not have, so no suffix agrees with another beyond its end.
+    """
+    n, end = len(text), int(text.max(initial=0)) + 1
+    bits = end.bit_length()
+    step = 64 // bits
+    padded = np.concatenate([text, np.full(most + step, end, text.dtype)]).astype(np.uint64)
+    packed = np.zeros(n + most, np.uint64)
+    for k in range(step):
+        packed |= padded[k : n + most + k] << np.uint64(bits * k)
     shared = np.zeros(len(order), np.int32)
+    active, a, b = np.arange(1, len(order)), order[1:].copy(), order[:-1].copy()
+    for _ in range(most // step):
+        same = packed[a] == packed[b]
+        if not same.all():
+            active, a, b = active[same], a[same], b[same]
+        shared[active] += step
+        a += step
+        b += step
     active = np.arange(1, len(order))
-    for depth in range(most):
-        a, b = order[active] + depth, order[active - 1] + depth
-        active = active[(padded[a] == padded[b]) & (a < n) & (b < n)]
-        if not len(active):
-            break
+    for _ in range(step - 1):
+        active = active[shared[active] < most]
+        a, b = order[active] + shared[active], order[active - 1] + shared[active]
+        active = active[padded[a] == padded[b]]
         shared[active] += 1
     return shared
 
@@ -151,9 +182,10 @@ def _doubled(names: np.ndarray) -> np.ndarray:
     while True:
         after = np.full(len(rank), -1, np.int64)
         after[:-step] = rank[step:]
-        order = np.lexsort((after, rank))
-        a, b = rank[order], after[order]
-        fresh = np.concatenate([[False], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        pair = rank * (len(rank) + 1) + after + 1
+        order = np.argsort(pair)
+        pair = pair[order]
+        fresh = np.concatenate([[False], pair[1:] != pair[:-1]])
         rank = np.empty_like(rank)
         rank[order] = np.cumsum(fresh)
         step *= 2
