@@ -160,7 +160,12 @@ def _pass(spark: SparkSession, docs: DataFrame, part: list, name: str, wanted: l
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans for every row of ``docs``."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans for every row of ``docs``.
+
+    Null and empty texts have no words and are clean; see ``marked`` for items. Repeated rows, equal and
+    null ids are judged each for itself. An empty table gives no rows, an empty benchmark contaminates
+    nothing. Other columns are not read.
+    """
     mark = marked(docs.select("doc_id", "text"), benchmark, "mark", ["doc_id"], **options)
     return mark.select(
         "doc_id", "mark.n_words", "mark.n_hit", F.size("mark.items").cast("long").alias("n_items"),
@@ -170,6 +175,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window, with the columns of ``docs``."""
+    """The rows of ``docs`` without any benchmark window, with the columns of ``docs``, whatever their names.
+
+    Null and empty texts stay. Repeated rows, equal and null ids are judged each for itself. An empty table
+    stays empty.
+    """
     name = fresh_name(docs, "mark")
     return marked(docs, benchmark, name, **options).where(F.col(name)["n_hit"] == 0).select(*docs.columns)

@@ -264,7 +264,7 @@ def pack(
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
-    Repeated rows, equal and null ids are packed as documents of their own. An empty table
+    Null and empty texts are one piece with the end token alone. Repeated rows, equal and null ids are packed as documents of their own. An empty table
     gives no rows. Other columns are not read.
     """
     cut = written(pieces(docs, tokenizer_json, capacity, end_id).withColumns({

@@ -277,7 +277,7 @@ class Tagger:
 # Training data.
 
 #: Windows taken from the corpus and windows written out: the bound of the sample.
-SAMPLE, VARIANTS = 700, 900
+SAMPLE, VARIANTS = 700, 1800
 
 
 def labelled_windows(docs: DataFrame, limit: int) -> list[tuple[str, list[int]]]:
@@ -316,42 +316,53 @@ def _card_number(draw: random.Random) -> str:
 
 
 def written_windows(n: int, seed: int = 11) -> list[tuple[str, list[int]]]:
-    """Invented words around one private or one harmless string."""
+    """Invented words with private and harmless strings among them, several to a window and cut at its ends."""
     draw = random.Random(seed)
 
     def word() -> str:
-        return "".join(draw.choice("abcdefghiklmnoprstuvwz") for _ in range(draw.randint(2, 9)))
+        made = "".join(draw.choice("abcdefghiklmnoprstuvwz") for _ in range(draw.randint(2, 9)))
+        return made.capitalize() if draw.random() < 0.15 else made
 
     def grouped(number: str, mark: str) -> str:
         return mark.join(number[k : k + 4] for k in range(0, len(number), 4))
 
+    def name() -> str:
+        return draw.choice([word().lower(), word().lower() + _digits(draw, draw.randint(1, 6))])
+
     private = (
-        ("email", lambda: f"{word()}.{draw.randint(1, 99)}@{word()}{draw.randint(1, 9)}.{word()}.{draw.choice(['com', 'org', 'net'])}"),
-        ("email", lambda: f"{word()}_{word()}@{word()}.{draw.choice(['com', 'org', 'de', 'fr'])}"),
+        ("email", lambda: f"{name()}.{draw.randint(1, 9999)}@{name()}.{word().lower()}.{draw.choice(['com', 'org', 'net'])}"),
+        ("email", lambda: f"{name()}{draw.choice('_.-+')}{name()}@{name()}.{draw.choice(['com', 'org', 'de', 'fr', 'es'])}"),
         ("ip", lambda: ".".join(str(draw.randint(0, 255)) for _ in range(4))),
         ("card", lambda: grouped(_card_number(draw), draw.choice(["", " ", "-"]))),
         ("phone", lambda: f"+{draw.randint(1, 99)} ({_digits(draw, 3)}) {_digits(draw, 3)}-{_digits(draw, 4)}"),
         ("phone", lambda: f"({_digits(draw, 3)}) {_digits(draw, 3)}-{_digits(draw, 4)}"),
+        ("phone", lambda: f"({_digits(draw, 3)}) {_digits(draw, 3)}-{_digits(draw, 4)}"),
+        ("phone", lambda: draw.choice("--.").join((_digits(draw, 3), _digits(draw, 3), _digits(draw, 4)))),
+        ("phone", lambda: draw.choice("--.").join((_digits(draw, 3), _digits(draw, 3), _digits(draw, 4)))),
         ("phone", lambda: f"+{draw.randint(1, 99)}{draw.choice([' ', '-'])}{_digits(draw, 3)}{draw.choice([' ', '-', '.'])}{_digits(draw, 7)}"),
     )
     harmless = (
-        lambda: str(draw.randint(1, 9999)), lambda: f"{draw.randint(1900, 2030)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02}",
+        lambda: str(draw.randint(1, 9999)), lambda: str(draw.randint(1, 9999)), lambda: _digits(draw, draw.choice([5, 6, 9, 11, 12, 20, 24, 32])),
+        lambda: f"{draw.randint(1900, 2030)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02}",
+        lambda: f"{draw.randint(1, 28)}.{draw.randint(1, 12)}.{draw.randint(1900, 2030)}", lambda: f"{draw.randint(0, 23)}:{draw.randint(0, 59):02}",
+        lambda: f"{draw.randint(1, 999)}-{draw.randint(1, 9999)}", lambda: f"({draw.randint(1, 2030)})",
         lambda: f"{draw.randint(0, 9)}.{draw.randint(0, 20)}.{draw.randint(0, 20)}", lambda: f"{draw.randint(0, 999)}.{_digits(draw, 2)}",
         lambda: f"password={draw.getrandbits(72):x}", lambda: f'token = "{draw.getrandbits(160):x}"',
         lambda: "AKIA" + "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)),
-        lambda: _digits(draw, draw.choice([5, 6, 9, 11, 12, 20, 24, 32])), lambda: f"@{word()}", lambda: f"ISBN 978-{_digits(draw, 10)}",
+        lambda: f"@{word()}", lambda: f"ISBN 978-{_digits(draw, 10)}", lambda: f"{word()}/{word()}{draw.randint(1, 99)}",
     )
     rows = []
     for _ in range(n):
-        before = " ".join(word() for _ in range(draw.randint(0, 6)))[-60:]
-        if draw.random() < 0.6:
-            kind, make = draw.choice(private)
+        text, spans = "", []
+        while len(text) < 2 * WINDOW:
+            text += "".join(f"{word()}{draw.choice([' ', ' ', ' ', ', ', '. '])}" for _ in range(draw.choice([0, 1, 1, 2, 3, 6, 10])))
+            kind, make = draw.choice(private) if draw.random() < 0.5 else ("", draw.choice(harmless))
             piece = make()
-        else:
-            kind, piece = "", draw.choice(harmless)()
-        text = f"{before} {piece}{draw.choice(['', '.', ',', ''])} {' '.join(word() for _ in range(8))}"[:WINDOW]
-        start = len(before) + 1
-        rows.append((text, tags_of([(kind, start, start + len(piece))] if kind else [], 0)))
+            if kind:
+                spans.append((kind, len(text), len(text) + len(piece)))
+            text += f"{piece}{draw.choice([' ', ' ', '. ', ', '])}"
+        start = draw.randint(0, WINDOW)
+        rows.append((text[start : start + WINDOW], tags_of(spans, start)))
     return rows
 
 
@@ -464,7 +475,11 @@ def find_personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFra
 
 
 def masked(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind in brackets; overlaps become one."""
+    """``docs`` with every span in ``text`` replaced by its kind in brackets; overlaps become one.
+
+    Null and empty texts stay as they are. Repeated rows, equal and null ids are masked each for itself.
+    An empty table stays empty. Columns may have any names.
+    """
     tagger = tagger or trained(docs)
     weights = docs.sparkSession.sparkContext.broadcast(tagger.w)
     place = docs.columns.index("text")

@@ -132,18 +132,22 @@ FROM scored QUALIFY rank <= 10
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of at most 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_json())
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, how many lie in benchmark windows, and of which items."""
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents under the model of four fifths of them."""
     return interpolation.score_documents(table(spark, sf_dir, "documents"))
 
 
@@ -153,22 +157,27 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document without strings of 400 bytes that start anywhere else."""
     return substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, shards of nearly equal bytes."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in all documents."""
     return license_scan.find_licenses(table(spark, sf_dir, "documents"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and whether the rules keep it."""
     return quality_rules.quality_counts(table(spark, sf_dir, "documents"))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
     return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
 
 
