@@ -269,7 +269,7 @@ FINAL = {
     "wilcoxon": "SELECT method, metric, n, rank_sum_plus, rank_sum_minus, round(z, 6) AS z, round(p, 6) AS p FROM wp",
     "wilcoxon_exact": """SELECT method, metric, coalesce(n, 0) AS n, rp AS rank_sum_plus, rm AS rank_sum_minus,
           round((least(rp, rm) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ts / 48), 6) AS z,
-          round(least(1, 2 * list_sum(c[1 : (2 * least(rp, rm))::BIGINT + 1])), 6) AS p
+          CASE WHEN n > 0 THEN round(least(1, 2 * list_sum(c[1 : (2 * least(rp, rm))::BIGINT + 1])), 6) END AS p
         FROM (SELECT DISTINCT method, metric FROM diffs) LEFT JOIN (SELECT * FROM esum JOIN eties USING (method, metric) JOIN echance USING (method, metric)) USING (method, metric)""",
     "significance_verdict": REPORT_VERDICTS.replace(
         "SELECT method, metric,", "SELECT method, metric, round(-mean_d, 6) AS mean_difference,"
