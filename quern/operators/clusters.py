@@ -152,7 +152,7 @@ def term_scores(
     N is the size of the collection; df counts the query's clusters or the collection.
     """
     if df_scope == "collection":
-        scoped = terms.join(index.terms.select("term", "df"), "term")
+        scoped = terms.join(index.statistics.select("term", "df"), "term")
     else:
         scoped = terms.withColumn("df", F.col("cluster_df"))
     score = collection_weight(F.col("tf"), F.lit(index.n_docs), F.col("df"))

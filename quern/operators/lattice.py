@@ -193,7 +193,7 @@ def setting_terms(
         raise ValueError("one df_scope per grid")
     whole = scopes == {"collection"}
     if whole:
-        lists = lists.join(index.terms.select("term", "df"), "term")
+        lists = lists.join(index.statistics.select("term", "df"), "term")
     rows = (
         lists.repartition(*key).join(chosen, [*key])
         .select(*key, "term", "found", *(["df"] if whole else []), F.explode("chosen").alias("s"))

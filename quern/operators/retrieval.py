@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scoring import SCORE_DIGITS, bm25_idf, bm25_saturation
@@ -14,6 +14,8 @@ from quern.sources.term_index import TermIndex
 from quern.storage import written
 
 QUERY = ("query_id",)
+#: Clauses up to this number, some 100 bytes each, are sent to every executor.
+BROADCAST_CLAUSES = 200_000
 
 
 def query_terms(
@@ -46,14 +48,26 @@ def clause_weights(
     """(key, settings, term, weight) of all clauses whose term is known, weight being boost times idf."""
     extra = bm25.columns()
     weight = F.col("boost") * bm25_idf(F.lit(index.n_docs), F.col("df"))
+    known = index.statistics.select("term", "df")
     return (
         clauses.groupBy(*key, *extra, "term")
         .agg(F.sum("boost").alias("boost"))
-        .join(index.terms.select("term", "df", *also), "term")
+        .join(known.join(index.terms.select("term", *also), "term") if also else known, "term")
         .select(*key, *extra, "term", weight.alias("weight"), *also)
     )
 
 
+def beside_postings(weights: DataFrame) -> DataFrame:
+    """Written ``weights``, marked to be broadcast up to ``BROADCAST_CLAUSES`` rows, so that postings stay in their buckets.
+
+    A join by shuffle on the term would exchange a row for each query and document with a common term. Where
+    ``spark.sql.autoBroadcastJoinThreshold`` forbids broadcasts, or with more rows, it is left to Spark.
+    """
+    threshold = weights.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    allowed = not threshold.startswith("-") and weights.count() <= BROADCAST_CLAUSES
+    return F.broadcast(weights) if allowed else weights
+
+
 def search(
     index: TermIndex,
     clauses: DataFrame,
@@ -64,11 +78,11 @@ def search(
     """Best ``size`` documents per key: (key, doc_id, score, rank).
 
     A document matches when it holds any clause's term, and scores the sum of boost times
-    BM25. Clauses with their idf are written first; while Spark may broadcast them, the
+    BM25. Clauses with their idf are written first; up to ``BROADCAST_CLAUSES`` of them, the
     postings are scanned in place, added up per document shard and cut to ``size`` before
     the only exchange. A larger set of clauses is joined by shuffle on the term.
     """
-    weights = written(clause_weights(index, clauses, key, bm25), "weights")
+    weights = beside_postings(written(clause_weights(index, clauses, key, bm25), "weights"))
     saturation = bm25_saturation(F.col("tf"), F.col("dl"), F.lit(index.avg_length), bm25)
     scores = (
         index.postings.join(weights, "term")
@@ -78,6 +92,33 @@ def search(
     return top_hits(scores, size, key)
 
 
+def search_settings(
+    index: TermIndex,
+    clauses: DataFrame,
+    settings: Mapping[str, Bm25],
+    size: int = 10,
+    key: Sequence[str] = QUERY,
+    label: str = "method",
+) -> DataFrame:
+    """Runs of the same clauses under several constant settings: (label, key, doc_id, score, rank).
+
+    As ``search`` with the setting in the key, but a posting meets a clause once, whatever the number of settings:
+    each has its own sum in one row per key and document.
+    """
+    weights = beside_postings(written(clause_weights(index, clauses, key, Bm25()), "weights"))
+
+    def score(bm25: Bm25) -> Column:
+        saturation = bm25_saturation(F.col("tf"), F.col("dl"), F.lit(index.avg_length), bm25)
+        return F.round(F.sum(F.col("weight") * saturation), SCORE_DIGITS)
+
+    sums = index.postings.join(weights, "term").groupBy(*key, "doc_id").agg(
+        *[score(bm25).alias(f"score_{i}") for i, bm25 in enumerate(settings.values())]
+    )
+    each = F.array(*[F.struct(F.lit(m).alias(label), F.col(f"score_{i}").alias("score")) for i, m in enumerate(settings)])
+    scores = sums.select(*key, "doc_id", F.inline(each))
+    return top_hits(scores, size, [*key, label]).select(label, *key, "doc_id", "score", "rank")
+
+
 def top_hits(scores: DataFrame, size: int, key: Sequence[str] = QUERY) -> DataFrame:
     """Rank by score, then document id, and keep the first ``size``."""
     order = Window.partitionBy(*key).orderBy(F.desc("score"), "doc_id")

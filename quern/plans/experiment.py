@@ -11,7 +11,7 @@ from quern.functions.scoring import to_digits
 from quern.functions.text import tokenize
 from quern.operators.comparison import long_table
 from quern.operators.evaluation import METRIC_DIGITS, METRICS, query_metrics
-from quern.operators.retrieval import query_terms, search
+from quern.operators.retrieval import query_terms, search_settings
 from quern.params import Bm25
 from quern.sources import segments
 from quern.sources.term_index import TermIndex, build_index
@@ -59,7 +59,7 @@ class Experiment:
             segments.add_documents(folder, self.documents.where(ids % 3 == part))
         segments.delete_documents(folder, self.documents.where(ids % 7 == 0).select("doc_id"))
         second = sorted(segments.open_segments(self.spark, folder).sizes.values())[1]
-        segments.merge_segments(self.spark, folder, second, self.spark.sparkContext.defaultParallelism)
+        segments.merge_segments(self.spark, folder, second)
         segments.add_documents(folder, self.documents.where(ids % 21 == 0))
         segments.delete_documents(folder, self.documents.where(ids % 11 == 0).select("doc_id"))
         return segments.open_segments(self.spark, folder)
@@ -81,7 +81,7 @@ class Experiment:
         passages = self.queries.where(F.length("text") > 0).select(
             "query_id", F.col("text").alias("passage"), F.explode_outer(inner).alias("term")
         )
-        ranked = passages.join(self.index.terms.select("term", "df"), "term", "left")
+        ranked = passages.join(self.index.statistics.select("term", "df"), "term", "left")
         rarest = written(ranked.groupBy("query_id", "passage").agg(
             F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("rarest")
         ).select("query_id", "passage", "rarest.term"), "passages")
@@ -96,16 +96,7 @@ class Experiment:
 
     def method_runs(self) -> DataFrame:
         """Runs under comparison, all from one scan of the postings: (method, query_id, doc_id, score, rank)."""
-        settings = F.array(
-            *[
-                F.struct(F.lit(m).alias("method"), F.lit(k1).alias("k1"), F.lit(b).alias("b"))
-                for m, (k1, b) in METHODS.items()
-            ]
-        )
-        clauses = self.clauses.withColumn("s", F.explode(settings)).select(
-            "s.*", "query_id", "term", "boost"
-        )
-        return search(self.index, clauses, 10, METHOD_KEY, Bm25("k1", "b"))
+        return search_settings(self.index, self.clauses, {m: Bm25(k1, b) for m, (k1, b) in METHODS.items()})
 
     @cached_property
     def method_table(self) -> DataFrame:

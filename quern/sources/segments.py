@@ -8,10 +8,11 @@ fails leaves nothing visible. There is one writer at a time; readers see the ste
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -28,34 +29,36 @@ LOG = "version long, action string, name string, replaces array<string>"
 
 @dataclass(frozen=True)
 class Segments:
-    """Live segments by name. Each is an index of its own live documents with the whole's statistics.
+    """Live segments by name; ``parts`` are their live documents, ``sizes`` how many, those without a token included.
 
-    ``terms``, ``n_docs`` and ``avg_length`` are those of all live documents, and the same in every segment.
-    ``sizes`` are the live documents of each segment, those without a token included.
+    ``terms``, ``n_docs`` and ``avg_length`` are those of all live documents. The terms are put together when
+    something first asks for them: steps that only look at documents and sizes do without.
     """
 
     folder: str
-    indexes: dict[str, TermIndex]
+    parts: dict[str, TermIndex]
     sizes: dict[str, int]
+    n_docs: int
+    avg_length: float
+    deletions: list[str]
 
-    def _any(self) -> TermIndex:
-        return next(iter(self.indexes.values()))
-
-    @property
+    @cached_property
     def terms(self) -> DataFrame:
-        return self._any().terms
-
-    @property
-    def n_docs(self) -> int:
-        return self._any().n_docs
-
-    @property
-    def avg_length(self) -> float:
-        return self._any().avg_length
+        terms = [i.statistics for i in self.parts.values()]
+        if self.deletions:
+            less = _of_deletions(terms[0].sparkSession, self.folder, self.deletions, "terms", [*self.parts])
+            terms.append(less.select("term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf")))
+        sums = F.sum("df").alias("df"), F.sum("cf").alias("cf")
+        return written(united(terms).groupBy("term").agg(*sums).where(F.col("df") > 0), "segment-terms")
+
+    @cached_property
+    def indexes(self) -> dict[str, TermIndex]:
+        """Each segment as an index of its own live documents with the whole's statistics."""
+        return {s: replace(i, statistics=self.terms, n_docs=self.n_docs, avg_length=self.avg_length) for s, i in self.parts.items()}
 
     @property
     def postings(self) -> DataFrame:
-        return united([i.postings for i in self.indexes.values()])
+        return united([i.postings for i in self.parts.values()])
 
 
 def united(frames: Sequence[DataFrame]) -> DataFrame:
@@ -86,9 +89,9 @@ def delete_documents(folder: str, ids: DataFrame) -> str:
     def of(segment: str, rows: DataFrame) -> DataFrame:
         return rows.join(gone, "doc_id", "left_semi").withColumn("segment", F.lit(segment))
 
-    held = united([of(s, _live_ids(spark, folder, s)) for s in live.indexes])
+    held = united([of(s, _live_ids(spark, folder, s)) for s in live.parts])
     held.write.parquet(f"{folder}/{name}/ids")
-    rows = written(united([of(s, i.documents) for s, i in live.indexes.items()]), "deleted-documents")
+    rows = written(united([of(s, i.documents) for s, i in live.parts.items()]), "deleted-documents")
     posting_rows(rows).groupBy("segment", "term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")
     ).write.parquet(f"{folder}/{name}/terms")
@@ -101,18 +104,20 @@ def delete_documents(folder: str, ids: DataFrame) -> str:
     return name
 
 
-def merge_segments(spark: SparkSession, folder: str, most_docs: int, buckets: int) -> str | None:
+def merge_segments(spark: SparkSession, folder: str, most_docs: int, buckets: int | None = None) -> str | None:
     """Write the segments of at most ``most_docs`` live documents as one, without what was deleted from them.
 
-    Postings are taken over as they are; no text is read. With fewer than two such segments nothing is done.
+    Postings are taken over as they are; no text is read. Without ``buckets`` there are as many as the merged segments
+    have, as far as documents are left for them. With fewer than two such segments nothing is done.
     """
     live = open_segments(spark, folder)
     chosen = [s for s, n in live.sizes.items() if n <= most_docs]
     if len(chosen) < 2:
         return None
+    buckets = buckets or merged_buckets([(live.parts[s], live.sizes[s]) for s in chosen])
     name = f"segment-{uuid.uuid4().hex}"
     united([_live_ids(spark, folder, s) for s in chosen]).write.parquet(f"{folder}/{name}/ids")
-    rows = united([live.indexes[s].postings for s in chosen]).repartition(buckets, "doc_id")
+    rows = united([live.parts[s].postings for s in chosen]).repartition(buckets, "doc_id")
     write_index(rows, sum(live.sizes[s] for s in chosen), f"{folder}/{name}", buckets)
     _log(spark, folder, "merge", name, chosen)
     return name
@@ -126,28 +131,22 @@ def open_segments(spark: SparkSession, folder: str) -> Segments:
         raise ValueError(f"no documents were added to {folder}")
     opened = {s: open_index(spark, f"{folder}/{s}") for s in names}
     deletions = [s.name for s in steps if s.action == "delete"]
-    terms = [i.terms.select("term", "df", "cf", "champions") for i in opened.values()]
     sizes = {s: i.n_docs for s, i in opened.items()}
     n_tokens = sum(round(i.avg_length * i.n_docs) for i in opened.values())
     touched = set()
     if deletions:
-        off = spark.read.parquet(*[f"{folder}/{d}/collection" for d in deletions])
-        for row in off.where(F.col("segment").isin(names)).collect():  # one row a deletion and segment
+        for row in _of_deletions(spark, folder, deletions, "collection", names).collect():  # one row a deletion and segment
             sizes[row.segment] -= row.n_docs
             n_tokens -= row.n_tokens
             touched.add(row.segment)
-        less = spark.read.parquet(*[f"{folder}/{d}/terms" for d in deletions]).where(F.col("segment").isin(names))
-        none = F.array().cast(dict(terms[0].dtypes)["champions"]).alias("champions")
-        terms.append(less.select("term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf"), none))
-    sums = F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.flatten(F.collect_list("champions")).alias("champions")
-    whole = written(united(terms).groupBy("term").agg(*sums).where(F.col("df") > 0), "segment-terms")
     n_docs = sum(sizes.values())
-    average = n_tokens / n_docs if n_docs else 0.0
-    indexes = {
-        s: replace(_without(spark, folder, s, i, deletions if s in touched else []), terms=whole, n_docs=n_docs, avg_length=average)
-        for s, i in opened.items()
-    }
-    return Segments(folder, indexes, sizes)
+    parts = {s: _without(spark, folder, s, i, deletions if s in touched else []) for s, i in opened.items()}
+    return Segments(folder, parts, sizes, n_docs, n_tokens / n_docs if n_docs else 0.0, deletions)
+
+
+def merged_buckets(parts: Sequence[tuple[TermIndex, int]]) -> int:
+    """Buckets for the live documents of several segments, each with their number, at the segments' own fill."""
+    return max(1, math.ceil(sum(i.buckets * live / i.n_docs for i, live in parts if live)))
 
 
 def search_segments(
@@ -182,6 +181,11 @@ def _live_names(steps: list) -> list[str]:
     return [s.name for s in steps if s.action in ("add", "merge") and s.name not in replaced]
 
 
+def _of_deletions(spark: SparkSession, folder: str, deletions: Sequence[str], table: str, segments: Sequence[str]) -> DataFrame:
+    """What the deletions took off ``segments``, from one of their tables."""
+    return spark.read.parquet(*[f"{folder}/{d}/{table}" for d in deletions]).where(F.col("segment").isin(*segments))
+
+
 def _gone(spark: SparkSession, folder: str, segment: str, deletions: Sequence[str]) -> DataFrame:
     rows = spark.read.parquet(*[f"{folder}/{d}/ids" for d in deletions])
     return rows.where(F.col("segment") == segment).select("doc_id")

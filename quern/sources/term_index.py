@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from quern.functions.scoring import bm25_saturation
 from quern.functions.text import Tokenizer, tokenize
 from quern.params import Bm25
-from quern.storage import fresh_folder
+from quern.storage import fresh_folder, written
 
-BYTES_PER_BUCKET = 256 << 20
+#: A task holds the postings of one bucket while it counts them, at about fifty times their stored text.
+BYTES_PER_BUCKET = 8 << 20
 #: Postings of a term that its statistics carry along, those of the largest saturation.
 CHAMPIONS = 16
 
@@ -25,17 +27,23 @@ class TermIndex:
 
     ``postings`` (doc_id, term, tf, dl) is bucketed by ``doc_id``, so scores of a document add
     up inside one task. ``documents`` (doc_id, dl, terms array of (term, tf)) is the forward index, in
-    the same buckets and in order of doc_id. ``terms`` holds (term, df, cf, profile, champions): for each class of
-    document lengths the shortest length and the largest tf, which bound what the term can add to a
-    score there; and the term's best few postings.
+    the same buckets and in order of doc_id. ``statistics`` holds (term, df, cf). ``terms`` has beside them (profile,
+    champions): for each class of document lengths the shortest length and the largest tf, which bound what the term
+    can add to a score there; and the term's best few postings. Only a bounded search needs these, and they cost more
+    than the postings to put together, so they are written when first asked for.
     """
 
     postings: DataFrame
     documents: DataFrame
-    terms: DataFrame
+    statistics: DataFrame
     n_docs: int
     avg_length: float
     folder: str
+    buckets: int
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return written(term_table(self.postings, self.avg_length), "terms")
 
 
 def length_class(dl: Column) -> Column:
@@ -50,12 +58,12 @@ def postings(
 
     The text is the only thing shuffled. Rows of a document then stay together, so counting
     by (doc_id, term) needs no second exchange. The outer explode keeps Spark from adding a
-    tokenising filter below the shuffle.
+    tokenising filter below the shuffle. Without ``partitions`` their number follows the size of the
+    documents, as a task holds all postings of its part.
     """
-    keys = ([partitions] if partitions else []) + ["doc_id"]
     return (
         documents.select("doc_id", "text")
-        .repartition(*keys)
+        .repartition(partitions or bucket_count(documents), "doc_id")
         .select("doc_id", tokenizer(F.col("text")).alias("tokens"))
         .select("doc_id", F.size("tokens").cast("long").alias("dl"), "tokens")
         .select("doc_id", "dl", F.explode_outer("tokens").alias("term"))
@@ -141,7 +149,7 @@ def write_index(postings: DataFrame, n_docs: int, folder: str, buckets: int) ->
     held = _bucketed(spark, f"{folder}/postings", buckets, "term, doc_id")
     _write_bucketed(forward_rows(held), f"{folder}/documents", buckets, ["doc_id"])
     n_tokens = held.agg(F.sum("tf")).first()[0] or 0
-    term_table(held, n_tokens / n_docs if n_docs else 0.0).write.parquet(f"{folder}/terms")
+    term_statistics(held).write.parquet(f"{folder}/terms")
     collection = spark.range(1).select(
         F.lit(n_docs).cast("long").alias("n_docs"), F.lit(n_tokens).cast("long").alias("n_tokens"), F.lit(buckets).alias("buckets")
     )
@@ -156,10 +164,11 @@ def open_index(spark: SparkSession, folder: str) -> TermIndex:
     return TermIndex(
         postings=_bucketed(spark, f"{folder}/postings", buckets, "term, doc_id"),
         documents=_bucketed(spark, f"{folder}/documents", buckets, "doc_id"),
-        terms=spark.read.parquet(f"{folder}/terms"),
+        statistics=spark.read.parquet(f"{folder}/terms"),
         n_docs=n_docs,
         avg_length=n_tokens / n_docs if n_docs else 0.0,
         folder=folder,
+        buckets=buckets,
     )
 
 

@@ -87,3 +87,18 @@ def test_forward_rows_and_terms_with_their_bounds(index, rows):
     red = index.terms.where("term = 'red'").first()
     assert (red.df, red.cf) == (3, 4) and sorted(c.doc_id for c in red.champions) == [1, 2, 5]
     assert max(p.tf for p in red.profile) == 2
+
+
+def test_parts_of_postings_follow_the_size_of_the_documents(spark, documents, monkeypatch):
+    """A task counts the postings of its part in memory, so parts must not grow with the collection."""
+    assert term_index.BYTES_PER_BUCKET <= 16 << 20
+    monkeypatch.setattr(term_index, "bucket_count", lambda documents: 23)
+    plan = term_index.postings(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and ", 23), REPARTITION_BY_NUM" in plan
+
+
+def test_bounds_are_written_only_when_asked_for(spark, documents, rows):
+    index = term_index.build_index(documents, buckets=2)
+    assert "terms" not in vars(index) and index.statistics.columns == ["term", "df", "cf"]
+    assert rows(index.terms.select("term", "df", "cf")) == rows(index.statistics)
+    assert "terms" in vars(index)

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from conftest import TEXTS
 
-from quern.operators.retrieval import bm25_search, query_terms, run_rows, search, weighted_clauses
+from quern.operators.retrieval import bm25_search, query_terms, run_rows, search, search_settings, weighted_clauses
 from quern.params import Bm25
 
 QUERIES = [(1, "red apples"), (2, "blue blue birds"), (3, "nothing here matches"), (4, "the")]
@@ -106,3 +106,26 @@ def test_run_layout(index, queries):
     row = run_rows(bm25_search(index, queries), "t").where("query_id = 4").first()
     assert row.asDict().keys() == {"query_id", "iteration", "doc_id", "rank", "score", "tag"}
     assert (row.iteration, row.doc_id, row["rank"], row.tag) == ("Q0", 3, 1, "t")
+
+
+def test_settings_in_one_row_equal_settings_in_the_key(spark, index, queries, rows):
+    settings = {"x": Bm25(0.5, 0.1), "y": Bm25(2.0, 0.9)}
+    several = query_terms(queries).crossJoin(
+        spark.createDataFrame([("x", 0.5, 0.1), ("y", 2.0, 0.9)], "method string, k1 double, b double")
+    )
+    for size in (1, 10):
+        expected = search(index, several, size, ["method", "query_id"], Bm25("k1", "b"))
+        assert rows(search_settings(index, query_terms(queries), settings, size)) == rows(expected)
+
+
+def test_postings_stay_in_their_buckets_beside_clauses_over_the_threshold(spark, index, queries, rows):
+    expected = rows(bm25_search(index, queries))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        run = bm25_search(index, queries)
+        plan = run._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+        assert rows(run) == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

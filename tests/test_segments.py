@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from quern.operators.retrieval import query_terms, search
 from quern.sources import segments
 from quern.sources.term_index import build_index
+from quern.storage import written
 
 TEXTS = {
     1: "red apples and green apples", 2: "green pears red plums", 3: "the apples of the north", 4: "blue skies", 5: "blue birds and red birds",
@@ -66,3 +67,17 @@ def test_nothing_added_and_everything_deleted(spark, tmp_path, clauses):
     held = segments.open_segments(spark, folder)
     assert (held.n_docs, held.avg_length, held.terms.count()) == (0, 0.0, 0)
     assert segments.search_segments(held, clauses).count() == 0
+
+
+def test_steps_put_no_terms_together(spark, tmp_path, monkeypatch):
+    """Only a reader that asks for the whole's terms pays for them."""
+    folder, labels = str(tmp_path / "lazy"), []
+    monkeypatch.setattr(segments, "written", lambda df, label: labels.append(label) or written(df, label))
+    for part in ((1, 2, 3), (4, 5)):
+        segments.add_documents(folder, frame(spark, {k: TEXTS[k] for k in part}), buckets=2)
+    segments.delete_documents(folder, spark.createDataFrame([(1,)], "doc_id long"))
+    assert segments.merge_segments(spark, folder, 10)
+    held = segments.open_segments(spark, folder)
+    assert "segment-terms" not in labels
+    assert held.terms.where("term = 'red'").first().df == 2 and labels.count("segment-terms") == 1
+    assert [i.buckets for i in held.indexes.values()] == [4]
