@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scoring import SCORE_DIGITS, bm25_saturation
-from quern.operators.retrieval import QUERY, clause_weights, top_hits
+from quern.operators.retrieval import QUERY, beside_postings, clause_weights, top_hits
 from quern.params import Bm25
 from quern.sources.term_index import TermIndex, posting_rows
-from quern.storage import written
+from quern.storage import setting, written
 
 #: Known documents that the threshold is taken from, as a multiple of ``size``.
 TRIED = 2
@@ -42,11 +42,13 @@ def bounded_search(
     """Best ``size`` documents per key: (key, doc_id, score, rank), as ``search`` returns them.
 
     The postings are read twice: for the essential terms, and for the others of documents that can pass.
-    Both readings stay in the documents' buckets. Clauses may have any boost; one below zero bounds a
+    Both readings stay in the documents' buckets, so the hits are written under the setting that this needs. Clauses may have any boost; one below zero bounds a
     score by nothing.
     """
     plan = written(essential_terms(index, clauses, size, key, bm25), "search-plan")
-    return top_hits(completed(index, plan, passing(index, plan, key, bm25), key, bm25), size, key)
+    with setting(plan.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        found = passing(index, plan, key, bm25)
+        return written(top_hits(completed(index, plan, found, key, bm25), size, key), "bounded-hits")
 
 
 def saturation(index: TermIndex, tf: Column, dl: Column, bm25: Bm25) -> Column:
@@ -106,7 +108,7 @@ def _parts(index: TermIndex, plan: DataFrame, key: Sequence[str], bm25: Bm25) ->
     """What each clause of ``plan`` adds to the score of each document with its term."""
     part = F.col("weight") * saturation(index, F.col("tf"), F.col("dl"), bm25)
     others = [c for c in ("floor", "rest") if c in plan.columns]
-    return index.postings.join(plan, "term").select(*key, "doc_id", *others, part.alias("part"))
+    return index.postings.join(beside_postings(plan), "term").select(*key, "doc_id", *others, part.alias("part"))
 
 
 def passing(index: TermIndex, plan: DataFrame, key: Sequence[str] = QUERY, bm25: Bm25 = Bm25()) -> DataFrame:

@@ -61,3 +61,25 @@ def test_rows_stay_in_their_buckets(spark, large, clauses):
     scores = bounded.completed(large, plan, bounded.passing(large, plan))
     text = scores._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in text and text.count("ShuffledHashJoin") == 1
+
+
+def test_no_exchange_of_pairs_under_sparks_own_settings(spark, large, clauses, rows, monkeypatch):
+    """Without the setting of ``local_session`` the pairs of query and document must not be exchanged either."""
+    key, plans = "spark.sql.requireAllClusterKeysForCoPartition", []
+    completed = bounded.completed
+
+    def seen(*args):
+        scores = completed(*args)
+        plans.append(scores._jdf.queryExecution().executedPlan().toString())
+        return scores
+
+    expected = rows(search(large, clauses, 5))
+    monkeypatch.setattr(bounded, "completed", seen)
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        assert rows(bounded.bounded_search(large, clauses, 5)) == expected
+        assert spark.conf.get(key) == "true"
+    finally:
+        spark.conf.set(key, before)
+    assert "Exchange hashpartitioning" not in plans[0]
