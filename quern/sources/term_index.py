@@ -15,8 +15,8 @@ from quern.functions.text import Tokenizer, tokenize
 from quern.params import Bm25
 from quern.storage import fresh_folder, written
 
-#: A task holds the postings of one bucket while it counts them, at about fifty times their stored text.
-BYTES_PER_BUCKET = 8 << 20
+#: Text of a bucket. A task holds its postings while it counts them, at some forty bytes for each of the text.
+BYTES_PER_BUCKET = 12 << 20
 #: Postings of a term that its statistics carry along, those of the largest saturation.
 CHAMPIONS = 16
 
@@ -27,7 +27,7 @@ class TermIndex:
 
     ``postings`` (doc_id, term, tf, dl) is bucketed by ``doc_id``, so scores of a document add
     up inside one task. ``documents`` (doc_id, dl, terms array of (term, tf)) is the forward index, in
-    the same buckets and in order of doc_id. ``statistics`` holds (term, df, cf). ``terms`` has beside them (profile,
+    the same buckets. Both are in order of doc_id, a number that sorts without looking at terms. ``statistics`` holds (term, df, cf). ``terms`` has beside them (profile,
     champions): for each class of document lengths the shortest length and the largest tf, which bound what the term
     can add to a score there; and the term's best few postings. Only a bounded search needs these, and they cost more
     than the postings to put together, so they are written when first asked for.
@@ -145,9 +145,9 @@ def build_index(
 def write_index(postings: DataFrame, n_docs: int, folder: str, buckets: int) -> TermIndex:
     """Write the index of given postings (doc_id, term, tf, dl) of ``n_docs`` documents."""
     spark = postings.sparkSession
-    _write_bucketed(postings, f"{folder}/postings", buckets, ["term", "doc_id"])
-    held = _bucketed(spark, f"{folder}/postings", buckets, "term, doc_id")
-    _write_bucketed(forward_rows(held), f"{folder}/documents", buckets, ["doc_id"])
+    _write_bucketed(postings, f"{folder}/postings", buckets)
+    held = _bucketed(spark, f"{folder}/postings", buckets)
+    _write_bucketed(forward_rows(held), f"{folder}/documents", buckets)
     n_tokens = held.agg(F.sum("tf")).first()[0] or 0
     term_statistics(held).write.parquet(f"{folder}/terms")
     collection = spark.range(1).select(
@@ -162,8 +162,8 @@ def open_index(spark: SparkSession, folder: str) -> TermIndex:
     collection = spark.read.parquet(f"{folder}/collection").first()
     n_docs, n_tokens, buckets = collection["n_docs"], collection["n_tokens"], collection["buckets"]
     return TermIndex(
-        postings=_bucketed(spark, f"{folder}/postings", buckets, "term, doc_id"),
-        documents=_bucketed(spark, f"{folder}/documents", buckets, "doc_id"),
+        postings=_bucketed(spark, f"{folder}/postings", buckets),
+        documents=_bucketed(spark, f"{folder}/documents", buckets),
         statistics=spark.read.parquet(f"{folder}/terms"),
         n_docs=n_docs,
         avg_length=n_tokens / n_docs if n_docs else 0.0,
@@ -172,32 +172,27 @@ def open_index(spark: SparkSession, folder: str) -> TermIndex:
     )
 
 
-def _write_bucketed(df: DataFrame, path: str, buckets: int, order: list[str]) -> None:
+def _write_bucketed(df: DataFrame, path: str, buckets: int) -> None:
     staging = f"quern_staging_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, "doc_id").sortBy(*order).option("path", path).saveAsTable(staging)
+    df.write.bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", path).saveAsTable(staging)
     df.sparkSession.sql(f"DROP TABLE {staging}")  # external: only the name goes, the files stay
 
 
-def _bucketed(spark: SparkSession, path: str, buckets: int, order: str) -> DataFrame:
+def _bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
     table = f"quern_index_{uuid.uuid4().hex}"
     columns = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in spark.read.parquet(path).schema)
     spark.sql(
         f"CREATE TABLE {table} ({columns}) USING parquet "
-        f"CLUSTERED BY (doc_id) SORTED BY ({order}) INTO {buckets} BUCKETS LOCATION '{path}'"
+        f"CLUSTERED BY (doc_id) SORTED BY (doc_id) INTO {buckets} BUCKETS LOCATION '{path}'"
     )
     return spark.table(table)
 
 
 def bucket_count(documents: DataFrame, bytes_per_bucket: int = BYTES_PER_BUCKET) -> int:
-    """Buckets for the size of ``documents``, at least one per core.
+    """Buckets for the size of the texts of ``documents``, at least one per core.
 
-    For a frame over files that is the stored size, read from the file system alone; any other frame has
-    its texts measured. Shards keep their size however large the collection is.
+    The texts themselves are measured: files may be compressed to any part of them, and a frame may hold a part of
+    its files. Shards keep their size however large the collection is.
     """
-    spark = documents.sparkSession
-    paths = documents.inputFiles()
-    if paths:
-        size = spark.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0]
-    else:
-        size = documents.agg(F.sum(F.octet_length("text"))).first()[0]
-    return max(spark.sparkContext.defaultParallelism, math.ceil((size or 0) / bytes_per_bucket))
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0]
+    return max(documents.sparkSession.sparkContext.defaultParallelism, math.ceil((size or 0) / bytes_per_bucket))
