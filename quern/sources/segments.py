@@ -107,7 +107,7 @@ def delete_documents(folder: str, ids: DataFrame) -> str:
 def merge_segments(spark: SparkSession, folder: str, most_docs: int, buckets: int | None = None) -> str | None:
     """Write the segments of at most ``most_docs`` live documents as one, without what was deleted from them.
 
-    Postings are taken over as they are; no text is read. Without ``buckets`` there are as many as the merged segments
+    Counted documents are taken over as they are; no text is read. Without ``buckets`` there are as many as the merged segments
     have, as far as documents are left for them. With fewer than two such segments nothing is done.
     """
     live = open_segments(spark, folder)
@@ -117,7 +117,7 @@ def merge_segments(spark: SparkSession, folder: str, most_docs: int, buckets: in
     buckets = buckets or merged_buckets([(live.parts[s], live.sizes[s]) for s in chosen])
     name = f"segment-{uuid.uuid4().hex}"
     united([_live_ids(spark, folder, s) for s in chosen]).write.parquet(f"{folder}/{name}/ids")
-    rows = united([live.parts[s].postings for s in chosen]).repartition(buckets, "doc_id")
+    rows = united([live.parts[s].documents for s in chosen]).repartition(buckets, "doc_id")
     write_index(rows, sum(live.sizes[s] for s in chosen), f"{folder}/{name}", buckets)
     _log(spark, folder, "merge", name, chosen)
     return name

@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scoring import bm25_saturation
-from quern.functions.text import Tokenizer, tokenize
+from quern.functions.text import Tokenizer, counted_terms, tokenize
 from quern.params import Bm25
-from quern.storage import fresh_folder, written
+from quern.storage import fresh_folder, setting, written
 
 #: Text of a bucket. A task holds its postings while it counts them, at some forty bytes for each of the text.
 BYTES_PER_BUCKET = 12 << 20
@@ -90,10 +90,25 @@ def length_statistics(documents: DataFrame, tokenizer: Tokenizer = tokenize) ->
     )
 
 
-def forward_rows(postings: DataFrame) -> DataFrame:
-    """(doc_id, dl, terms): one row per document, its terms in order."""
-    entries = F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms")
-    return postings.groupBy("doc_id", "dl").agg(entries)
+def forward_rows(
+    documents: DataFrame, tokenizer: Tokenizer = tokenize, partitions: int | None = None
+) -> DataFrame:
+    """(doc_id, dl, terms): ``dl`` the document's token count, ``terms`` its (term, tf) in order of the terms.
+
+    The text is the only thing shuffled; documents are counted where they lie. Rows of one id and length count as one
+    document. Those without tokens are left out after the grouping, which keeps Spark from adding a tokenising filter
+    below the shuffle. Without ``partitions`` their number follows the size of the documents, as a task groups its part.
+    """
+    tokens = (
+        documents.select("doc_id", "text")
+        .repartition(partitions or bucket_count(documents), "doc_id")
+        .select("doc_id", tokenizer(F.col("text")).alias("tokens"))
+        .select("doc_id", F.size("tokens").cast("long").alias("dl"), "tokens")
+        .groupBy("doc_id", "dl")
+        .agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+        .where(F.size("tokens") > 0)
+    )
+    return tokens.select("doc_id", "dl", counted_terms(F.col("tokens")).alias("terms"))
 
 
 def posting_rows(documents: DataFrame) -> DataFrame:
@@ -139,17 +154,22 @@ def build_index(
     folder = folder or fresh_folder(spark, "index")
     buckets = buckets or bucket_count(documents, bytes_per_bucket)
     n_docs = documents.agg(F.count(F.lit(1))).first()[0]
-    return write_index(postings(documents, tokenizer, buckets), n_docs, folder, buckets)
+    return write_index(forward_rows(documents, tokenizer, buckets), n_docs, folder, buckets)
 
 
-def write_index(postings: DataFrame, n_docs: int, folder: str, buckets: int) -> TermIndex:
-    """Write the index of given postings (doc_id, term, tf, dl) of ``n_docs`` documents."""
-    spark = postings.sparkSession
-    _write_bucketed(postings, f"{folder}/postings", buckets)
-    held = _bucketed(spark, f"{folder}/postings", buckets)
-    _write_bucketed(forward_rows(held), f"{folder}/documents", buckets)
-    n_tokens = held.agg(F.sum("tf")).first()[0] or 0
-    term_statistics(held).write.parquet(f"{folder}/terms")
+def write_index(rows: DataFrame, n_docs: int, folder: str, buckets: int) -> TermIndex:
+    """Write the index of a forward index (doc_id, dl, terms) of ``n_docs`` documents.
+
+    The postings are read off the written documents, bucket by bucket and in their order, so that nothing is
+    counted, grouped or moved for them.
+    """
+    spark = rows.sparkSession
+    _write_bucketed(rows, f"{folder}/documents", buckets)
+    with setting(spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"):
+        held = _bucketed(spark, f"{folder}/documents", buckets)
+        _write_bucketed(posting_rows(held), f"{folder}/postings", buckets)
+    term_statistics(_bucketed(spark, f"{folder}/postings", buckets)).write.parquet(f"{folder}/terms")
+    n_tokens = spark.read.parquet(f"{folder}/terms").agg(F.sum("cf")).first()[0] or 0
     collection = spark.range(1).select(
         F.lit(n_docs).cast("long").alias("n_docs"), F.lit(n_tokens).cast("long").alias("n_tokens"), F.lit(buckets).alias("buckets")
     )

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions.text import tokenize, whitespace_tokens
+from quern.functions.text import counted_terms, tokenize, whitespace_tokens
 from quern.sources import term_index
 
 
@@ -122,3 +122,31 @@ def test_written_postings_lie_in_order_of_documents(spark, tmp_path):
     for f in files:
         ids = [r.doc_id for r in spark.read.parquet(f).coalesce(1).collect()]
         assert ids == sorted(ids)
+
+
+def test_documents_are_counted_without_a_row_for_each_token(spark, documents):
+    """Hashing every token of a part took half a gigabyte in a task, and its postings were then grouped again."""
+    rows = [(1, "b a b", 0), (1, "a c c", 0), (1, "b", 0), (None, "x x", 0), (2, "", 0), (3, None, 0), (4, "é z Z", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, other int").repartition(3)
+    found = {(r.doc_id, r.dl): [tuple(t) for t in r.terms] for r in term_index.forward_rows(frame, partitions=2).collect()}
+    assert found == {
+        (1, 3): [("a", 2), ("b", 2), ("c", 2)], (1, 1): [("b", 1)], (None, 2): [("x", 2)], (4, 3): [("z", 2), ("é", 1)],
+    }
+    plan = term_index.forward_rows(documents)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("split(") == 1
+    assert "keys=[doc_id" in plan and "term" not in "".join(line for line in plan.splitlines() if "keys=" in line)
+
+
+def test_null_tokens_and_empty_lists_have_no_terms(spark):
+    frame = spark.createDataFrame([([],), (["b", None, "a", "b"],), ([None],)], "tokens array<string>").coalesce(1)
+    counted = frame.select(counted_terms(F.col("tokens")).alias("terms")).collect()
+    assert [[tuple(t) for t in r.terms] for r in counted] == [[], [("a", 1), ("b", 2)], []]
+
+
+def test_postings_are_read_off_the_written_documents(spark, index, monkeypatch):
+    """Every bucket by one task: its postings lie in one file, whatever a scan of the documents would split."""
+    monkeypatch.setattr(term_index, "forward_rows", None)
+    again = term_index.write_index(index.documents, index.n_docs, term_index.fresh_folder(spark, "again"), index.buckets)
+    assert sorted(again.postings.collect()) == sorted(index.postings.collect())
+    assert sorted(again.statistics.collect()) == sorted(index.statistics.collect())
+    assert (again.n_docs, again.avg_length) == (index.n_docs, index.avg_length)

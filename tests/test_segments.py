@@ -81,3 +81,14 @@ def test_steps_put_no_terms_together(spark, tmp_path, monkeypatch):
     assert "segment-terms" not in labels
     assert held.terms.where("term = 'red'").first().df == 2 and labels.count("segment-terms") == 1
     assert [i.buckets for i in held.indexes.values()] == [4]
+
+
+def test_merging_moves_counted_documents(spark, tmp_path, monkeypatch):
+    """A row for each document is exchanged, not one for each posting, which then had to be grouped again."""
+    folder, moved = str(tmp_path / "moved"), []
+    for part in ((1, 2, 3), (4, 5)):
+        segments.add_documents(folder, frame(spark, {k: TEXTS[k] for k in part}), buckets=2)
+    write = segments.write_index
+    monkeypatch.setattr(segments, "write_index", lambda rows, *rest: moved.append(rows) or write(rows, *rest))
+    assert segments.merge_segments(spark, folder, 10)
+    assert moved[0].count() == 5 and moved[0].columns == ["doc_id", "dl", "terms"]
