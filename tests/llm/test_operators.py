@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -205,6 +206,19 @@ def test_repeated_bytes(spark, texts_per_key):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, n - len(left), runs, hashlib.sha256(left).hexdigest())
 
 
+def test_chunks_and_shards_take_bounded_memory():
+    text = random.Random(3).randbytes(6 << 20)
+    tracemalloc.start()
+    for _ in substring_dedup.PieceFinder(400, 64, substring_dedup.CHUNK).rows([(1, text)]):
+        pass
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.reset_peak()
+    size = substring_dedup.SHARD // 4
+    substring_dedup.repeated_starts([text[k * size : (k + 1) * size] for k in range(4)], 400)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 @pytest.mark.parametrize("block", [5, 1 << 20])
 def test_suffix_order_with_queues_on_disk(monkeypatch, block):
     from quern.llm import induced_sort
