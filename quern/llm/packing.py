@@ -30,10 +30,12 @@ END_ID = 2
 NEARLY_FULL = 4
 #: Pieces that one task packs.
 PIECES_PER_TASK = 200_000
-#: Chunks between blanks, and words in them, that a worker keeps with their ids, twice over.
-KEPT = 300_000
+#: Chunks between blanks that a worker keeps with their ids, in arrays, twice over; some 40 bytes each.
+KEPT_CHUNKS = 200_000
+#: Words in chunks that it keeps as objects, twice over; some 150 bytes each.
+KEPT_WORDS = 100_000
 #: Characters of the texts that are cut into chunks together.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, bin long, offset long, done boolean"
@@ -47,7 +49,7 @@ _ODD_SPACE = "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202
 class Kept:
     """Values remembered by key. What was used since the last but one change of generations stays."""
 
-    def __init__(self, compute: Callable[[str], bytes], most: int = KEPT) -> None:
+    def __init__(self, compute: Callable[[str], bytes], most: int = KEPT_WORDS) -> None:
         self.compute, self.most = compute, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -64,6 +66,46 @@ class Kept:
         return found
 
 
+class KeptArrays:
+    """Ids of strings, remembered in whole arrays, which take a fraction of what objects do.
+
+    Beyond twice ``most`` strings, those that were used since the last time stay, the newest ``most`` of them.
+    """
+
+    def __init__(self, compute: Callable[[str], bytes], most: int = KEPT_CHUNKS) -> None:
+        self.compute, self.most = compute, most
+        self.names, self.used = pa.array([], pa.large_string()), np.zeros(0, bool)
+        self.ids, self.begins = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # one after the other, and where each begins
+
+    def _cut(self) -> None:
+        stay = np.flatnonzero(self.used)[-self.most :]
+        sizes = np.diff(self.begins)
+        kept = np.zeros(len(sizes), bool)
+        kept[stay] = True
+        self.ids = self.ids[np.repeat(kept, sizes)]
+        self.begins = np.concatenate([[0], np.cumsum(sizes[stay])])
+        self.names, self.used = self.names.take(pa.array(stay)), np.zeros(len(stay), bool)
+
+    def places(self, names: pa.Array) -> np.ndarray:
+        """The number of each of ``names``, all different, among the strings that are remembered."""
+        if len(self.names) > 2 * self.most:
+            self._cut()
+        names = names.cast(pa.large_string())
+        place = pc.index_in(names, self.names).fill_null(-1).to_numpy().astype(np.int64)
+        new = place < 0
+        if new.any():
+            others = names.filter(pa.array(new))
+            found = [self.compute(name) for name in others.to_pylist()]
+            sizes = np.array([len(f) for f in found], np.int64) // 4
+            place[new] = len(self.names) + np.arange(len(found))
+            self.names = pa.concat_arrays([self.names, others])
+            self.used = np.concatenate([self.used, np.zeros(len(found), bool)])
+            self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+        self.used[place] = True
+        return place
+
+
 class Encoder:
     """Token ids of texts as little-endian bytes, with the ids of words remembered.
 
@@ -79,7 +121,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.word, self.chunk = Kept(self._word), Kept(self._chunk)
+        self.word, self.chunk = Kept(self._word), KeptArrays(self._chunk)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -118,22 +160,23 @@ class Encoder:
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
         offsets = cut.offsets.to_numpy()
         coded = cut.flatten().dictionary_encode()
-        code, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        ends_line = np.append(np.array([w == "\n" for w in words], bool), False)[code]
+        code, words = coded.indices.to_numpy(), coded.dictionary
+        ends_line = np.append(pc.equal(words, "\n").to_numpy(zero_copy_only=False).astype(bool), False)[code]
         spaced = ~ends_line
         spaced[1:] &= ~ends_line[:-1]
         spaced[offsets[:-1]] = False
         chunk = code.astype(np.int64) * 2 + spaced
         used = np.zeros(2 * len(words), bool)
         used[chunk] = True
-        found = [self.chunk(f" {words[c >> 1]}" if c & 1 else words[c >> 1]) for c in np.flatnonzero(used).tolist()]
-        known = np.frombuffer(b"".join(found), "<u4")
-        size = np.array([len(f) for f in found], np.int64) // 4
-        which = (np.cumsum(used) - 1)[chunk]
-        counts = size[which]
+        different = np.flatnonzero(used)
+        names = words.take(pa.array(different >> 1))
+        after_space = pc.binary_join_element_wise(pa.scalar("", names.type), names, pa.scalar(" ", names.type))
+        place = self.chunk.places(pc.if_else(pa.array((different & 1).astype(bool)), after_space, names))
+        which = place[(np.cumsum(used) - 1)[chunk]]
+        counts = np.diff(self.chunk.begins)[which]
         upto = np.concatenate([[0], np.cumsum(counts)])
-        from_known = (np.cumsum(size) - size)[which] - upto[:-1]
-        return known[np.repeat(from_known, counts) + np.arange(upto[-1])], upto[offsets]
+        from_known = self.chunk.begins[which] - upto[:-1]
+        return self.chunk.ids[np.repeat(from_known, counts) + np.arange(upto[-1])], upto[offsets]
 
 
 def _byte_alphabet() -> dict[int, str]:

@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_fixtures import docs, none, prose, texts  # noqa: F401
 from pyspark.sql import functions as F
@@ -95,6 +97,36 @@ def test_encoder_agrees_with_the_tokenizer():
         assert encoder.ids(text) == encoder._encode(text), text
 
 
+def test_encoder_keeps_chunks_in_little_memory():
+    words = [f"{a}{b}{c}" for a in "bcdfgh" for b in "aeiou" for c in range(1000)]
+    encoder = packing.Encoder(tokenizer_json())
+    encoder.ids("so many words")
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    encoder.ids(" ".join(words))
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before - word_objects(encoder)
+    tracemalloc.stop()
+    assert held < 100 * len(words)
+
+
+def word_objects(encoder):
+    """Bytes of the words in chunks, which have a number of their own at most."""
+    kept = encoder.word.young
+    return sys.getsizeof(kept) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in kept.items())
+
+
+@pytest.mark.parametrize("most", [1, 7, 50])
+def test_encoder_forgets_without_effect(most):
+    encoder = packing.Encoder(tokenizer_json())
+    encoder.chunk.most = encoder.word.most = most
+    draw = random.Random(most)
+    for _ in range(60):
+        text = " ".join(draw.choice(["old", "new, ", "x1"]) + str(draw.randrange(40)) for _ in range(30)).replace("  ", " ").strip()
+        assert encoder.ids(text) == encoder._encode(text), text
+        assert len(encoder.chunk.names) <= 2 * most + 30
+
+
+
 # Decontamination
 
 ITEMS = [(1, "the quick brown fox jumps over the lazy dog and then sleeps"), (2, "Short item!"), (3, ""), (4, None), (2, "short item")]
